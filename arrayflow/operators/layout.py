@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arrayflow.functions.expr import attach, ratio, zero_bytes
 from arrayflow.functions.ordered import keep_last, number, running_sum
@@ -72,7 +73,7 @@ def place_parity(groups: DataFrame, n: int) -> DataFrame:
                        (index % n).alias("shard_id"), (~is_parity & F.col("is_pad")).alias("is_pad"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _xor(parts: pd.Series) -> pd.Series:
     """XOR of byte strings, shorter ones filled with zeros; as long as the first."""
     def one(chunks) -> bytes:

@@ -145,7 +145,7 @@ def rle_decode(runs: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     begin = F.col("_end") - F.col("length") + F.col("_from")
     size = F.least(F.lit(PIECE).cast("bigint"), F.col("length") - F.col("_from"))
     spread = pieces.select(*keys, value, begin.alias("_begin"), size.alias("_size")).repartition(*keys, "_begin")
-    return spread.select(*keys, (F.col("_begin") + F.explode(F.sequence(zero, F.col("_size") - 1))).alias("pos"), value)
+    return spread.select(*keys, F.explode(F.sequence(F.col("_begin"), F.col("_begin") + F.col("_size") - 1)).alias("pos"), value)
 
 
 # Codecs --------------------------------------------------------------------------------------------------------------

@@ -159,8 +159,8 @@ def wal(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "lineitem")
     closed, open_returned = F.col("l_linestatus") == "F", (F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R")
     ops = F.filter(F.array(F.lit(1), F.when(closed, 2), F.when(open_returned, 3)), lambda op: op.isNotNull())
-    return items.select(
-        F.explode(ops).cast("tinyint").alias("op"), F.col("l_orderkey").alias("offset"), F.col("l_linenumber").cast("bigint").alias("length"),
+    return items.withColumn("op", F.explode(ops)).select(
+        F.col("op").cast("tinyint").alias("op"), F.col("l_orderkey").alias("offset"), F.col("l_linenumber").cast("bigint").alias("length"),
         F.concat(F.lit('{"part": '), F.col("l_partkey") % 10, F.lit("}")).alias("meta"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
 
 

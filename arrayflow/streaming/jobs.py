@@ -14,6 +14,7 @@ from arrayflow.functions.expr import MICROS, micros, ratio, stage_of
 from arrayflow.operators.activity import GAUGES, full_status
 from arrayflow.operators.rolling import stale_workers
 from arrayflow.operators.tensors import compress_tensors, task_stream
+from arrayflow.session import pinned
 
 
 def rate_tasks(spark: SparkSession, grid: DataFrame, rows_per_second: int = 2) -> DataFrame:
@@ -49,9 +50,7 @@ def stream_status(activities: DataFrame, log_events: DataFrame, sink: Callable[[
                   once: bool = False, seconds: float = 1) -> StreamingQuery:
     """Hand the status document to ``sink`` at most once per ``seconds``; only worker totals are kept between batches."""
     def emit(stats: DataFrame, batch_id: int) -> None:
-        kept = stats.persist()
-        sink(full_status(kept, log_events), batch_id)
-        kept.unpersist()
+        sink(full_status(pinned(stats), log_events), batch_id)
     return _start(stream_process_stats(activities).writeStream.outputMode("complete").foreachBatch(emit), checkpoint, once, seconds)
 
 
@@ -59,11 +58,10 @@ def stream_stale(heartbeats: DataFrame, interval_seconds: float, sink: Callable[
                  once: bool = False, seconds: float = 1) -> StreamingQuery:
     """Hand the stale workers to ``sink`` every trigger, judged against the newest beat of all."""
     def emit(last: DataFrame, batch_id: int) -> None:
-        kept = last.persist()
+        kept = pinned(last)
         now = kept.agg(F.max(micros("ts"))).first()[0]
         if now is not None:
             sink(stale_workers(kept, interval_seconds, now), batch_id)
-        kept.unpersist()
     beats = heartbeats.groupBy("worker_id").agg(F.max("ts").alias("ts"))
     return _start(beats.writeStream.outputMode("complete").foreachBatch(emit), checkpoint, once, seconds)
 
