@@ -124,12 +124,14 @@ def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
 
 
 def trailing_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, sums: Mapping[str, Column | str]) -> DataFrame:
-    """Add sums over the last ``n`` rows. Values must be whole numbers: large groups subtract two running sums."""
+    """Add sums over the last ``n`` rows, as the difference of two running sums: values must be whole numbers."""
     sums = {name: F.col(v) if isinstance(v, str) else v for name, v in sums.items()}
     top, _ = group_sizes(df, keys)
     if top <= group_rows(df.sparkSession):
-        frame = _over(keys, order).rowsBetween(-(n - 1), 0)
-        return df.select("*", *[F.sum(v).over(frame).alias(name) for name, v in sums.items()])
+        # A running sum minus itself n rows ago costs the same for every n; a moving frame would cost n per row.
+        frame = _over(keys, order)
+        ran = df.select("*", *[F.sum(v).over(frame.rowsBetween(W.unboundedPreceding, 0)).alias(s) for s, v in sums.items()])
+        return ran.select(*df.columns, *[(F.col(s) - F.coalesce(F.lag(s, n).over(frame), F.lit(0))).alias(s) for s in sums])
     totals = pinned(running_sum(df, keys, order, {"_rn": F.lit(1).cast("bigint"), **sums}))
     before = totals.select(*keys, (F.col("_rn") + n).alias("_rn"), *[F.col(s).alias(f"_before_{s}") for s in sums])
     joined = _join_on(totals, before, [*keys, "_rn"], [f"_before_{s}" for s in sums])

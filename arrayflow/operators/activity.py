@@ -66,10 +66,10 @@ def _worker_totals(history: DataFrame, extra: Sequence[Column]) -> DataFrame:
     return stats.withColumn("idle_percentage", ratio(F.col("total_idle_time") * 100, "total_duration"))
 
 
-def latest_gauges(gauges: DataFrame, metrics: Sequence[str] = GAUGES) -> DataFrame:
+def latest_gauges(gauges: DataFrame, metrics: Sequence[str] = GAUGES, by: Sequence[str] = ()) -> DataFrame:
     """Last value of every gauge per worker, one column per metric, in one aggregation."""
     latest = F.struct("ts", "seq")
-    return gauges.groupBy("worker_id").agg(*[
+    return gauges.groupBy(*by, "worker_id").agg(*[
         F.max_by("value", F.when(F.col("metric") == m, latest)).alias(m) for m in metrics])
 
 
@@ -121,9 +121,10 @@ def peak_concurrency(intervals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return running_sum(steps, by, ["ts"], {"open": "step"}).groupBy(*by).agg(F.max("open").alias("peak"))
 
 
-def idle_totals(idle_events: DataFrame) -> DataFrame:
-    """Idle seconds per worker and, with a null worker, overall."""
-    return idle_events.rollup("worker_id").agg(
+def idle_totals(idle_events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Idle seconds per worker and, with a null worker, of the whole group."""
+    sets = [[*by, "worker_id"], list(by)]
+    return idle_events.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in sets[0]]).agg(
         F.sum("idle_time").alias("total_idle_time"), F.grouping("worker_id").alias("is_total"))
 
 
@@ -217,13 +218,13 @@ def activity_heatmap(stats: DataFrame) -> DataFrame:
 
 # Gauges, counters and logs -------------------------------------------------------------------------------------------
 
-def system_snapshot(gauges: DataFrame, open_intervals: DataFrame, total_buffers: int | None = None) -> DataFrame:
+def system_snapshot(gauges: DataFrame, open_intervals: DataFrame, total_buffers: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Current totals over all workers; pseudo-workers with negative ids do not count."""
-    latest = latest_gauges(gauges.filter(F.col("worker_id") >= 0))
-    rows = latest.unionByName(open_intervals.select(F.col("worker_id").alias("open_worker")), allowMissingColumns=True)
+    latest = latest_gauges(gauges.filter(F.col("worker_id") >= 0), by=by)
+    rows = latest.unionByName(open_intervals.select(*by, F.col("worker_id").alias("open_worker")), allowMissingColumns=True)
     total = {g: F.coalesce(F.sum(g), F.lit(0.0)) for g in GAUGES}
     used = total["buffer_usage"]
-    return rows.agg(
+    return rows.groupBy(*by).agg(
         F.countDistinct("open_worker").alias("active_processes"),
         total["throughput"].alias("total_throughput"),
         F.coalesce(F.avg("compression_ratio"), F.lit(0.0)).alias("avg_compression_ratio"),
@@ -242,13 +243,13 @@ def counter_rates(system_metrics: DataFrame, counters: Sequence[str], by: Sequen
     return shifted.select(*system_metrics.columns, *rates)
 
 
-def recent_errors(log_events: DataFrame, n: int = LOG_SHOWN, level: str | None = None) -> DataFrame:
+def recent_errors(log_events: DataFrame, n: int = LOG_SHOWN, level: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """The newest messages, oldest first, out of the retained log."""
     upper = log_events.withColumn("level", F.upper("level"))
-    kept = keep_last(upper, [], ["ts", "seq"], LOG_HISTORY)
+    kept = keep_last(upper, list(by), ["ts", "seq"], LOG_HISTORY)
     if level is not None:
         kept = kept.filter(F.col("level") == level.upper())
-    return keep_last(kept, [], ["ts", "seq"], n).orderBy("ts", "seq")
+    return keep_last(kept, list(by), ["ts", "seq"], n).orderBy(*by, "ts", "seq")
 
 
 def status_history(snapshots: DataFrame, n: int = LOG_HISTORY) -> DataFrame:
@@ -285,13 +286,13 @@ def buffer_state(buffer_events: DataFrame, total: int, by: Sequence[str] = ()) -
     return last.groupBy(*by).agg(used.alias("in_use"), (F.lit(total) - used).alias("available"), F.lit(total).cast("bigint").alias("total"))
 
 
-def ownership_violations(buffer_events: DataFrame) -> DataFrame:
+def ownership_violations(buffer_events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Releases of a buffer that is not held, or is held by somebody else."""
-    before = neighbour(buffer_events, ["buffer_id"], ["ts", "seq"], {"_kind": "kind", "holder": "owner"}, step=-1)
+    before = neighbour(buffer_events, [*by, "buffer_id"], ["ts", "seq"], {"_kind": "kind", "holder": "owner"}, step=-1)
     held_by_owner = F.coalesce((F.col("_kind") == "acquire") & (F.col("holder") == F.col("owner")), F.lit(False))
     holder = F.when(F.col("_kind") == "acquire", F.col("holder"))
     return (before.filter((F.col("kind") == "release") & ~held_by_owner)
-            .select("buffer_id", "ts", "seq", "owner", holder.alias("holder")))
+            .select(*by, "buffer_id", "ts", "seq", "owner", holder.alias("holder")))
 
 
 # Stage counters ------------------------------------------------------------------------------------------------------

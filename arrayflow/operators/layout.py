@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,6 +99,28 @@ def xor_parity(groups: DataFrame) -> DataFrame:
         "file_id", "group_index", _xor("_parts").alias("parity"))
 
 
+def file_parity(files: DataFrame, n: int, size: int = CHUNK_BYTES) -> DataFrame:
+    """Parity chunks of whole payloads, as :func:`xor_parity` over their groups, but without moving any chunk."""
+    k = n - 1
+
+    def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file_id, payload in zip(batch.column("file_id").to_pylist(), batch.column("payload").to_pylist()):
+                data = np.frombuffer(payload or b"", dtype="u1")
+                found = []
+                for begin in range(0, len(data), k * size):
+                    group = data[begin:begin + k * size]
+                    parity = group[:size].copy()
+                    for lo in range(size, len(group), size):
+                        part = group[lo:lo + size]
+                        parity[:len(part)] ^= part
+                    found.append(parity.tobytes())
+                if found:
+                    yield pa.record_batch({"file_id": pa.array([file_id] * len(found), pa.int64()),
+                                           "group_index": pa.array(range(len(found)), pa.int32()), "parity": pa.array(found, pa.binary())})
+    return files.select("file_id", "payload").mapInArrow(parities, "file_id bigint, group_index int, parity binary")
+
+
 # Reading back --------------------------------------------------------------------------------------------------------
 
 def assemble(chunks: DataFrame) -> DataFrame:
@@ -110,10 +133,12 @@ def assemble(chunks: DataFrame) -> DataFrame:
 
 
 def read_mirror(replicas: DataFrame) -> DataFrame:
-    """The first readable replica of each file in shard order; none leaves a null payload."""
-    return replicas.groupBy("file_id").agg(
-        F.min_by("payload", F.when(F.col("ok"), F.col("shard_id"))).alias("payload"),
-        F.min(F.when(F.col("ok"), F.col("shard_id"))).alias("shard_id"))
+    """The first readable replica of each file in shard order; none leaves a null payload.
+
+    The choice is made on ids alone; only the chosen replicas' payloads move.
+    """
+    chosen = replicas.groupBy("file_id").agg(F.min(F.when(F.col("ok"), F.col("shard_id"))).alias("shard_id"))
+    return chosen.join(replicas.select("file_id", "shard_id", "payload"), ["file_id", "shard_id"], "left")
 
 
 def missing_chunks(files: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arrayflow.functions.expr import MICROS, STAGES, micros, stage_of
-from arrayflow.functions.ordered import number
+from arrayflow.functions.ordered import number, running_sum
 
 # The monitored metrics and the scaling bounds.
 METRICS = ("producer_rate", "compressor_rate", "writer_rate", "buffer_usage", "queue_depth", "compression_ratio")
@@ -19,18 +18,24 @@ ADD_BELOW, REMOVE_ABOVE = 20.0, 80.0
 def rolling_mean(gauges: DataFrame, seconds: float = 10, by: Sequence[str] = ("metric",)) -> DataFrame:
     """Mean of the trailing ``seconds`` (far end included) at every instant that has samples.
 
-    Samples of one instant are summed first. Each instant then serves its own time bucket and the next one, so a task
-    holds two windows of one group and never the whole group.
+    Samples of one instant are summed first. A sum enters at its instant and leaves right after ``seconds``; the running
+    sum of entries and exits is the trailing sum, at the same cost for any window length. Time is cut into buckets one
+    window long: a sum enters its own bucket and the next one, where it also leaves, so each bucket stands alone.
     """
     by, span = list(by), int(seconds * MICROS)
     instants = (gauges.groupBy(*by, micros("ts").alias("ts_us"))
                 .agg(F.sum("value").alias("_sum"), F.count("value").alias("_n")))
-    bucket = F.floor(F.col("ts_us") / F.lit(span)).cast("bigint")
-    spread = instants.withColumn("_home", bucket).withColumn("_bucket", F.explode(F.array("_home", F.col("_home") + 1)))
-    frame = W.partitionBy(*by, "_bucket").orderBy("ts_us").rangeBetween(-span, 0)
-    summed = spread.select("*", F.sum("_sum").over(frame).alias("_total"), F.sum("_n").over(frame).alias("n_samples"))
-    return (summed.filter(F.col("_bucket") == F.col("_home"))
-            .select(*by, "ts_us", F.coalesce(F.col("_total") / F.col("n_samples"), F.lit(0.0)).alias("rolling_mean"), "n_samples"))
+    home = F.floor(F.col("ts_us") / F.lit(span)).cast("bigint")
+
+    def change(bucket: Column, at: Column, sign: int, own: bool) -> Column:
+        return F.struct(bucket.alias("_bucket"), at.alias("_at"), F.lit(0 if sign > 0 else 1).alias("_leaves"), F.lit(own).alias("_own"),
+                        (F.col("_sum") * sign).alias("_dsum"), (F.col("_n") * sign).alias("_dn"))
+    at = F.col("ts_us")
+    changes = F.explode(F.array(change(home, at, 1, True), change(home + 1, at, 1, False), change(home + 1, at + span, -1, False)))
+    spread = instants.withColumn("_change", changes).select(*by, "ts_us", "_change.*")
+    summed = running_sum(spread, [*by, "_bucket"], ["_at", "_leaves"], {"_total": F.coalesce("_dsum", F.lit(0.0)), "n_samples": "_dn"})
+    mean = F.when(F.col("n_samples") > 0, F.col("_total") / F.col("n_samples")).otherwise(0.0)
+    return summed.filter("_own").select(*by, "ts_us", mean.alias("rolling_mean"), "n_samples")
 
 
 def rolling_idle(idle_samples: DataFrame, seconds: float = 15) -> DataFrame:

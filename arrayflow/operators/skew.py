@@ -24,7 +24,7 @@ UNKNOWN_IDLE = 100.0
 
 # Resolution of the move join: 2^JOIN_BITS levels over the value range.
 JOIN_BITS = 12
-# Rows folded into one composed step of the adaptive threshold.
+# Most rows of one fold of the adaptive threshold.
 STRETCH = 256
 
 
@@ -186,11 +186,40 @@ def recent_success(moves: DataFrame, n: int = RECENT_SUCCESS, by: Sequence[str]
     return keep_last(moves, list(by), ["seq"], n).groupBy(*by).agg(share.alias("success_rate"), F.count(F.lit(1)).alias("n"))
 
 
+def _bounded(value: Column, step: Column) -> Column:
+    """Apply one map t -> min(hi, max(lo, a t))."""
+    return F.least(step["hi"], F.greatest(step["lo"], value * step["a"]))
+
+
+def _fold_groups(steps: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Ordered maps (pos, step) in groups of ``STRETCH``: their array and the one map they compose to."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "step")))
+    grouped = steps.groupBy(*by, F.floor(F.col("pos") / STRETCH).cast("bigint").alias("group")).agg(ordered.alias("steps"))
+    identity = F.struct(F.lit(1.0).alias("a"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+
+    def compose(acc: Column, row: Column) -> Column:
+        step = row["step"]
+        return F.struct((acc["a"] * step["a"]).alias("a"), _bounded(acc["lo"], step).alias("lo"), _bounded(acc["hi"], step).alias("hi"))
+    return grouped.withColumn("whole", F.aggregate("steps", identity, compose))
+
+
+def _replay(start: Column) -> Column:
+    """(pos, before, after) of every map in ``steps``, from a start value."""
+    rows = F.array().cast("array<struct<pos:bigint,before:double,after:double>>")
+
+    def step(acc: Column, row: Column) -> Column:
+        after = _bounded(acc["t"], row["step"])
+        made = F.struct(row["pos"].alias("pos"), acc["t"].alias("before"), after.alias("after"))
+        return F.struct(after.alias("t"), F.concat(acc["rows"], F.array(made)).alias("rows"))
+    return F.aggregate("steps", F.struct(start.alias("t"), rows.alias("rows")), step)["rows"]
+
+
 def adaptive_threshold(moves: DataFrame, start: float, by: Sequence[str] = ()) -> DataFrame:
     """Threshold after every move: from the tenth on it follows the success rate of the last ten, within bounds.
 
-    One step is t -> min(hi, max(lo, a t)). Such maps compose to maps of the same form, so a stretch of moves becomes one
-    map. Stretches are composed in parallel, chained per group, and then each is replayed from its own start value.
+    One move maps t to min(hi, max(lo, a t)), and such maps compose to maps of the same form. Stretches of moves are
+    composed in parallel, stretches of stretches again; a fold over the few that remain gives start values, from which
+    the stretches are replayed, again in parallel.
     """
     by = list(by)
     numbered = number(moves.select(*by, "seq", "success"), by, ["seq"], "_rn")
@@ -198,44 +227,28 @@ def adaptive_threshold(moves: DataFrame, start: float, by: Sequence[str] = ()) -
     rate = F.col("_good") / float(RECENT_MOVES)
     factor = F.when(rate > LOWER_ABOVE, 1 - RATE).when(rate < RAISE_BELOW, 1 + RATE).otherwise(1.0)
     counted = F.col("_rn") >= RECENT_MOVES
-    steps = rated.select(*by, "seq", "_rn", F.floor((F.col("_rn") - 1) / STRETCH).alias("_stretch"),
-                         F.when(counted, factor).alias("_factor"))
-    # array_sort by position; a stretch holds at most STRETCH rows.
-    stretch = steps.groupBy(*by, "_stretch").agg(F.array_sort(F.collect_list(F.struct("_rn", "seq", "_factor"))).alias("_steps"))
 
-    def clamp(value: Column, low: Column, high: Column) -> Column:
-        return F.least(high, F.greatest(low, value))
+    def bound(value: float, none: str) -> Column:
+        return F.when(counted, F.lit(value)).otherwise(F.lit(float(none)))
+    step = F.struct(F.when(counted, factor).otherwise(1.0).alias("a"), bound(LOWEST, "-inf").alias("lo"), bound(HIGHEST, "inf").alias("hi"))
+    placed = rated.select(*by, "seq", (F.col("_rn") - 1).alias("pos"), step.alias("step"))
 
-    def compose(acc: Column, row: Column) -> Column:
-        a, lo, hi = acc["a"], acc["lo"], acc["hi"]
-        f = row["_factor"]
-        return F.when(f.isNull(), acc).otherwise(F.struct(
-            (a * f).alias("a"), clamp(lo * f, F.lit(LOWEST), F.lit(HIGHEST)).alias("lo"), clamp(hi * f, F.lit(LOWEST), F.lit(HIGHEST)).alias("hi")))
-    identity = F.struct(F.lit(1.0).alias("a"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
-    composed = stretch.select(*by, "_stretch", F.aggregate("_steps", identity, compose).alias("_map"))
-
-    # One small row per stretch: the start value of each is the fold of the maps before it.
-    chained = composed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_stretch", "_map"))).alias("_maps"))
-
-    def chain(acc: Column, row: Column) -> Column:
-        m = row["_map"]
-        begin = F.struct(row["_stretch"].alias("_stretch"), acc["t"].alias("_start"))
-        return F.struct(clamp(acc["t"] * m["a"], m["lo"], m["hi"]).alias("t"), F.concat(acc["starts"], F.array(begin)).alias("starts"))
-    none = F.array().cast("array<struct<_stretch:bigint,_start:double>>")
-    starts = F.aggregate("_maps", F.struct(F.lit(float(start)).alias("t"), none.alias("starts")), chain)["starts"]
-    starts = chained.select(*by, F.explode(starts).alias("s")).select(*by, "s._stretch", "s._start")
-
-    def replay(acc: Column, row: Column) -> Column:
-        t = F.when(row["_factor"].isNull(), acc["t"]).otherwise(clamp(acc["t"] * row["_factor"], F.lit(LOWEST), F.lit(HIGHEST)))
-        return F.struct(t.alias("t"), F.concat(acc["out"], F.array(F.struct(row["seq"].alias("seq"), t.alias("threshold")))).alias("out"))
-    seq_type = moves.schema["seq"].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<seq:{seq_type},threshold:double>>")
-    replayed = F.aggregate("_steps", F.struct(F.col("_start").alias("t"), empty.alias("out")), replay)["out"]
-    return (stretch.join(starts, [*by, "_stretch"]).select(*by, F.explode(replayed).alias("r"))
-            .select(*by, "r.seq", "r.threshold"))
-
-
-def assign_tasks(candidates: DataFrame, stats: DataFrame, policy: str = "min_idle", capacity: int | None = None) -> DataFrame:
+    stretches = _fold_groups(placed.select(*by, "pos", "step"), by)
+    spans = _fold_groups(stretches.select(*by, F.col("group").alias("pos"), F.col("whole").alias("step")), by)
+    # One row per STRETCH * STRETCH moves is left to fold in a single array.
+    top = spans.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("group").alias("pos"), F.col("whole").alias("step")))).alias("steps"))
+
+    def starts(grouped: DataFrame, start: Column) -> DataFrame:
+        return grouped.select(*by, F.explode(_replay(start)).alias("r")).select(*by, F.col("r.pos").alias("group"), F.col("r.before").alias("start"))
+    span_starts = starts(top, F.lit(float(start)))
+    stretch_starts = starts(spans.join(span_starts, [*by, "group"]), F.col("start"))
+    replayed = stretches.join(stretch_starts, [*by, "group"]).select(*by, F.explode(_replay(F.col("start"))).alias("r"))
+    thresholds = replayed.select(*by, "r.pos", F.col("r.after").alias("threshold"))
+    return placed.select(*by, "seq", "pos").join(thresholds, [*by, "pos"]).select(*by, "seq", "threshold")
+
+
+def assign_tasks(candidates: DataFrame, stats: DataFrame, policy: str = "min_idle", capacity: int | None = None,
+                 by: Sequence[str] = ()) -> DataFrame:
     """One worker per task from its candidates (task_id, position, worker_id).
 
     ``min_idle`` takes the smallest idle percentage, ``max_idle`` the largest; a worker without statistics counts as 100
@@ -243,15 +256,17 @@ def assign_tasks(candidates: DataFrame, stats: DataFrame, policy: str = "min_idl
     """
     idle = F.coalesce("idle_percentage", F.lit(UNKNOWN_IDLE))
     sign = {"min_idle": 1, "max_idle": -1}[policy]
-    joined = candidates.join(stats.select("worker_id", "idle_percentage"), "worker_id", "left")
+    keys = [*by, "worker_id"]
+    joined = candidates.join(stats.select(*keys, "idle_percentage"), keys, "left")
     chosen = F.min_by("worker_id", F.struct((idle * sign).alias("idle"), "position"))
     if capacity is not None:
         chosen = F.when(F.max("batch_size") <= capacity, chosen)
-    return joined.groupBy("task_id").agg(chosen.alias("worker_id"))
+    return joined.groupBy(*by, "task_id").agg(chosen.alias("worker_id"))
 
 
-def load_history(samples: DataFrame, fields: Sequence[str], n: int = LOAD_SAMPLES) -> DataFrame:
+def load_history(samples: DataFrame, fields: Sequence[str], n: int = LOAD_SAMPLES, by: Sequence[str] = ()) -> DataFrame:
     """The last ``n`` samples of every worker; a missing field carries its previous value."""
-    carried = last_known(samples, ["worker_id"], ["ts", "seq"], {f"_{f}": f for f in fields})
-    filled = carried.select("worker_id", "ts", "seq", *[F.col(f"_{f}").alias(f) for f in fields])
-    return keep_last(filled, ["worker_id"], ["ts", "seq"], n)
+    keys = [*by, "worker_id"]
+    carried = last_known(samples, keys, ["ts", "seq"], {f"_{f}": f for f in fields})
+    filled = carried.select(*keys, "ts", "seq", *[F.col(f"_{f}").alias(f) for f in fields])
+    return keep_last(filled, keys, ["ts", "seq"], n)

@@ -97,6 +97,12 @@ def xor_parity(spark: SparkSession, sf: str) -> DataFrame:
     return L.xor_parity(groups(spark, sf)).select("file_id", "group_index", F.octet_length("parity").alias("n"), digest("parity"))
 
 
+@query(f"WITH {PARITY} SELECT file_id, group_index, length(hex) // 2 AS n, md5(hex) AS digest FROM par")
+def file_parity(spark: SparkSession, sf: str) -> DataFrame:
+    parities = L.file_parity(B.payloads(spark, sf), B.SHARDS, B.CHUNK)
+    return parities.select("file_id", "group_index", F.octet_length("parity").alias("n"), digest("parity"))
+
+
 @query("SELECT doc_id AS file_id, true AS complete, md5(text) AS digest FROM documents WHERE strlen(text) > 0")
 def assemble(spark: SparkSession, sf: str) -> DataFrame:
     return L.assemble(chunks(spark, sf)).select("file_id", "complete", F.md5("payload").alias("digest"))
