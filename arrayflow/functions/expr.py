@@ -27,6 +27,11 @@ def seconds_between(start: ColumnLike, end: ColumnLike) -> Column:
     return (micros(end) - micros(start)) / F.lit(float(MICROS))
 
 
+def floor_div(value: Column, by: int) -> Column:
+    """Whole-number division rounding down, exact for any bigint."""
+    return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))
+
+
 def ratio(part: ColumnLike, whole: ColumnLike, empty: float | None = 0.0) -> Column:
     """part / whole where whole > 0, else ``empty``."""
     part, whole = col(part), col(whole)

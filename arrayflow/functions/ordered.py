@@ -4,7 +4,8 @@ Every function takes ``keys`` (may be empty) and ``order`` (ascending, unique wi
 counted first, with map-side combining and only the key columns read. While it fits into one task
 (``spark.arrayflow.groupRows``) a plain window does the work. Beyond that, rows are range-partitioned by
 ``(keys, order)`` into slices, each slice is worked through on its own, and the slices' small summaries (at most one
-row per slice and group) carry the state across slice borders.
+row per slice and group) carry the state across slice borders. A caller that chains several steps over the same groups
+counts once and passes ``sizes`` on.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ SLICE = "_slice"
 PRUNED_LIMIT = 1000
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+Sizes = tuple[int, int]
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> Sizes:
     """(rows of the largest group, rows in all)."""
     if not keys:
         total = df.count()
@@ -32,10 +36,10 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return row["top"] or 0, row["total"] or 0
 
 
-def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
+def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], sizes: Sizes | None = None) -> DataFrame | None:
     """Rows with their slice number, or None while every group fits into one task."""
     limit = group_rows(df.sparkSession)
-    top, total = group_sizes(df, keys)
+    top, total = sizes or group_sizes(df, keys)
     if top <= limit:
         return None
     n_slices = -(-2 * total // limit)
@@ -64,10 +68,11 @@ def _across_slices(sliced: DataFrame, keys: Sequence[str], aggregates: Mapping[s
     return summary.select(SLICE, *keys, *[carry(n, between).alias(n) for n in aggregates])
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column | str]) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column | str],
+                sizes: Sizes | None = None) -> DataFrame:
     """Add inclusive running sums ``{output: value}``."""
     sums = {name: F.col(v) if isinstance(v, str) else v for name, v in sums.items()}
-    sliced = _slices(df, keys, order)
+    sliced = _slices(df, keys, order, sizes)
     if sliced is None:
         frame = _over(keys, order).rowsBetween(W.unboundedPreceding, 0)
         return df.select("*", *[F.sum(v).over(frame).alias(n) for n, v in sums.items()])
@@ -82,15 +87,16 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
         .otherwise(F.coalesce(n, F.lit(0)) + F.coalesce(f"_base_{n}", F.lit(0))).alias(n) for n in sums])
 
 
-def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn") -> DataFrame:
+def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn", sizes: Sizes | None = None) -> DataFrame:
     """Add dense positions 1, 2, 3, ... as bigint."""
-    return running_sum(df, keys, order, {out: F.lit(1).cast("bigint")})
+    return running_sum(df, keys, order, {out: F.lit(1).cast("bigint")}, sizes)
 
 
-def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], step: int) -> DataFrame:
+def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], step: int,
+              sizes: Sizes | None = None) -> DataFrame:
     """Add the values of the next (step 1) or previous (step -1) row of the group, null at its end."""
     shift = F.lead if step > 0 else F.lag
-    sliced = _slices(df, keys, order)
+    sliced = _slices(df, keys, order, sizes)
     if sliced is None:
         frame = _over(keys, order)
         return df.select("*", *[shift(v, 1).over(frame).alias(n) for n, v in values.items()])
@@ -106,10 +112,11 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
         F.coalesce("_near", "_edge").getField(n).alias(n) for n in values])
 
 
-def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column | str]) -> DataFrame:
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column | str],
+               sizes: Sizes | None = None) -> DataFrame:
     """Add the latest non-null value up to and including each row."""
     values = {name: F.col(v) if isinstance(v, str) else v for name, v in values.items()}
-    sliced = _slices(df, keys, order)
+    sliced = _slices(df, keys, order, sizes)
     if sliced is None:
         frame = _over(keys, order).rowsBetween(W.unboundedPreceding, 0)
         return df.select("*", *[F.last(v, ignorenulls=True).over(frame).alias(n) for n, v in values.items()])
@@ -123,16 +130,17 @@ def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
     return joined.select(*df.columns, *[F.coalesce(f"_own_{n}", f"_carry_{n}").alias(n) for n in values])
 
 
-def trailing_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, sums: Mapping[str, Column | str]) -> DataFrame:
+def trailing_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, sums: Mapping[str, Column | str],
+                 sizes: Sizes | None = None) -> DataFrame:
     """Add sums over the last ``n`` rows, as the difference of two running sums: values must be whole numbers."""
     sums = {name: F.col(v) if isinstance(v, str) else v for name, v in sums.items()}
-    top, _ = group_sizes(df, keys)
-    if top <= group_rows(df.sparkSession):
+    sizes = sizes or group_sizes(df, keys)
+    if sizes[0] <= group_rows(df.sparkSession):
         # A running sum minus itself n rows ago costs the same for every n; a moving frame would cost n per row.
         frame = _over(keys, order)
         ran = df.select("*", *[F.sum(v).over(frame.rowsBetween(W.unboundedPreceding, 0)).alias(s) for s, v in sums.items()])
         return ran.select(*df.columns, *[(F.col(s) - F.coalesce(F.lag(s, n).over(frame), F.lit(0))).alias(s) for s in sums])
-    totals = pinned(running_sum(df, keys, order, {"_rn": F.lit(1).cast("bigint"), **sums}))
+    totals = pinned(running_sum(df, keys, order, {"_rn": F.lit(1).cast("bigint"), **sums}, sizes))
     before = totals.select(*keys, (F.col("_rn") + n).alias("_rn"), *[F.col(s).alias(f"_before_{s}") for s in sums])
     joined = _join_on(totals, before, [*keys, "_rn"], [f"_before_{s}" for s in sums])
     return joined.select(*df.columns, *[(F.col(s) - F.coalesce(f"_before_{s}", F.lit(0))).alias(s) for s in sums])

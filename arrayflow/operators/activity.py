@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arrayflow.functions.expr import MICROS, STAGES, attach, micros, ratio, seconds_between, stage_of
 from arrayflow.functions.ordered import keep_last, last_known, neighbour, running_sum, trailing_sum
+from arrayflow.session import pinned
 
 # Gauge names, history sizes, thresholds of the reports.
 GAUGES = ("buffer_usage", "queue_size", "throughput", "compression_ratio", "write_speed")
@@ -265,8 +266,7 @@ def buffer_occupancy(buffer_events: DataFrame, total: int, window_seconds: float
     Events before the window only count into a start value, so the ordered part never grows beyond the window.
     """
     by = list(by)
-    step = F.when(F.col("kind") == "acquire", 1).otherwise(-1)
-    events = buffer_events.withColumn("_step", step)
+    events = buffer_events.withColumn("_step", F.when(F.col("kind") == "acquire", 1).otherwise(-1))
     if window_seconds is None:
         recent = events.withColumn("_base", F.lit(0).cast("bigint"))
     else:
@@ -331,19 +331,20 @@ def queue_depths(queue_events: DataFrame) -> DataFrame:
 
 
 def full_status(stats: DataFrame, log_events: DataFrame, level: str | None = None) -> DataFrame:
-    """All roll-ups as one row: section name to JSON document."""
+    """All roll-ups as one row: section name to JSON document. The statistics, one row per worker, are computed once."""
     def section(name: str, df: DataFrame) -> DataFrame:
         return df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns)).alias("body"))
+    stats = pinned(stats)
     errors = recent_errors(log_events, level=level).agg(
-        F.array_sort(F.collect_list(F.struct("ts", "seq", "level", "message"))).alias("messages"))
+        F.sort_array(F.collect_list(F.struct("ts", "seq", "level", "message"))).alias("messages"))
     sections: Mapping[str, DataFrame] = {
         "pipeline": pipeline_rollup(stats), "throughput": stage_throughput(stats), "queues": queue_summary(stats),
         "compression": compression_summary(stats),
         "idle": idle_classes(stats).groupBy("status").agg(F.count(F.lit(1)).alias("workers"))
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "workers")))).alias("workers_by_status")),
+        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "workers")))).alias("workers_by_status")),
         "errors": errors}
     rows = [section(name, df) for name, df in sections.items()]
     union = rows[0]
     for row in rows[1:]:
         union = union.union(row)
-    return union.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "body")))).alias("status"))
+    return union.groupBy().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "body")))).alias("status"))

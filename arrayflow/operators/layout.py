@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from arrayflow.functions.expr import attach, ratio, zero_bytes
 from arrayflow.functions.ordered import keep_last, number, running_sum
+from arrayflow.operators.tensors import batched
 
 # Chunk size, spread of usage percent that counts as imbalance, speeds averaged by the picker.
 CHUNK_BYTES = 64 * 1024
@@ -89,7 +90,7 @@ def _xor(parts: pd.Series) -> pd.Series:
 
 def _in_order(*order: str) -> Column:
     """Chunks of one group sorted by ``order``."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, "chunk")))
+    rows = F.sort_array(F.collect_list(F.struct(*order, "chunk")))
     return F.transform(rows, lambda r: r["chunk"])
 
 
@@ -103,29 +104,28 @@ def file_parity(files: DataFrame, n: int, size: int = CHUNK_BYTES) -> DataFrame:
     """Parity chunks of whole payloads, as :func:`xor_parity` over their groups, but without moving any chunk."""
     k = n - 1
 
-    def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for file_id, payload in zip(batch.column("file_id").to_pylist(), batch.column("payload").to_pylist()):
                 data = np.frombuffer(payload or b"", dtype="u1")
-                found = []
-                for begin in range(0, len(data), k * size):
+                for no, begin in enumerate(range(0, len(data), k * size)):
                     group = data[begin:begin + k * size]
                     parity = group[:size].copy()
                     for lo in range(size, len(group), size):
                         part = group[lo:lo + size]
                         parity[:len(part)] ^= part
-                    found.append(parity.tobytes())
-                if found:
-                    yield pa.record_batch({"file_id": pa.array([file_id] * len(found), pa.int64()),
-                                           "group_index": pa.array(range(len(found)), pa.int32()), "parity": pa.array(found, pa.binary())})
-    return files.select("file_id", "payload").mapInArrow(parities, "file_id bigint, group_index int, parity binary")
+                    yield file_id, no, parity.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched(parities(batches), {"file_id": pa.int64(), "group_index": pa.int32(), "parity": pa.binary()})
+    return files.select("file_id", "payload").mapInArrow(run, "file_id bigint, group_index int, parity binary")
 
 
 # Reading back --------------------------------------------------------------------------------------------------------
 
 def assemble(chunks: DataFrame) -> DataFrame:
     """Chunks back to payloads; a file with missing chunks has ``complete`` false and no payload."""
-    rows = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk")))
+    rows = F.sort_array(F.collect_list(F.struct("chunk_index", "chunk")))
     joined = F.unhex(F.array_join(F.transform("_rows", lambda r: F.hex(r["chunk"])), ""))
     grouped = chunks.groupBy("file_id").agg(F.first("n_chunks").alias("n_chunks"), rows.alias("_rows"))
     complete = F.size("_rows") == F.col("n_chunks")

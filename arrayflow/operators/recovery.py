@@ -17,7 +17,7 @@ KEEP_VERSIONS = 3
 def canonical_json(text: str) -> Column:
     """A JSON object's text with its top-level keys sorted; anything else stays as it is."""
     entries = F.map_entries(F.from_json(text, "map<string,string>"))
-    return F.coalesce(F.to_json(F.map_from_entries(F.array_sort(entries))), F.col(text))
+    return F.coalesce(F.to_json(F.map_from_entries(F.sort_array(entries))), F.col(text))
 
 
 def valid_entries(wal: DataFrame) -> DataFrame:

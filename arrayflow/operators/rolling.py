@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayflow.functions.expr import MICROS, STAGES, micros, stage_of
+from arrayflow.functions.expr import MICROS, STAGES, floor_div, micros, stage_of
 from arrayflow.functions.ordered import number, running_sum
 
 # The monitored metrics and the scaling bounds.
@@ -25,7 +25,7 @@ def rolling_mean(gauges: DataFrame, seconds: float = 10, by: Sequence[str] = ("m
     by, span = list(by), int(seconds * MICROS)
     instants = (gauges.groupBy(*by, micros("ts").alias("ts_us"))
                 .agg(F.sum("value").alias("_sum"), F.count("value").alias("_n")))
-    home = F.floor(F.col("ts_us") / F.lit(span)).cast("bigint")
+    home = floor_div(F.col("ts_us"), span)
 
     def change(bucket: Column, at: Column, sign: int, own: bool) -> Column:
         return F.struct(bucket.alias("_bucket"), at.alias("_at"), F.lit(0 if sign > 0 else 1).alias("_leaves"), F.lit(own).alias("_own"),
@@ -92,11 +92,11 @@ def checkpoint_due(completions: DataFrame, every_n: int = 10, every_seconds: flo
     by = list(by)
     numbered = number(completions.select(*by, "ts", "seq"), by, ["ts", "seq"], "_rn")
     numbered = numbered.withColumn("_us", micros("ts"))
-    own = F.floor((F.col("_rn") - 1) / every_n).cast("bigint")
+    own = floor_div(F.col("_rn") - 1, every_n)
     # A counted save is also the start of the next stretch.
     stretches = F.when(F.col("_rn") % every_n == 0, F.array(own, own + 1)).otherwise(F.array(own))
     rows = numbered.withColumn("_stretch", F.explode(stretches))
-    ordered = F.array_sort(F.collect_list(F.struct("_rn", "_us", "ts", "seq")))
+    ordered = F.sort_array(F.collect_list(F.struct("_rn", "_us", "ts", "seq")))
     grouped = rows.groupBy(*by, "_stretch").agg(ordered.alias("_rows"))
 
     gap = int(every_seconds * MICROS)

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayflow.functions.expr import attach
-from arrayflow.functions.ordered import keep_last, last_known, number, trailing_sum
+from arrayflow.functions.expr import attach, floor_div
+from arrayflow.functions.ordered import group_sizes, keep_last, last_known, number, trailing_sum
 
 # Overload marks, gate, move estimate, score weights, learning rule.
 QUEUE_MARK, CPU_MARK, LOAD_MARK, IDLE_MARK, MARKS_NEEDED = 5, 90.0, 0.8, 0.1, 2
@@ -193,8 +193,8 @@ def _bounded(value: Column, step: Column) -> Column:
 
 def _fold_groups(steps: DataFrame, by: Sequence[str]) -> DataFrame:
     """Ordered maps (pos, step) in groups of ``STRETCH``: their array and the one map they compose to."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "step")))
-    grouped = steps.groupBy(*by, F.floor(F.col("pos") / STRETCH).cast("bigint").alias("group")).agg(ordered.alias("steps"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "step")))
+    grouped = steps.groupBy(*by, floor_div(F.col("pos"), STRETCH).alias("group")).agg(ordered.alias("steps"))
     identity = F.struct(F.lit(1.0).alias("a"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
 
     def compose(acc: Column, row: Column) -> Column:
@@ -222,8 +222,9 @@ def adaptive_threshold(moves: DataFrame, start: float, by: Sequence[str] = ()) -
     the stretches are replayed, again in parallel.
     """
     by = list(by)
-    numbered = number(moves.select(*by, "seq", "success"), by, ["seq"], "_rn")
-    rated = trailing_sum(numbered, by, ["seq"], RECENT_MOVES, {"_good": F.col("success").cast("bigint")})
+    sizes = group_sizes(moves, by)
+    numbered = number(moves.select(*by, "seq", "success"), by, ["seq"], "_rn", sizes)
+    rated = trailing_sum(numbered, by, ["seq"], RECENT_MOVES, {"_good": F.col("success").cast("bigint")}, sizes)
     rate = F.col("_good") / float(RECENT_MOVES)
     factor = F.when(rate > LOWER_ABOVE, 1 - RATE).when(rate < RAISE_BELOW, 1 + RATE).otherwise(1.0)
     counted = F.col("_rn") >= RECENT_MOVES
@@ -236,7 +237,7 @@ def adaptive_threshold(moves: DataFrame, start: float, by: Sequence[str] = ()) -
     stretches = _fold_groups(placed.select(*by, "pos", "step"), by)
     spans = _fold_groups(stretches.select(*by, F.col("group").alias("pos"), F.col("whole").alias("step")), by)
     # One row per STRETCH * STRETCH moves is left to fold in a single array.
-    top = spans.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("group").alias("pos"), F.col("whole").alias("step")))).alias("steps"))
+    top = spans.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("group").alias("pos"), F.col("whole").alias("step")))).alias("steps"))
 
     def starts(grouped: DataFrame, start: Column) -> DataFrame:
         return grouped.select(*by, F.explode(_replay(start)).alias("r")).select(*by, F.col("r.pos").alias("group"), F.col("r.before").alias("start"))

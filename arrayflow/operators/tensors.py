@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +10,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayflow.functions.expr import element_count, ratio
-from arrayflow.functions.ordered import neighbour, running_sum
+from arrayflow.functions.expr import element_count, floor_div, ratio
+from arrayflow.functions.ordered import group_sizes, neighbour, running_sum
 
 # Bytes per element by dtype, zstd level, run-length word size, size above which path A is taken.
 DTYPE_BYTES = {"float16": 2, "float32": 4, "float64": 8, "int8": 1, "int16": 2, "int32": 4, "int64": 8,
@@ -24,19 +24,50 @@ BATCH_CELLS = 1 << 18
 PIECE = 1 << 16
 
 
+def batched(rows: Iterable[tuple], types: Mapping[str, pa.DataType], max_rows: int = 10_000, max_bytes: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+    """Tuples to Arrow batches bounded in rows and in bytes of their binary fields."""
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), types.values())], names=list(types))
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes))
+        if len(held) >= max_rows or size >= max_bytes:
+            yield flush(held)
+            held, size = [], 0
+    if held:
+        yield flush(held)
+
+
 # Cells ---------------------------------------------------------------------------------------------------------------
 
 def decode_cells(tensors: DataFrame) -> DataFrame:
     """Binary payloads to (tensor_id, pos, value); large tensors leave in batches of bounded size."""
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
         for batch in batches:
             for tensor_id, dtype, payload in zip(*(batch.column(n).to_pylist() for n in ("tensor_id", "dtype", "payload"))):
                 values = np.frombuffer(payload, dtype=dtype)
                 for lo in range(0, len(values), BATCH_CELLS):
-                    part = values[lo:lo + BATCH_CELLS].astype("float64")
-                    yield pa.record_batch({
-                        "tensor_id": np.full(len(part), tensor_id, dtype="int64"),
-                        "pos": np.arange(lo, lo + len(part), dtype="int64"), "value": part})
+                    yield tensor_id, lo, values[lo:lo + BATCH_CELLS].astype("float64")
+
+    def flush(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        counts = [len(v) for _, _, v in held]
+        return pa.record_batch({
+            "tensor_id": np.repeat(np.array([t for t, _, _ in held], dtype="int64"), counts),
+            "pos": np.concatenate([np.arange(lo, lo + n, dtype="int64") for (_, lo, _), n in zip(held, counts)]),
+            "value": np.concatenate([v for _, _, v in held])})
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for part in parts(batches):
+            held.append(part)
+            n += len(part[2])
+            if n >= BATCH_CELLS:
+                yield flush(held)
+                held, n = [], 0
+        if n:
+            yield flush(held)
     return (tensors.select("tensor_id", "dtype", "payload")
             .mapInArrow(decode, "tensor_id bigint, pos bigint, value double"))
 
@@ -61,7 +92,8 @@ def generate_tensors(specs: DataFrame, seed: int = 0, default_size: int = 100) -
     size = F.coalesce("size", F.lit(default_size)).cast("bigint")
     sized = specs.select("tensor_id", F.coalesce("kind", F.lit("random")).alias("kind"), size.alias("size"))
     rows = sized.filter(F.col("size") > 0).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
-    cells = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
+    # The rows of a large matrix spread over all tasks before they become cells.
+    cells = rows.repartition("tensor_id", "i").withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
     pos = F.col("i") * F.col("size") + F.col("j")
     # 2^24 steps keep the value exact in float32.
     noise = F.pmod(F.xxhash64(F.lit(seed), "tensor_id", pos), F.lit(1 << 24)) / float(1 << 24)
@@ -85,9 +117,9 @@ def slice_tensor(cells: DataFrame, shape: Sequence[int], slices: Sequence[slice]
         stop = min(stop, dim)
         spans.append((stride, dim, start, stop, step, max(0, -(-(stop - start) // step))))
     for stride, dim, start, stop, step, length in spans:
-        index = F.floor(F.col("pos") / stride).cast("bigint") % dim
+        index = floor_div(F.col("pos"), stride) % dim
         keep = keep & (index >= start) & (index < stop) & ((index - start) % step == 0)
-        new_pos = new_pos * length + F.floor((index - start) / step).cast("bigint")
+        new_pos = new_pos * length + floor_div(index - start, step)
     return cells.filter(keep).withColumn("pos", new_pos)
 
 
@@ -101,14 +133,16 @@ def apply_transforms(cells: DataFrame, transforms: Sequence[Callable[[Column], C
 
 def apply_tensor_udf(tensors: DataFrame, function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Apply an array function to every whole tensor; shape and dtype follow its result."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = {"tensor_id": pa.int64(), "shape": pa.list_(pa.int64()), "dtype": pa.string(), "payload": pa.binary()}
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for row in batch.to_pylist():
                 result = np.ascontiguousarray(function(np.frombuffer(row["payload"], dtype=row["dtype"]).reshape(row["shape"])))
-                yield pa.record_batch({
-                    "tensor_id": pa.array([row["tensor_id"]], pa.int64()),
-                    "shape": pa.array([list(result.shape)], pa.list_(pa.int64())),
-                    "dtype": pa.array([str(result.dtype)]), "payload": pa.array([result.tobytes()], pa.binary())})
+                yield row["tensor_id"], list(result.shape), str(result.dtype), result.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched(results(batches), types)
     return (tensors.select("tensor_id", "shape", "dtype", "payload")
             .mapInArrow(run, "tensor_id bigint, shape array<bigint>, dtype string, payload binary"))
 
@@ -130,10 +164,11 @@ def content_id(tensors: DataFrame, payload: str = "payload", name: str = "name")
 
 def rle_encode(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Runs of equal neighbouring values per group, numbered from 1."""
+    sizes = group_sizes(df, keys)
     before = neighbour(df.select(*keys, *order, value).withColumn("_has", F.lit(True)), keys, order,
-                       {"_before": value, "_before_has": "_has"}, step=-1)
+                       {"_before": value, "_before_has": "_has"}, step=-1, sizes=sizes)
     same = F.coalesce("_before_has", F.lit(False)) & F.col(value).eqNullSafe(F.col("_before"))
-    runs = running_sum(before, keys, order, {"run": F.when(same, 0).otherwise(1)})
+    runs = running_sum(before, keys, order, {"run": F.when(same, 0).otherwise(1)}, sizes)
     return runs.groupBy(*keys, "run").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("length"))
 
 

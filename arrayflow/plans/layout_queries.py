@@ -53,7 +53,7 @@ def surviving(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     placed = L.place_parity(grouped, B.SHARDS).filter(F.col("shard_id") != DEAD)
     data = placed.filter(~F.col("is_parity") & ~F.col("is_pad")).select("file_id", "chunk_index")
     parity = placed.filter("is_parity").select("file_id", "group_index")
-    return (chunks(spark, sf).join(data, ["file_id", "chunk_index"]), L.xor_parity(grouped).join(parity, ["file_id", "group_index"]))
+    return (chunks(spark, sf).join(data, ["file_id", "chunk_index"]), L.file_parity(B.payloads(spark, sf), B.SHARDS, B.CHUNK).join(parity, ["file_id", "group_index"]))
 
 
 @query(f"WITH {CHUNKS} SELECT file_id, chunk_index, n_bytes, n_chunks, length(hex) // 2 AS n, md5(hex) AS digest FROM ch")
@@ -205,7 +205,7 @@ def segment_speed(spark: SparkSession, sf: str) -> DataFrame:
 def reassemble_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Documents appended 64 to a file, so that no file grows with the data, and cut out again."""
     docs = B.payloads(spark, sf).select("file_id", "payload", F.octet_length("payload").cast("bigint").alias("length"), F.floor(F.col("file_id") / 64).alias("path_no"))
-    rows = F.array_sort(F.collect_list(F.struct("file_id", "length", "payload")))
+    rows = F.sort_array(F.collect_list(F.struct("file_id", "length", "payload")))
     packed = docs.groupBy("path_no").agg(rows.alias("rows")).withColumn(
         "content", F.unhex(F.array_join(F.transform("rows", lambda r: F.hex(r["payload"])), "")))
     zero = F.lit(0).cast("bigint")

@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrayflow.operators.activity import MAX_HISTORY, recent_intervals
+from arrayflow.operators.tensors import batched
 
 # Big-endian op, time, offset, length, meta length; then meta; then MD5.
 WAL_HEADER = ">BdqqI"
 DIGEST_BYTES = 16
 WAL_SCHEMA = ("path string, seq bigint, op tinyint, ts double, offset bigint, length bigint, meta string, "
               "header binary, checksum binary, checksum_ok boolean, bytes_left bigint")
-WAL_BATCH = 10_000
 
 
 def parse_wal(files: DataFrame) -> DataFrame:
@@ -42,30 +42,19 @@ def parse_wal(files: DataFrame) -> DataFrame:
             yield (path, seq, op if op < 128 else op - 256, ts, offset, length, body.decode("utf-8", "replace"), header, checksum, ok, end - stop)
             at, seq = stop, seq + 1
 
-    types = [pa.string(), pa.int64(), pa.int8(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.bool_(), pa.int64()]
-    names = [field.split()[0] for field in WAL_SCHEMA.split(", ")]
-
-    def to_batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    types = {"path": pa.string(), "seq": pa.int64(), "op": pa.int8(), "ts": pa.float64(), "offset": pa.int64(), "length": pa.int64(),
+             "meta": pa.string(), "header": pa.binary(), "checksum": pa.binary(), "checksum_ok": pa.bool_(), "bytes_left": pa.int64()}
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                rows: list[tuple] = []
-                for row in entries(path, content):
-                    rows.append(row)
-                    if len(rows) == WAL_BATCH:
-                        yield to_batch(rows)
-                        rows = []
-                if rows:
-                    yield to_batch(rows)
+        files = (f for b in batches for f in zip(b.column("path").to_pylist(), b.column("content").to_pylist()))
+        return batched((row for path, content in files for row in entries(path, content)), types)
     return files.select("path", "content").mapInArrow(parse, WAL_SCHEMA)
 
 
 def wal_files(entries: DataFrame) -> DataFrame:
     """Entries (path, seq, op, ts, offset, length, meta, spoiled) to one log content per path, for files of bounded length."""
     fields = ("seq", "op", "ts", "offset", "length", "meta", "spoiled")
-    grouped = entries.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+    grouped = entries.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +81,7 @@ def export_activity_json(path: str, activities: DataFrame, tables: Mapping[str,
     """Write activity as JSON: retained intervals nested under their worker, every other table one object per row."""
     fields = [c for c in activities.columns if c != "worker_id"]
     nested = recent_intervals(activities, max_history).groupBy("worker_id").agg(
-        F.array_sort(F.collect_list(F.struct("end_time", "seq", *[c for c in fields if c not in ("end_time", "seq")]))).alias("activities"))
+        F.sort_array(F.collect_list(F.struct("end_time", "seq", *[c for c in fields if c not in ("end_time", "seq")]))).alias("activities"))
     nested.write.mode("overwrite").json(f"{path}/activities")
     for name, table in (tables or {}).items():
         table.write.mode("overwrite").json(f"{path}/{name}")

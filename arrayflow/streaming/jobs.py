@@ -50,7 +50,7 @@ def stream_status(activities: DataFrame, log_events: DataFrame, sink: Callable[[
                   once: bool = False, seconds: float = 1) -> StreamingQuery:
     """Hand the status document to ``sink`` at most once per ``seconds``; only worker totals are kept between batches."""
     def emit(stats: DataFrame, batch_id: int) -> None:
-        sink(full_status(pinned(stats), log_events), batch_id)
+        sink(full_status(stats, log_events), batch_id)
     return _start(stream_process_stats(activities).writeStream.outputMode("complete").foreachBatch(emit), checkpoint, once, seconds)
 
 
