@@ -9,7 +9,7 @@ from arrayflow.functions.expr import micros
 from arrayflow.functions.ordered import keep_last
 from arrayflow.operators import activity as A
 from arrayflow.plans import bindings as B
-from arrayflow.plans.registry import query, rounded
+from arrayflow.plans.registry import NUDGE, query, rounded
 
 EV = """
 ev AS (SELECT event_id AS seq, epoch_us(ts) AS us, user_id AS worker_id, event_type, value,
@@ -84,21 +84,21 @@ def build_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("worker_id", "task_id", "start_us", F.coalesce("end_us", F.lit(-1)).alias("end_us"), F.coalesce("duration_us", F.lit(-1)).alias("duration_us"))
 
 
-@query(f"""WITH {STATS} SELECT worker_id, total_activities, round(total_duration, 6) AS total_duration, round(total_idle_time, 4) AS total_idle_time,
-  round(idle_percentage, 6) AS idle_percentage, round(avg_cpu_usage, 6) AS avg_cpu_usage, round(avg_memory_usage, 6) AS avg_memory_usage FROM stats""")
+@query(f"""WITH {STATS} SELECT worker_id, total_activities, round(total_duration, 6) AS total_duration, round(total_idle_time, 6) AS total_idle_time,
+  round(idle_percentage + {NUDGE}, 6) AS idle_percentage, round(avg_cpu_usage + {NUDGE}, 6) AS avg_cpu_usage, round(avg_memory_usage + {NUDGE}, 6) AS avg_memory_usage FROM stats""")
 def worker_stats(spark: SparkSession, sf: str) -> DataFrame:
-    stats = rounded(A.worker_stats(B.activities(spark, sf)), "total_duration", "idle_percentage", "avg_cpu_usage", "avg_memory_usage")
-    return rounded(stats, "total_idle_time", digits=4)
+    stats = rounded(A.worker_stats(B.activities(spark, sf)), "total_duration", "total_idle_time")
+    return rounded(stats, "idle_percentage", "avg_cpu_usage", "avg_memory_usage", nudge=NUDGE)
 
 
 _MEANS = [f"avg_{g}" for g in A.GAUGES]
 _NOW = [f"current_{g}" for g in A.GAUGES]
 
 
-@query(f"""WITH {STATS} SELECT worker_id, worker_name, stage, current_status, total_activities, {", ".join(f"round({c}, 6) AS {c}" for c in _MEANS + _NOW)} FROM stats""")
+@query(f"""WITH {STATS} SELECT worker_id, worker_name, stage, current_status, total_activities, {", ".join(f"round({c} + {NUDGE}, 6) AS {c}" for c in _MEANS + _NOW)} FROM stats""")
 def process_stats(spark: SparkSession, sf: str) -> DataFrame:
     stats = stats_of(spark, sf).select("worker_id", "worker_name", "stage", "current_status", "total_activities", *_MEANS, *_NOW)
-    return rounded(stats, *_MEANS, *_NOW)
+    return rounded(stats, *_MEANS, *_NOW, nudge=NUDGE)
 
 
 @query("SELECT DISTINCT worker_id FROM (SELECT user_id AS worker_id FROM events UNION ALL SELECT s_suppkey FROM supplier)")

@@ -9,7 +9,7 @@ from arrayflow.functions.expr import micros
 from arrayflow.operators import rolling as R
 from arrayflow.plans import bindings as B
 from arrayflow.plans.activity_queries import ACT, EV
-from arrayflow.plans.registry import query, rounded
+from arrayflow.plans.registry import NUDGE, query, rounded
 
 HOUR = 3600
 IDLE = ACT + """,
@@ -29,15 +29,15 @@ def idle_samples(spark: SparkSession, sf: str) -> DataFrame:
     return B.activities(spark, sf).filter(F.col("end_time").isNotNull()).select("worker_name", F.col("end_time").alias("ts"), percent.alias("idle_percentage"))
 
 
-@query(f"""WITH {EV} SELECT DISTINCT metric, us AS ts_us, round(avg(value) OVER w, 6) AS rolling_mean, count(*) OVER w AS n_samples FROM ev
+@query(f"""WITH {EV} SELECT DISTINCT metric, us AS ts_us, round(avg(value) OVER w + {NUDGE}, 6) AS rolling_mean, count(*) OVER w AS n_samples FROM ev
   WINDOW w AS (PARTITION BY metric ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)""")
 def rolling_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(R.rolling_mean(B.gauges(spark, sf), HOUR), "rolling_mean")
+    return rounded(R.rolling_mean(B.gauges(spark, sf), HOUR), "rolling_mean", nudge=NUDGE)
 
 
-@query(f"WITH {IDLE} SELECT stage, ts_us, round(m, 6) AS rolling_mean, n AS n_samples FROM idle")
+@query(f"WITH {IDLE} SELECT stage, ts_us, round(m + {NUDGE}, 6) AS rolling_mean, n AS n_samples FROM idle")
 def rolling_idle(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(R.rolling_idle(idle_samples(spark, sf), HOUR), "rolling_mean")
+    return rounded(R.rolling_idle(idle_samples(spark, sf), HOUR), "rolling_mean", nudge=NUDGE)
 
 
 @query(f"WITH {IDLE} SELECT stage, ts_us, n AS n_samples, CASE WHEN m < 20 THEN 'add' WHEN m > 80 THEN 'remove' ELSE 'none' END AS decision FROM idle")
