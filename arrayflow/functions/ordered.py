@@ -5,7 +5,7 @@ counted first, with map-side combining and only the key columns read. While it f
 (``spark.arrayflow.groupRows``) a plain window does the work. Beyond that, rows are range-partitioned by
 ``(keys, order)`` into slices, each slice is worked through on its own, and the slices' small summaries (at most one
 row per slice and group) carry the state across slice borders. A caller that chains several steps over the same groups
-counts once and passes ``sizes`` on.
+starts with :func:`slice_rows`.
 """
 
 from __future__ import annotations
@@ -36,8 +36,20 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> Sizes:
     return row["top"] or 0, row["total"] or 0
 
 
+def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, Sizes]:
+    """Prepare rows for several steps over the same groups: count, and cut into slices if needed, only once.
+
+    Pass both results on to each step and drop ``SLICE`` (absent while groups are small) at the end.
+    """
+    sizes = group_sizes(df, keys)
+    sliced = _slices(df, keys, order, sizes)
+    return (df if sliced is None else sliced), sizes
+
+
 def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], sizes: Sizes | None = None) -> DataFrame | None:
     """Rows with their slice number, or None while every group fits into one task."""
+    if SLICE in df.columns:
+        return df
     limit = group_rows(df.sparkSession)
     top, total = sizes or group_sizes(df, keys)
     if top <= limit:

@@ -15,9 +15,11 @@ KEEP_VERSIONS = 3
 
 
 def canonical_json(text: str) -> Column:
-    """A JSON object's text with its top-level keys sorted; anything else stays as it is."""
-    entries = F.map_entries(F.from_json(text, "map<string,string>"))
-    return F.coalesce(F.to_json(F.map_from_entries(F.sort_array(entries))), F.col(text))
+    """JSON text with sorted keys at every level and no spaces; text that is not JSON stays as it is.
+
+    Numbers are equal by value: 1 and 1.0 give the same text.
+    """
+    return F.coalesce(F.to_json(F.try_parse_json(text)), F.col(text))
 
 
 def valid_entries(wal: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arrayflow.functions.expr import attach, floor_div
-from arrayflow.functions.ordered import group_sizes, keep_last, last_known, number, trailing_sum
+from arrayflow.functions.ordered import keep_last, last_known, number, slice_rows, trailing_sum
 
 # Overload marks, gate, move estimate, score weights, learning rule.
 QUEUE_MARK, CPU_MARK, LOAD_MARK, IDLE_MARK, MARKS_NEEDED = 5, 90.0, 0.8, 0.1, 2
@@ -222,8 +222,8 @@ def adaptive_threshold(moves: DataFrame, start: float, by: Sequence[str] = ()) -
     the stretches are replayed, again in parallel.
     """
     by = list(by)
-    sizes = group_sizes(moves, by)
-    numbered = number(moves.select(*by, "seq", "success"), by, ["seq"], "_rn", sizes)
+    rows, sizes = slice_rows(moves.select(*by, "seq", "success"), by, ["seq"])
+    numbered = number(rows, by, ["seq"], "_rn", sizes)
     rated = trailing_sum(numbered, by, ["seq"], RECENT_MOVES, {"_good": F.col("success").cast("bigint")}, sizes)
     rate = F.col("_good") / float(RECENT_MOVES)
     factor = F.when(rate > LOWER_ABOVE, 1 - RATE).when(rate < RAISE_BELOW, 1 + RATE).otherwise(1.0)

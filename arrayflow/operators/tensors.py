@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arrayflow.functions.expr import element_count, floor_div, ratio
-from arrayflow.functions.ordered import group_sizes, neighbour, running_sum
+from arrayflow.functions.ordered import neighbour, running_sum, slice_rows
 
 # Bytes per element by dtype, zstd level, run-length word size, size above which path A is taken.
 DTYPE_BYTES = {"float16": 2, "float32": 4, "float64": 8, "int8": 1, "int16": 2, "int32": 4, "int64": 8,
@@ -164,12 +164,11 @@ def content_id(tensors: DataFrame, payload: str = "payload", name: str = "name")
 
 def rle_encode(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Runs of equal neighbouring values per group, numbered from 1."""
-    sizes = group_sizes(df, keys)
-    before = neighbour(df.select(*keys, *order, value).withColumn("_has", F.lit(True)), keys, order,
-                       {"_before": value, "_before_has": "_has"}, step=-1, sizes=sizes)
+    rows, sizes = slice_rows(df.select(*keys, *order, value), keys, order)
+    before = neighbour(rows.withColumn("_has", F.lit(True)), keys, order, {"_before": value, "_before_has": "_has"}, step=-1, sizes=sizes)
     same = F.coalesce("_before_has", F.lit(False)) & F.col(value).eqNullSafe(F.col("_before"))
     runs = running_sum(before, keys, order, {"run": F.when(same, 0).otherwise(1)}, sizes)
-    return runs.groupBy(*keys, "run").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("length"))
+    return runs.groupBy(*keys, "run", value).agg(F.count(F.lit(1)).alias("length"))
 
 
 def rle_decode(runs: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -90,15 +90,19 @@ def export_activity_json(path: str, activities: DataFrame, tables: Mapping[str,
 def save_checkpoint(state: DataFrame, path: str, version: int, ts: float, system_version: str = "1.0", schema_version: str = "1.0") -> None:
     """Write the state texts (``payload``) of one version with their SHA-256.
 
-    The version is its own directory and appears only when the job commits; writing a version again replaces it.
+    Every row carries the number of rows of its version, so a reader can tell a version that is still being committed.
+    Writing a version again replaces it.
     """
-    (state.select(F.lit(system_version).alias("system_version"), F.lit(schema_version).alias("schema_version"), F.lit(ts).alias("ts"),
+    n_rows = state.count()
+    (state.select(F.lit(n_rows).cast("bigint").alias("n_rows"), F.lit(system_version).alias("system_version"), F.lit(schema_version).alias("schema_version"), F.lit(ts).alias("ts"),
                   "payload", F.sha2(F.col("payload").cast("binary"), 256).alias("checksum"),
                   *[c for c in state.columns if c != "payload"])
      .write.mode("overwrite").parquet(f"{path}/version={version}"))
 
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
-    """All saved versions."""
-    return spark.read.parquet(path).withColumn("version", F.col("version").cast("bigint"))
+    """All versions of which every row is there."""
+    rows = spark.read.parquet(path).withColumn("version", F.col("version").cast("bigint"))
+    whole = rows.groupBy("version").agg((F.count(F.lit(1)) == F.max("n_rows")).alias("whole")).filter("whole")
+    return rows.join(whole.select("version"), "version", "left_semi").drop("n_rows")
 

@@ -304,6 +304,21 @@ def test_checkpoints(spark, tmp_path, frame, rows):
     assert R.load_checkpoint(kept.withColumn("payload", F.lit("corrupted data"))).count() == 0
 
 
+def test_half_written_version_is_not_read(spark, tmp_path, frame, rows):
+    path = str(tmp_path / "ck")
+    logs.save_checkpoint(frame([("a",)], "payload string"), path, 1, ts=1.0)
+    logs.save_checkpoint(frame([("b",), ("c",)], "payload string").repartition(2), path, 2, ts=2.0)
+    assert rows(logs.read_checkpoints(spark, path), "version") == [(1,), (2,), (2,)]
+    next((tmp_path / "ck" / "version=2").glob("*.parquet")).rename(tmp_path / "late.parquet")
+    assert rows(logs.read_checkpoints(spark, path), "version") == [(1,)]
+
+
+def test_canonical_meta(frame, rows):
+    texts = [('{"b": 1, "a": {"z": 1, "y": [2, "3"]}}',), ('{"a":{"y":[2,"3"],"z":1},"b":1}',), ('{"a": "1"}',), ('{"a": 1}',), ("no json",)]
+    keys = [k for k, in frame(texts, "meta string").select(R.canonical_json("meta")).collect()]
+    assert keys[0] == keys[1] and keys[2] != keys[3] and keys[4] == "no json"
+
+
 def test_restore(frame, rows):
     saved = frame([(1001, "alive"), (1002, "alive")], "worker_id bigint, health string")
     restored = R.restore_state(saved, frame([(1001,), (7,)], "worker_id bigint"))
