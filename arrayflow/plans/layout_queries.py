@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arrayflow.operators import layout as L
 from arrayflow.plans import bindings as B
-from arrayflow.plans.registry import query, rounded
+from arrayflow.plans.registry import query, rounded, wide
 
 K = B.SHARDS - 1
 # The shard whose loss the recovery queries repair.
@@ -58,12 +58,12 @@ def surviving(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {CHUNKS} SELECT file_id, chunk_index, n_bytes, n_chunks, length(hex) // 2 AS n, md5(hex) AS digest FROM ch")
 def chunk_payload(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks(spark, sf).select("file_id", "chunk_index", "n_bytes", "n_chunks", F.octet_length("chunk").alias("n"), digest("chunk"))
+    return wide(chunks(spark, sf).select("file_id", "chunk_index", "n_bytes", "n_chunks", F.octet_length("chunk").alias("n"), digest("chunk")))
 
 
 @query(f"WITH {CHUNKS} SELECT file_id, chunk_index, chunk_index % 3 AS shard_id FROM ch")
 def place_round_robin(spark: SparkSession, sf: str) -> DataFrame:
-    return L.place_round_robin(chunks(spark, sf), B.SHARDS).select("file_id", "chunk_index", "shard_id")
+    return wide(L.place_round_robin(chunks(spark, sf), B.SHARDS).select("file_id", "chunk_index", "shard_id"))
 
 
 @query("SELECT doc_id AS file_id, unnest([0, 1, 2]) AS shard_id FROM documents")
@@ -83,24 +83,24 @@ def mirror_quorum(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {GROUPS} SELECT file_id, chunk_index, group_index, slot, is_pad, md5(hex) AS digest FROM gr")
 def parity_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return groups(spark, sf).select("file_id", "chunk_index", "group_index", "slot", "is_pad", digest("chunk"))
+    return wide(groups(spark, sf).select("file_id", "chunk_index", "group_index", "slot", "is_pad", digest("chunk")))
 
 
 @query(f"""WITH {GROUPS} SELECT file_id, group_index, false AS is_parity, chunk_index, (group_index * {K} + slot) % 3 AS shard_id FROM gr
   UNION ALL SELECT DISTINCT file_id, group_index, true, group_index * {K} + {K}, (group_index * {K} + {K}) % 3 FROM gr""")
 def place_parity(spark: SparkSession, sf: str) -> DataFrame:
-    return L.place_parity(groups(spark, sf), B.SHARDS).drop("is_pad")
+    return wide(L.place_parity(groups(spark, sf), B.SHARDS).drop("is_pad"))
 
 
 @query(f"WITH {PARITY} SELECT file_id, group_index, length(hex) // 2 AS n, md5(hex) AS digest FROM par")
 def xor_parity(spark: SparkSession, sf: str) -> DataFrame:
-    return L.xor_parity(groups(spark, sf)).select("file_id", "group_index", F.octet_length("parity").alias("n"), digest("parity"))
+    return wide(L.xor_parity(groups(spark, sf)).select("file_id", "group_index", F.octet_length("parity").alias("n"), digest("parity")))
 
 
 @query(f"WITH {PARITY} SELECT file_id, group_index, length(hex) // 2 AS n, md5(hex) AS digest FROM par")
 def file_parity(spark: SparkSession, sf: str) -> DataFrame:
     parities = L.file_parity(B.payloads(spark, sf), B.SHARDS, B.CHUNK)
-    return parities.select("file_id", "group_index", F.octet_length("parity").alias("n"), digest("parity"))
+    return wide(parities.select("file_id", "group_index", F.octet_length("parity").alias("n"), digest("parity")))
 
 
 @query("SELECT doc_id AS file_id, true AS complete, md5(text) AS digest FROM documents WHERE strlen(text) > 0")
@@ -122,7 +122,7 @@ def read_mirror(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {CHUNKS} SELECT file_id, chunk_index FROM ch WHERE chunk_index % 3 = {DEAD}")
 def missing_chunks(spark: SparkSession, sf: str) -> DataFrame:
     present = L.place_round_robin(chunks(spark, sf), B.SHARDS).filter(F.col("shard_id") != DEAD)
-    return L.missing_chunks(file_table(spark, sf), present)
+    return wide(L.missing_chunks(file_table(spark, sf), present))
 
 
 @query(f"""WITH {GROUPS} SELECT file_id, group_index, chunk_index, length(hex) // 2 AS n, md5(hex) AS digest FROM gr
@@ -130,7 +130,7 @@ def missing_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def rebuild_chunk(spark: SparkSession, sf: str) -> DataFrame:
     data, parity = surviving(spark, sf)
     rebuilt = L.rebuild_chunk(file_table(spark, sf), data, parity, B.SHARDS, B.CHUNK)
-    return rebuilt.select("file_id", "group_index", "chunk_index", F.octet_length("chunk").alias("n"), digest("chunk"))
+    return wide(rebuilt.select("file_id", "group_index", "chunk_index", F.octet_length("chunk").alias("n"), digest("chunk")))
 
 
 @query(f"""WITH {CHUNKS} SELECT file_id, CASE d.lang WHEN 'en' THEN 1 WHEN 'fr' THEN 5 ELSE 0 END AS level,

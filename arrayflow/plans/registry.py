@@ -31,3 +31,8 @@ NUDGE = 3e-8
 def rounded(df: DataFrame, *columns: str, digits: int = 6, nudge: float = 0.0) -> DataFrame:
     """Round doubles, so that the order of additions does not show."""
     return df.withColumns({c: F.round(F.col(c) + nudge, digits) for c in columns})
+
+
+def wide(df: DataFrame) -> DataFrame:
+    """Integer columns as bigint, as the SQL has them."""
+    return df.withColumns({f.name: F.col(f.name).cast("bigint") for f in df.schema.fields if f.dataType.simpleString() == "int"})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arrayflow.functions.expr import micros
 from arrayflow.operators import skew as S
 from arrayflow.plans import bindings as B
-from arrayflow.plans.registry import query, rounded
+from arrayflow.plans.registry import query, rounded, wide
 
 BY = ["cluster"]
 THRESHOLD = 0.15
@@ -66,7 +66,7 @@ def move_improvement(spark: SparkSession, sf: str) -> DataFrame:
   SELECT cluster, source_id, target_id, round(source_load, 9) AS source_load, source_queue, (source_queue > 5)::INT + (sc > 90)::INT + (source_load > 0.8)::INT + (si < 0.1)::INT >= 2 AS source_overloaded,
   round(target_load, 9) AS target_load, target_queue, (target_queue > 5)::INT + (tc > 90)::INT + (target_load > 0.8)::INT + (ti < 0.1)::INT >= 2 AS target_overloaded FROM p""")
 def project_moves(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(S.project_moves(B.workers(spark, sf), moves(spark, sf).select("cluster", "source_id", "target_id"), BY), "source_load", "target_load", digits=9)
+    return wide(rounded(S.project_moves(B.workers(spark, sf), moves(spark, sf).select("cluster", "source_id", "target_id"), BY), "source_load", "target_load", digits=9))
 
 
 @query(f"WITH {WK} SELECT cluster, worker_id, round({SCORE} - ld * 5, 6) AS score FROM ov")
