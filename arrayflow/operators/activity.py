@@ -155,7 +155,7 @@ def task_lifecycle(task_events: DataFrame) -> DataFrame:
 
 # Roll-ups over process statistics ------------------------------------------------------------------------------------
 
-def pipeline_rollup(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def worker_rollup(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Worker counts, summed gauges and the mean ratio over all workers."""
     active = F.count_if(F.col("current_status") == "active")
     zero = F.lit(0.0)
@@ -338,7 +338,7 @@ def full_status(stats: DataFrame, log_events: DataFrame, level: str | None = Non
     errors = recent_errors(log_events, level=level).agg(
         F.sort_array(F.collect_list(F.struct("ts", "seq", "level", "message"))).alias("messages"))
     sections: Mapping[str, DataFrame] = {
-        "pipeline": pipeline_rollup(stats), "throughput": stage_throughput(stats), "queues": queue_summary(stats),
+        "workers": worker_rollup(stats), "throughput": stage_throughput(stats), "queues": queue_summary(stats),
         "compression": compression_summary(stats),
         "idle": idle_classes(stats).groupBy("status").agg(F.count(F.lit(1)).alias("workers"))
         .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "workers")))).alias("workers_by_status")),

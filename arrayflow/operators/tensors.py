@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -195,10 +196,16 @@ def _map_payload(df: DataFrame, function: Callable[[bytes], object], column: str
     return df.mapInArrow(run, f"{ddl}{column} {kind}")
 
 
+@lru_cache
+def _compressor(level: int) -> zstandard.ZstdCompressor:
+    """One compressor per Python worker: its tables are larger than most small payloads."""
+    return zstandard.ZstdCompressor(level=level)
+
+
 def compress_tensors(tensors: DataFrame, level: int = ZSTD_LEVEL) -> DataFrame:
     """zstd-compress every payload and keep both sizes; rows stay where they are."""
     sized = tensors.withColumn("original_size", F.octet_length("payload"))
-    packed = _map_payload(sized, lambda p: zstandard.ZstdCompressor(level=level).compress(p), "payload", "binary", pa.binary())
+    packed = _map_payload(sized, lambda p: _compressor(level).compress(p), "payload", "binary", pa.binary())
     return packed.withColumn("compressed_size", F.octet_length("payload"))
 
 
@@ -223,7 +230,7 @@ def rle_size(payload: bytes) -> int:
 
 
 def zstd_size(payload: bytes) -> int:
-    return len(zstandard.ZstdCompressor(level=ZSTD_LEVEL).compress(payload))
+    return len(_compressor(ZSTD_LEVEL).compress(payload))
 
 
 CODECS: Mapping[str, Callable[[bytes], int]] = {"rle": rle_size, "zstd": zstd_size}

@@ -158,8 +158,8 @@ _SUMS = ["total_buffer_usage", "total_queue_size", "total_throughput", "avg_comp
 @query(f"""WITH {STATS} SELECT count(*) AS total_processes, count(*) FILTER (current_status = 'active') AS active_processes,
   count(*) FILTER (current_status <> 'active') AS idle_processes, round(sum(current_buffer_usage), 4) AS total_buffer_usage,
   round(sum(current_queue_size), 4) AS total_queue_size, round(sum(current_throughput), 4) AS total_throughput, round(avg(current_compression_ratio), 4) AS avg_compression_ratio FROM stats""")
-def pipeline_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(A.pipeline_rollup(stats_of(spark, sf)), *_SUMS, digits=4)
+def worker_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(A.worker_rollup(stats_of(spark, sf)), *_SUMS, digits=4)
 
 
 @query(f"""WITH {ACT} SELECT coalesce(worker_id, -1) AS worker_id, grouping(worker_id)::BIGINT AS is_total, round(sum(idle_time), 4) AS total_idle_time
@@ -295,7 +295,7 @@ def full_status(spark: SparkSession, sf: str) -> DataFrame:
         return F.get_json_object(F.col("status")[section], path).cast(kind)
     n_errors = F.size(F.from_json(F.get_json_object(F.col("status")["errors"], "$.messages"), "array<string>")).cast("bigint")
     return status.select(
-        field("pipeline", "$.total_processes", "bigint").alias("total_processes"),
+        field("workers", "$.total_processes", "bigint").alias("total_processes"),
         F.round(field("queues", "$.total_queue_size", "double"), 4).alias("total_queue_size"),
         field("compression", "$.total_compressed", "bigint").alias("total_compressed"),
         field("idle", "$.workers_by_status.active", "bigint").alias("active_workers"), n_errors.alias("n_errors"))

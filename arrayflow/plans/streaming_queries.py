@@ -53,7 +53,7 @@ def stream_status(spark: SparkSession, sf: str) -> DataFrame:
 
     def field(section: str, path: str):
         return F.get_json_object(F.col("status")[section], path).cast("bigint")
-    return last.select(field("pipeline", "$.total_processes").alias("total_processes"), field("compression", "$.total_compressed").alias("total_compressed"),
+    return last.select(field("workers", "$.total_processes").alias("total_processes"), field("compression", "$.total_compressed").alias("total_compressed"),
                        field("idle", "$.workers_by_status.active").alias("active_workers"))
 
 

@@ -56,7 +56,7 @@ def test_process_stats_status(frame):
     stats = {r.worker_id: r for r in A.process_stats(activities(frame, [(1, 0.0, 5.0, 1.0), (1, 6.0, None, 0.0), (2, 0.0, 1.0, 0.0), (3, 0.0, 1.0, 0.0), (3, 2.0, None, 1.0)]), gauges).collect()}
     assert [stats[w].current_status for w in (1, 2, 3)] == ["active", "unknown", "idle"]
     assert stats[1].current_queue_size == 6.0 and stats[2].current_queue_size == 0.0 and stats[1].avg_write_speed == 50.0
-    roll = A.pipeline_rollup(A.process_stats(activities(frame, [(1, 0.0, 5.0, 1.0)]), gauges)).first()
+    roll = A.worker_rollup(A.process_stats(activities(frame, [(1, 0.0, 5.0, 1.0)]), gauges)).first()
     assert (roll.total_processes, roll.active_processes, roll.idle_processes) == (1, 0, 1)
 
 
