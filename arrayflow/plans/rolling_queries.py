@@ -71,15 +71,15 @@ def stale_workers(spark: SparkSession, sf: str) -> DataFrame:
     return R.stale_workers(beats, 6 * HOUR, newest_us(beats))
 
 
-@query("""WITH RECURSIVE p AS (SELECT event_id AS seq, epoch_us(ts) AS us, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'purchase'),
-  f(rn, us, seq, last, reason) AS (
-    SELECT rn, us, seq, us, NULL::VARCHAR FROM p WHERE rn = 1
-    UNION ALL SELECT p.rn, p.us, p.seq, CASE WHEN p.rn % 10 = 0 OR p.us - f.last >= 7200000000 THEN p.us ELSE f.last END,
-      CASE WHEN p.rn % 10 = 0 THEN 'count' WHEN p.us - f.last >= 7200000000 THEN 'timer' END FROM f JOIN p ON p.rn = f.rn + 1)
-  SELECT us AS ts_us, seq, rn AS completion, reason FROM f WHERE reason IS NOT NULL""")
+@query("""WITH RECURSIVE p AS (SELECT event_type AS host, event_id AS seq, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+  f(host, rn, us, seq, last, reason) AS (
+    SELECT host, rn, us, seq, us, NULL::VARCHAR FROM p WHERE rn = 1
+    UNION ALL SELECT p.host, p.rn, p.us, p.seq, CASE WHEN p.rn % 10 = 0 OR p.us - f.last >= 7200000000 THEN p.us ELSE f.last END,
+      CASE WHEN p.rn % 10 = 0 THEN 'count' WHEN p.us - f.last >= 7200000000 THEN 'timer' END FROM f JOIN p ON p.host = f.host AND p.rn = f.rn + 1)
+  SELECT host, us AS ts_us, seq, rn AS completion, reason FROM f WHERE reason IS NOT NULL""")
 def checkpoint_due(spark: SparkSession, sf: str) -> DataFrame:
-    done = B.events(spark, sf).filter(F.col("event_type") == "purchase").select("ts", F.col("event_id").alias("seq"))
-    return R.checkpoint_due(done, 10, 2 * HOUR).withColumn("ts_us", micros("ts")).drop("ts")
+    done = B.events(spark, sf).select(F.col("event_type").alias("host"), "ts", F.col("event_id").alias("seq"))
+    return R.checkpoint_due(done, 10, 2 * HOUR, ["host"]).withColumn("ts_us", micros("ts")).drop("ts")
 
 
 @query(f"""WITH {EV} SELECT worker_id, worker_name, metric, us - us % 3600000000 AS tick_us, arg_max(value, row(us, seq)) AS value FROM ev GROUP BY ALL""")
