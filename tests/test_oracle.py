@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 # Queries whose operators put ordered groups into slices once they grow.
 ORDERED = ["build_intervals", "task_lifecycle", "throughput_history", "peak_concurrency", "counter_rates", "buffer_occupancy",
            "ownership_violations", "assign_ids", "segment_layout", "rle_encode", "rle_decode", "rolling_mean", "checkpoint_due",
-           "load_history", "task_grid", "adaptive_threshold"]
+           "load_history", "task_grid", "adaptive_threshold", "worker_stats", "process_stats", "rolling_idle", "export_activity_json"]
 
 
 @pytest.fixture(scope="module")
