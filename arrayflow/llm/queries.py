@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arrayflow.llm import common, exact, mixing, packing, tokenfiles
+from arrayflow.llm import common, exact, fingerprints, mixing, packing, tokenfiles, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +45,24 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"), keep="largest")
 
 
+#: Documents in this remainder are held out from learning.
+HELD_OUT_SQL = "crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2"
+
+
+def fit_labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    return table(spark, sf_dir, "labels", "doc_id", label).where(f"NOT ({HELD_OUT_SQL})")
+
+
+def predicted(scored: DataFrame, threshold: float) -> DataFrame:
+    score = F.col("score")
+    return scored.select("doc_id", F.expr(HELD_OUT_SQL).alias("held_out"), "score", (score >= threshold).cast("int").alias("predicted"))
+
+
+@query()
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query()
 def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -54,3 +73,10 @@ def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return tokenfiles.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    field = toxicity.fit_field(docs, fit_labels(spark, sf_dir, "toxic"))
+    return predicted(toxicity.score(docs, field), 0.3)
