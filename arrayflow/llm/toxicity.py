@@ -1,9 +1,11 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Labels are given per document. Words that labelled toxic documents use far more often than labelled clean ones mark the
-toxic tokens that the field learns from. Its features are hashed words; its two states are clean and toxic. Forward and
+toxic tokens that the field learns from. Its two states are clean and toxic. Forward and
 backward passes run over all tokens of a batch at once: tokens lie in columns, every column is first reduced to one
 2 x 2 matrix, the matrices carry the state across columns, and the columns then run side by side.
+
+A token has three features: its hashed word and the word's first letters twice, so that forms of a toxic stem count.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ _TOKEN = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 18
 #: Labelled documents that a field is fitted on at most; which ones is decided by a hash of the id.
 FIT_ROWS = 6000
-#: A word marks toxic tokens if it is in so many labelled toxic documents and so much likelier there than in clean ones.
-LEAST_DOCS, LEAST_LIFT = 3, 8.0
+#: Lengths of a word's start that are features beside the word.
+STEMS = (5, 7)
+#: A feature marks toxic tokens if it is so much likelier in labelled toxic documents, and the log-likelihood ratio is so high.
+LEAST_LIFT, LEAST_RATIO = 8.0, 24.0
 
 
 class Field(NamedTuple):
@@ -37,23 +41,24 @@ class Field(NamedTuple):
     scale: np.ndarray
 
 
-_buckets: dict[str, int] = {}
+def features(word: str) -> list[int]:
+    """Buckets of a token: the word in lower case and its starts, each in a name space of its own."""
+    word = word.lower()
+    return [xxhash.xxh32_intdigest(part, seed) & (BUCKETS - 1) for seed, part in enumerate((word, *(word[:n] for n in STEMS)))]
 
 
-def tokens(text: str) -> tuple[list[int], list[int]]:
-    """Feature bucket and start offset of every token; tokens are runs of letters and digits, ASCII case folded."""
-    found = [(m.group().lower(), m.start()) for m in _TOKEN.finditer(text)]
-    return [bucket(w) for w, _ in found], [at for _, at in found]
+class Weights(dict):
+    """Summed weight of a token's features, remembered per token; starts again when it is full."""
 
+    def __init__(self, field: Field):
+        super().__init__()
+        self._field = field
 
-def bucket(word: str) -> int:
-    """A word's feature; the cache starts again when it is full."""
-    got = _buckets.get(word)
-    if got is None:
-        if len(_buckets) >= 500_000:
-            _buckets.clear()
-        got = _buckets[word] = xxhash.xxh32_intdigest(word) & (BUCKETS - 1)
-    return got
+    def __missing__(self, word: str) -> float:
+        if len(self) >= 500_000:
+            self.clear()
+        got = self[word] = float(self._field.words[features(word)].sum() + self._field.bias)
+        return got
 
 
 def _scan(odds: np.ndarray, starts: np.ndarray, moves: np.ndarray, first: float) -> np.ndarray:
@@ -94,37 +99,26 @@ def _scan(odds: np.ndarray, starts: np.ndarray, moves: np.ndarray, first: float)
     return result.transpose(1, 0, 2).reshape(-1, 2)[:n]
 
 
-def marginals(field: Field, features: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def marginals(field: Field, weights: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Probability of the toxic state for every token; ``lengths`` are the documents' token counts, none 0."""
-    odds = np.exp(np.clip(field.words[features] + field.bias, -30, 30))
-    starts = np.zeros(len(features), bool)
+    odds = np.exp(np.clip(weights, -30, 30))
+    starts, ends = np.zeros(len(odds), bool), np.zeros(len(odds), bool)
     starts[np.cumsum(lengths) - lengths] = True
-    ends = np.zeros(len(features), bool)
     ends[np.cumsum(lengths) - 1] = True
     forward = _scan(odds, starts, field.moves, field.first)
     # Backward: the same scan over reversed tokens and transitions; a token's own odds are divided out again.
     backward = _scan(odds[::-1], ends[::-1], field.moves.T, 0.0)[::-1]
     toxic = forward[:, 1] * backward[:, 1] / odds
-    clean = forward[:, 0] * backward[:, 0]
-    return toxic / (toxic + clean)
-
-
-def spread(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-    """Features of all tokens one after the other, token counts, and token offsets per text."""
-    parts = [tokens(t) for t in texts]
-    lengths = np.array([len(p) for p, _ in parts], np.int64)
-    flat = np.fromiter((b for p, _ in parts for b in p), np.int64, int(lengths.sum()))
-    return flat, lengths, [at for _, at in parts]
+    return toxic / (toxic + forward[:, 0] * backward[:, 0])
 
 
-def summaries(field: Field, features: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def summaries(field: Field, weights: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per document (constant, largest marginal as log-odds, log of the expected number of toxic tokens), and the marginals."""
     toxic = np.zeros(0)
-    out = np.zeros((len(lengths), 3))
-    out[:, 0], out[:, 1], out[:, 2] = 1.0, -12.0, -12.0
+    out = np.tile([1.0, -12.0, -12.0], (len(lengths), 1))
     full = np.flatnonzero(lengths)
     if len(full):
-        toxic = marginals(field, features, lengths[full])
+        toxic = marginals(field, weights, lengths[full])
         at = np.cumsum(lengths[full]) - lengths[full]
         top = np.clip(np.maximum.reduceat(toxic, at), 1e-6, 1 - 1e-6)
         out[full, 1] = np.log(top / (1 - top))
@@ -135,38 +129,48 @@ def summaries(field: Field, features: np.ndarray, lengths: np.ndarray) -> tuple[
 def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 30, step: float = 0.5) -> Field:
     """Fit a field on labelled documents; without toxic ones every score is low."""
     labels = np.asarray(labels, np.int64)
-    features, lengths, _ = spread(texts)
+    known: dict[str, int] = {}
+    words = [_TOKEN.findall(t) for t in texts]
+    lengths = np.array([len(w) for w in words], np.int64)
+    token = np.fromiter((known.setdefault(w, len(known)) for own in words for w in own), np.int64, int(lengths.sum()))
+    table = np.array([features(w) for w in known], np.int32).reshape(-1, 1 + len(STEMS))
     owner = np.repeat(np.arange(len(lengths)), lengths)
-    # Toxic words: by the number of documents they are in, on either side.
-    pairs = np.unique(owner * BUCKETS + features)
-    word, toxic_doc = pairs % BUCKETS, labels[pairs // BUCKETS] == 1
-    inside = np.bincount(word[toxic_doc], minlength=BUCKETS)
-    outside = np.bincount(word[~toxic_doc], minlength=BUCKETS)
+    # Toxic features: by the number of documents they are in, on either side.
+    pairs = np.unique(owner * len(known) + token) if len(known) else np.zeros(0, np.int64)
+    docs_of = np.unique((pairs // max(len(known), 1))[:, None] * BUCKETS + table[pairs % max(len(known), 1)])
+    feature, toxic_doc = docs_of % BUCKETS, labels[docs_of // BUCKETS] == 1
+    inside = np.bincount(feature[toxic_doc], minlength=BUCKETS).astype(float)
+    outside = np.bincount(feature[~toxic_doc], minlength=BUCKETS).astype(float)
     n_toxic, n_clean = max(int((labels == 1).sum()), 1), max(int((labels == 0).sum()), 1)
+    share = n_toxic / (n_toxic + n_clean)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(inside > 0, inside * np.log(inside / ((inside + outside) * share)), 0)
+                     + np.where(outside > 0, outside * np.log(outside / ((inside + outside) * (1 - share))), 0))
     lift = ((inside + 0.1) / n_toxic) / ((outside + 0.5) / n_clean)
-    marks = (inside >= LEAST_DOCS) & (lift >= LEAST_LIFT)
-    target = marks[features] & (labels[owner] == 1)
+    marks = (lift >= LEAST_LIFT) & (ratio >= LEAST_RATIO)
+    target = marks[table].any(1)[token] & (labels[owner] == 1)
 
     # Weighted maximum likelihood of the tagged chains by gradient ascent on states, transitions and bias.
-    words, bias, moves, first = np.zeros(BUCKETS), -2.0, np.zeros((2, 2)), 0.0
+    weights, bias, moves, first = np.zeros(BUCKETS), -2.0, np.zeros((2, 2)), 0.0
     speed = np.full(BUCKETS, 1e-8)
-    n = len(features)
+    n = len(token)
     full = lengths[lengths > 0]
     starts = np.zeros(n, bool)
     if n:
         starts[np.cumsum(full) - full] = True
     follows = np.flatnonzero(~starts)
     for _ in range(rounds if n and target.any() else 0):
-        odds = np.exp(np.clip(words[features] + bias, -30, 30))
+        odds = np.exp(np.clip(weights[table].sum(1)[token] + bias, -30, 30))
         ends = np.roll(starts, -1)
         forward = _scan(odds, starts, moves, first)
         backward = _scan(odds[::-1], ends[::-1], moves.T, 0.0)[::-1].copy()
         toxic = forward[:, 1] * backward[:, 1] / odds
         toxic /= toxic + forward[:, 0] * backward[:, 0]
         slope = target - toxic
-        by_word = np.bincount(features, slope, BUCKETS) - 0.01 * words
-        speed += by_word ** 2
-        words = words + step * by_word / np.sqrt(speed)
+        by_token = np.bincount(token, slope, len(table))
+        gain = np.bincount(table.ravel(), np.repeat(by_token, table.shape[1]), BUCKETS) - 0.01 * weights
+        speed += gain ** 2
+        weights = weights + step * gain / np.sqrt(speed)
         bias += step * float(np.clip(slope.sum() / max(target.sum(), 1), -1, 1))
         # Expected transitions from the pairwise marginals.
         pair = forward[follows - 1][:, :, None] * np.exp(moves)[None] * backward[follows][:, None, :]
@@ -175,9 +179,9 @@ def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 30, step: flo
         np.add.at(seen, (target[follows - 1].astype(int), target[follows].astype(int)), 1.0)
         moves = moves + step * np.clip((seen - pair.sum(0)) / max(target.sum(), 1), -1, 1) - 0.01 * moves
         first += step * float(np.clip(slope[starts].mean(), -1, 1))
-    field = Field(words, bias, moves, first, np.zeros(3))
+    field = Field(weights, bias, moves, first, np.zeros(3))
     # Document scale: logistic regression on the summaries.
-    x, _ = summaries(field, features, lengths)
+    x, _ = summaries(field, (weights[table].sum(1) + bias)[token], lengths)
     scale = np.array([np.log(n_toxic / n_clean), 0.0, 0.0]) if len(labels) else np.array([-3.0, 0.0, 0.0])
     for _ in range(50 if 0 < (labels == 1).sum() < len(labels) else 0):
         p = 1 / (1 + np.exp(-x @ scale))
@@ -210,19 +214,22 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        weight = Weights(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            features, lengths, offsets = spread(texts)
-            x, toxic = summaries(model, features, lengths)
+            words = [_TOKEN.findall(t) for t in texts]
+            lengths = np.array([len(w) for w in words], np.int64)
+            flat = np.fromiter((weight[w] for own in words for w in own), np.float64, int(lengths.sum()))
+            x, toxic = summaries(model, flat, lengths)
             scores = 1 / (1 + np.exp(-x @ model.scale))
             spans, at = [], np.cumsum(lengths) - lengths
             for i, n in enumerate(lengths.tolist()):
                 own: list[dict] = []
                 hot = np.flatnonzero(toxic[at[i]:at[i] + n] > span_above)
-                for group in np.split(hot, np.flatnonzero(np.diff(hot) > 1) + 1) if len(hot) else []:
-                    low, high = offsets[i][group[0]], offsets[i][group[-1]]
-                    high += len(_TOKEN.match(texts[i], high).group())
-                    own.append({"start": low, "end": high, "probability": float(toxic[at[i] + group].max())})
+                if len(hot):
+                    places = [m.span() for m in _TOKEN.finditer(texts[i])]
+                    for group in np.split(hot, np.flatnonzero(np.diff(hot) > 1) + 1):
+                        own.append({"start": places[group[0]][0], "end": places[group[-1]][1], "probability": float(toxic[at[i] + group].max())})
                 spans.append(own)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()),
