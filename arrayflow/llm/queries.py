@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayflow.llm import common, exact, fingerprints, mixing, packing, tokenfiles, toxicity
+from arrayflow.llm import common, exact, fingerprints, mixing, packing, quality, tokenfiles, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +80,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     field = toxicity.fit_field(docs, fit_labels(spark, sf_dir, "toxic"))
     return predicted(toxicity.score(docs, field), 0.3)
+
+
+@query()
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return predicted(quality.score(docs, fit_labels(spark, sf_dir, "quality")), 0.7)
