@@ -8,7 +8,9 @@ which holds a third of all documents is still only one row per run, and its docu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +20,28 @@ from arrayflow.llm.common import parallelism, pinned, whole_text
 DIGEST = ["sha", "n_bytes", "check"]
 
 
+def merge_runs(rows: DataFrame, keys: Sequence[str], runs: int, fan: int,
+               kept: Mapping[str, tuple[Callable[[str], Column], str]]) -> list[DataFrame]:
+    """Reduce rows with a ``run`` below ``runs`` per run and keys, then ``fan`` runs to one until one is left.
+
+    ``kept`` maps a column to (aggregate, source column). Every level also counts ``group_size``.
+    """
+    levels = [rows.groupBy("run", *keys).agg(*[f(c).alias(n) for n, (f, c) in kept.items()], F.count(F.lit(1)).alias("group_size"))]
+    while runs > 1:
+        runs = -(-runs // fan)
+        levels.append(levels[-1].withColumn("run", F.floor(F.col("run") / fan)).groupBy("run", *keys)
+                      .agg(*[f(n).alias(n) for n, (f, _) in kept.items()], F.sum("group_size").alias("group_size")))
+    return levels
+
+
+def answer_runs(levels: Sequence[DataFrame], answers: DataFrame, keys: Sequence[str], fan: int, columns: Sequence[str]) -> DataFrame:
+    """Carry ``columns`` of ``answers`` (rows of the last level) down the tree to the rows of the first level."""
+    for level in reversed(levels[:-1]):
+        below = level.select(F.col("run").alias("_run"), F.floor(F.col("run") / fan).alias("run"), *keys)
+        answers = below.join(answers, ["run", *keys]).select(F.col("_run").alias("run"), *keys, *columns)
+    return answers.select("run", *keys, *columns)
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
                  runs: int | None = None, fan: int = 8) -> DataFrame:
     """One row per input row: ``id_col, keep_id, group_size, kept, text_sha256``.
@@ -37,16 +61,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         docs[id_col].alias("id"), F.pmod(F.xxhash64(docs[id_col]), F.lit(runs)).alias("run"),
         F.unhex(F.sha2(text, 256)).alias("sha"), F.octet_length(text).alias("n_bytes"), F.xxhash64(text).alias("check")), "digests")
 
-    levels = [digests.groupBy("run", *DIGEST).agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))]
-    left = runs
-    while left > 1:
-        left = -(-left // fan)
-        levels.append(levels[-1].withColumn("run", F.floor(F.col("run") / fan)).groupBy("run", *DIGEST)
-                      .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
-    answers = levels.pop()
-    while levels:
-        below = levels.pop().select(F.col("run").alias("own_run"), F.floor(F.col("run") / fan).alias("run"), *DIGEST)
-        answers = below.join(answers, ["run", *DIGEST]).select(F.col("own_run").alias("run"), *DIGEST, "keep_id", "group_size")
+    levels = merge_runs(digests, DIGEST, runs, fan, {"keep_id": (best, "id")})
+    answers = answer_runs(levels, levels[-1], DIGEST, fan, ["keep_id", "group_size"])
 
     same = W.partitionBy("run", *DIGEST, "id").orderBy(F.lit(0))
     joined = digests.join(answers, ["run", *DIGEST]).withColumn("copy", F.row_number().over(same))

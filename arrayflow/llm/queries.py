@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayflow.llm import common, exact, fingerprints, mixing, packing, quality, tokenfiles, toxicity
+from arrayflow.llm import common, exact, fingerprints, mixing, neardup, packing, quality, substrings, tokenfiles, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +86,34 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return predicted(quality.score(docs, fit_labels(spark, sf_dir, "quality")), 0.7)
+
+
+@query(sql="""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM w WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) LEFT JOIN sizes USING (doc_id)""")
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"), similarity=0.85)
+
+
+@query(sql="""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) AS label
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 49)) AS i FROM w WHERE len(words) >= 50)),
+repeated AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY label) AS least FROM windows) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + o AS pos FROM repeated, range(50) AS r(o)),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+kept AS (SELECT each.doc_id, string_agg(word, ' ' ORDER BY each.pos) FILTER (WHERE gone.pos IS NULL) AS text, count(gone.pos) AS n_removed
+  FROM each LEFT JOIN gone ON each.doc_id = gone.doc_id AND each.pos = gone.pos GROUP BY 1)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)""")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = substrings.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), window=50)
+    return removed.select("doc_id", "n_words", "n_removed", "kept_sha256")
