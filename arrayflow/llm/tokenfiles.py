@@ -1,13 +1,13 @@
 """Token ids in files: a static range asymmetric numeral system over independent interleaved blocks.
 
-One frequency table of the whole corpus is shared by all blocks. A block holds ``BLOCK`` ids in ``LANES`` interleaved
-states whose 32-bit words form one stream; it starts from its own states, so any block can be decoded alone. A segment is
-a row of the written files: whole documents in ascending id order, their blocks, and per block a checkpoint (first id's
-place in the corpus, place of its words) and a checksum of its ids. Files and segments are read in parallel.
-
-Segment layout, little-endian: magic ``RSEG``, u32 version, u32 checksum of the frequency table, u32 blocks, u32 documents;
-per document u64 count of ids; per block u64 place of its first id, u32 ids, u32 word offset, u32 words, u32 CRC-32 of its
-ids, ``LANES`` u64 states; then all words as u32.
+A segment is a row of the written files: whole documents in ascending id order, a frequency table that all its blocks
+share, and the blocks. A block holds ``BLOCK`` ids in ``LANES`` interleaved states whose 32-bit words form one stream; it
+starts from its own states, so any block can be decoded alone. Per block there is a checkpoint (place of its first id in the
+range of documents, place of its words) and a checksum of its ids. Segments and blocks are decoded in parallel.
+
+Segment layout, little-endian: magic ``RSEG``, u32 version, u32 bytes of the table, u32 blocks, u32 documents; the table
+(zlib: u32 entries, then ids and frequencies as u32); per document u64 count of ids; per block u64 place of its first id,
+u32 ids, u32 word offset, u32 words, u32 CRC-32 of its ids, ``LANES`` u64 states; then all words as u32.
 """
 
 from __future__ import annotations
@@ -21,16 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayflow.llm.common import id_bounds, parallelism, pinned, range_number, whole_text
+from arrayflow.llm.common import id_bounds, parallelism, range_number, whole_text
 from arrayflow.llm.packing import END
 from arrayflow.llm.tokens import encoder
 from arrayflow.session import scratch_path
 
-MAGIC, VERSION = b"RSEG", 1
+MAGIC, VERSION = b"RSEG", 2
 LANES, STEPS = 64, 256
 BLOCK = LANES * STEPS
 #: Ids after which a segment is closed, and blocks that are worked on at once.
-SEGMENT, AT_ONCE = 1 << 20, 64
+SEGMENT, AT_ONCE = 1 << 22, 64
 SCALE = 20
 _LOW, _MASK, _WORD = np.uint64(1 << 31), np.uint64((1 << SCALE) - 1), np.uint64(32)
 _HEAD = struct.Struct("<4sIIII")
@@ -39,32 +39,42 @@ SEGMENTS = "part int, first_id bigint, docs int, ids bigint, doc_ids array<bigin
 
 
 class Table:
-    """Frequencies scaled to 2**SCALE, at least 1 for every id that occurs."""
-
-    def __init__(self, counts: dict[int, int]):
-        size = max(counts, default=0) + 1
-        raw = np.zeros(size, np.float64)
-        for key, n in counts.items():
-            raw[key] = n
-        used = raw > 0
-        if used.sum() > 1 << SCALE:
+    """Frequencies of sorted ``ids``, scaled to sum to 2**SCALE with at least 1 each."""
+
+    def __init__(self, ids: np.ndarray, scaled: np.ndarray):
+        size = int(ids[-1]) + 1 if len(ids) else 1
+        full = np.zeros(size, np.int64)
+        full[ids] = scaled
+        self.ids, self.scaled = ids, scaled
+        self.freq = full.astype(np.uint64)
+        self.start = (np.cumsum(full) - full).astype(np.uint64)
+        self.symbol = np.repeat(ids.astype(np.uint32), scaled)
+        self.filler = int(ids[scaled.argmax()]) if len(ids) else 0
+
+    @classmethod
+    def count(cls, ids: np.ndarray) -> Table:
+        """The table of what occurs in ``ids``."""
+        counts = np.bincount(ids)
+        used = np.flatnonzero(counts)
+        if len(used) > 1 << SCALE:
             raise ValueError("more distinct ids than the table has room for")
-        scaled = np.where(used, np.maximum(1, np.floor(raw * ((1 << SCALE) / max(raw.sum(), 1)))), 0).astype(np.int64)
-        order = np.argsort(-scaled, kind="stable")
+        scaled = np.maximum(1, counts[used] * (1 << SCALE) // max(len(ids), 1))
         gap = (1 << SCALE) - int(scaled.sum())
-        if counts and gap > 0:
-            scaled[order[0]] += gap
-        for key in order:
-            if gap >= 0:
+        for at in np.argsort(-scaled, kind="stable"):
+            give = max(gap, 1 - int(scaled[at]))
+            scaled[at] += give
+            gap -= give
+            if not gap:
                 break
-            give = min(-gap, int(scaled[key]) - 1)
-            scaled[key] -= give
-            gap += give
-        self.freq = scaled.astype(np.uint64)
-        self.start = (np.cumsum(scaled) - scaled).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(size, dtype=np.uint32), scaled)
-        self.checksum = zlib.crc32(scaled.astype("<u4").tobytes())
-        self.filler = int(order[0]) if counts else 0
+        return cls(used, scaled)
+
+    def packed(self) -> bytes:
+        return zlib.compress(b"".join(np.asarray(x).astype("<u4").tobytes() for x in ([len(self.ids)], self.ids, self.scaled)))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Table:
+        numbers = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+        return cls(numbers[1:numbers[0] + 1], numbers[numbers[0] + 1:])
 
 
 def encode_blocks(ids: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,8 +112,10 @@ def decode_blocks(state: np.ndarray, words: np.ndarray, at: np.ndarray, steps: i
     return out
 
 
-def encode_segment(counts: list[int], ids: np.ndarray, first: int, table: Table) -> bytes:
-    """Whole documents with ``counts`` ids each, whose first id has place ``first`` in the corpus."""
+def encode_segment(counts: list[int], ids: np.ndarray, first: int) -> bytes:
+    """Whole documents with ``counts`` ids each; ``first`` is the place of the first id."""
+    table = Table.count(ids)
+    packed = table.packed()
     marks, words = np.zeros(-(-len(ids) // BLOCK), _MARK), []
     total = 0
     for low in range(0, len(marks), AT_ONCE):
@@ -121,18 +133,20 @@ def encode_segment(counts: list[int], ids: np.ndarray, first: int, table: Table)
                 marks[offset + i] = (first + (offset + i) * BLOCK, len(own), total, size, zlib.crc32(own.astype("<u4").tobytes()), state[i])
                 total += size
             words.append(stream)
-    head = _HEAD.pack(MAGIC, VERSION, table.checksum, len(marks), len(counts))
-    return b"".join([head, np.array(counts, "<u8").tobytes(), marks.tobytes(), *(w.tobytes() for w in words)])
-
-
-def decode_segment(payload: bytes, table: Table) -> tuple[int, list[int], np.ndarray]:
-    """Place of the first id, ids per document, and all ids; fails on a foreign table or a damaged block."""
-    magic, version, checksum, blocks, docs = _HEAD.unpack_from(payload)
-    if magic != MAGIC or version != VERSION or checksum != table.checksum:
-        raise ValueError("not a segment of this table")
-    counts = np.frombuffer(payload, "<u8", docs, _HEAD.size)
-    marks = np.frombuffer(payload, _MARK, blocks, _HEAD.size + 8 * docs)
-    words = np.frombuffer(payload, "<u4", offset=_HEAD.size + 8 * docs + blocks * _MARK.itemsize)
+    head = _HEAD.pack(MAGIC, VERSION, len(packed), len(marks), len(counts))
+    return b"".join([head, packed, np.array(counts, "<u8").tobytes(), marks.tobytes(), *(w.tobytes() for w in words)])
+
+
+def decode_segment(payload: bytes) -> tuple[int, list[int], np.ndarray]:
+    """Place of the first id, ids per document, and all ids; fails on foreign data or a damaged block."""
+    magic, version, size, blocks, docs = _HEAD.unpack_from(payload)
+    if magic != MAGIC or version != VERSION:
+        raise ValueError("not a segment")
+    at = _HEAD.size + size
+    table = Table.unpacked(payload[_HEAD.size:at])
+    counts = np.frombuffer(payload, "<u8", docs, at)
+    marks = np.frombuffer(payload, _MARK, blocks, at + 8 * docs)
+    words = np.frombuffer(payload, "<u4", offset=at + 8 * docs + blocks * _MARK.itemsize)
     out = []
     for low in range(0, blocks, AT_ONCE):
         part = marks[low:low + AT_ONCE]
@@ -147,45 +161,15 @@ def decode_segment(payload: bytes, table: Table) -> tuple[int, list[int], np.nda
     return int(marks[0]["first"]) if blocks else 0, counts.astype(int).tolist(), np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def count_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Rows ``(kind, key, n)``: per document (kind 0) its ids, and per task and id (kind 1) its occurrences."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoder(tokenizer), np.zeros(0, np.int64)
-
-        def rows(kind: int, keys: object, n: object) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(keys, pa.int64()), pa.array(n, pa.int64())],
-                                              ["kind", "key", "n"])
-        for batch in batches:
-            data = [d + END for d in encode(batch.column(1).to_pylist())]
-            found = np.bincount(np.frombuffer(b"".join(data), "<u4"))
-            if len(found) > len(seen):
-                seen, found = found.astype(np.int64), seen
-            seen[:len(found)] += found
-            yield rows(0, batch.column(0), [len(d) // 4 for d in data])
-        used = np.flatnonzero(seen)
-        yield rows(1, used, seen[used])
-
-    return docs.mapInArrow(count, "kind int, key bigint, n bigint")
-
-
-def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> Table:
+def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all texts, each followed by id 0, in ascending order of ``id_col`` (null first, repeated ids by text).
 
-    A null text counts as empty. Segments go to ``path`` through Spark's writer, so any shared store will do. The frequency
-    table (at most one row per id of the vocabulary) goes to ``path`` + ``-table`` and is returned.
+    A null text counts as empty. Segments go to ``path`` through Spark's writer, so any shared store will do. Texts move once,
+    into ranges of ids, and are encoded where they arrive; places count from the start of a range (``part``), and the ranges'
+    sizes, which stand beside them, give the places in the corpus.
     """
-    spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), whole_text(docs, text_col).alias("text"))
-    counts = pinned(count_ids(rows, tokenizer), "id-counts")
-    frequencies = counts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))
-    frequencies.coalesce(1).write.parquet(f"{path}-table")
-    table = read_table(spark, path)
-    bounds = id_bounds(rows, "id", 4 * parallelism(spark))
-    sizes = counts.where("kind = 0").groupBy(range_number(bounds, F.col("key")).alias("part")).agg(F.sum("n").alias("n")).collect()
-    first, at = {}, 0
-    for part, n in sorted((r["part"], r["n"]) for r in sizes):
-        first[part], at = at, at + n
-    shared = spark.sparkContext.broadcast(table)
+    bounds = id_bounds(rows, "id", 4 * parallelism(docs.sparkSession))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, place = encoder(tokenizer), None, 0
@@ -195,7 +179,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id"
         def flush() -> pa.RecordBatch:
             nonlocal held, size, place
             ids = np.frombuffer(b"".join(d for _, d in held), "<u4")
-            payload = encode_segment([len(d) // 4 for _, d in held], ids, place, shared.value)
+            payload = encode_segment([len(d) // 4 for _, d in held], ids, place)
             row = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([held[0][0]], pa.int64()), pa.array([len(held)], pa.int32()),
                  pa.array([len(ids)], pa.int64()), pa.array([[k for k, _ in held]], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
@@ -210,7 +194,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id"
                 if own != part:
                     if held:
                         yield flush()
-                    part, place = own, first[own]
+                    part, place = own, 0
                 held.append((key, data + END))
                 size += len(data) // 4 + 1
                 if size >= SEGMENT:
@@ -221,24 +205,24 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id"
     parts = len(bounds) + 1
     dealt = rows.select(range_number(bounds, F.col("id")).alias("part"), "id", "text").repartition(parts, "part")
     dealt.sortWithinPartitions("part", "id", "text").mapInArrow(write, SEGMENTS).write.parquet(path)
-    return table
-
-
-def read_table(spark: SparkSession, path: str) -> Table:
-    return Table({int(r["key"]): int(r["n"]) for r in spark.read.parquet(f"{path}-table").collect()})
 
 
-def read_ids(spark: SparkSession, path: str, table: Table | None = None) -> DataFrame:
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: ``doc_id, start, n_tokens, ids_crc32, ids`` (ids as little-endian u32 bytes).
 
     Drop ``ids`` where they are not needed. Blocks are checked against their checksums.
     """
-    shared = spark.sparkContext.broadcast(table or read_table(spark, path))
+    files = spark.read.parquet(path)
+    # One row per range of documents, as many as the writer had tasks.
+    offsets, at = {}, 0
+    for part, n in sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("ids").alias("n")).collect()):
+        offsets[part], at = at, at + n
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                start, counts, ids = decode_segment(payload, shared.value)
+            for part, keys, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                start, counts, ids = decode_segment(payload)
+                start += offsets[part]
                 data, rows, at = ids.astype("<u4").tobytes(), [], 0
                 for key, n in zip(keys, counts, strict=True):
                     own = data[4 * at:4 * (at + n)]
@@ -249,11 +233,12 @@ def read_ids(spark: SparkSession, path: str, table: Table | None = None) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 4 else pa.int64()) for i, c in enumerate(columns)],
                                                      ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return spark.read.parquet(path).select("doc_ids", "payload").mapInArrow(
+    return files.select("part", "doc_ids", "payload").mapInArrow(
         read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of ``docs`` into the shared folder and read them back. An empty table gives an empty result."""
     path = scratch_path(docs.sparkSession, "token-ids")
-    return read_ids(docs.sparkSession, path, write_ids(docs, tokenizer, path, id_col, text_col))
+    write_ids(docs, tokenizer, path, id_col, text_col)
+    return read_ids(docs.sparkSession, path)
