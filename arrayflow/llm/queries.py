@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayflow.llm import common, exact, fingerprints, mixing, neardup, packing, quality, substrings, tokenfiles, toxicity
+from arrayflow.llm import (
+    common, exact, fingerprints, lmscore, mixing, neardup, packing, quality, substrings, tokenfiles, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,3 +118,19 @@ FROM w LEFT JOIN kept USING (doc_id)""")
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = substrings.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), window=50)
     return removed.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query(sql="""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(list_prepend(NULL, words[:-2])) AS before FROM w WHERE len(words) > 0),
+ones AS (SELECT word, count(*) AS c FROM each GROUP BY 1),
+twos AS (SELECT before, word, count(*) AS c FROM each WHERE before IS NOT NULL GROUP BY 1, 2),
+total AS (SELECT sum(c) AS n FROM ones),
+scored AS (SELECT each.doc_id, CASE WHEN each.before IS NULL THEN ln(w1.c / n) WHEN t.c >= 2 THEN ln(t.c / v.c) ELSE ln(0.4::DOUBLE * w1.c / n) END AS gain
+  FROM each CROSS JOIN total JOIN ones w1 ON w1.word = each.word LEFT JOIN ones v ON v.word = each.before
+  LEFT JOIN twos t ON t.before = each.before AND t.word = each.word)
+SELECT doc_id, len(words)::BIGINT AS n_words, round(coalesce(s, 0), 4) AS log_score
+FROM w LEFT JOIN (SELECT doc_id, sum(gain) AS s FROM scored GROUP BY 1) USING (doc_id)""")
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lmscore.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return scored.withColumn("log_score", F.round("log_score", 4))
