@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over pieces, paragraphs and sections.
 
 A paragraph is a line; a line is cut into pieces after words picked by their last bytes, so that an edit moves no other cut
-(about eight words a piece). A section ends after a blank line or after a paragraph picked by its digest. Every node's
+(about four words a piece). A section ends after a blank line or after a paragraph picked by its digest. Every node's
 digest covers its children's, so that equal roots mean equal texts and differing branches lead to the edits.
 
 A fingerprint is text: the root's digest, ``:``, then sections joined by ``/``, of paragraphs joined by ``.``, of 8 hex
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from arrayflow.llm.common import id_bounds, parallelism, range_number, whole_text
 
 #: One word in so many ends a piece, and one paragraph in so many ends a section.
-PIECE_WORDS, SECTION_PARAGRAPHS = 8, 8
+PIECE_WORDS, SECTION_PARAGRAPHS = 4, 8
 _SPACE, _LINE = 0x20, 0x0A
 
 
