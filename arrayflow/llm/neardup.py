@@ -156,3 +156,14 @@ def near_groups(docs: DataFrame, similarity: float = 0.85, size: int = 5, id_col
     alone = sketches.where("digest IS NULL").select("id", "n_shingles", F.col("id").alias("component"))
     return own.union(alone).select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"),
                                    F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def drop_near(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of every group the smallest id.
+
+    Rows that share the kept id stay all; they are copies for an exact dedup to drop. Rows with a null id go only if their
+    group has an id.
+    """
+    groups = near_groups(docs, similarity, id_col=id_col, text_col=text_col, **options)
+    gone = groups.where("NOT kept").select(F.col(id_col).alias("_id")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")

@@ -11,13 +11,14 @@ A token has three features: its hashed word and the word's first letters twice,
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrayflow.llm.common import whole_text
@@ -201,6 +202,15 @@ def fit_field(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_c
     return fit(sample["text"].tolist(), sample["_label"].tolist())
 
 
+def _score_texts(field: Field, weight: Weights, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, token counts, and the marginals of all tokens one after the other."""
+    words = [_TOKEN.findall(t) for t in texts]
+    lengths = np.array([len(w) for w in words], np.int64)
+    flat = np.fromiter((weight[w] for own in words for w in own), np.float64, int(lengths.sum()))
+    x, toxic = summaries(field, flat, lengths)
+    return 1 / (1 + np.exp(-x @ field.scale)), lengths, toxic
+
+
 SCORES = "doc_id bigint, score double, spans array<struct<start:int,end:int,probability:double>>"
 
 
@@ -217,11 +227,7 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         weight = Weights(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            words = [_TOKEN.findall(t) for t in texts]
-            lengths = np.array([len(w) for w in words], np.int64)
-            flat = np.fromiter((weight[w] for own in words for w in own), np.float64, int(lengths.sum()))
-            x, toxic = summaries(model, flat, lengths)
-            scores = 1 / (1 + np.exp(-x @ model.scale))
+            scores, lengths, toxic = _score_texts(model, weight, texts)
             spans, at = [], np.cumsum(lengths) - lengths
             for i, n in enumerate(lengths.tolist()):
                 own: list[dict] = []
@@ -238,3 +244,21 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), whole_text(docs, text_col).alias("text"))
     return rows.mapInArrow(work, SCORES)
+
+
+def drop_toxic(docs: DataFrame, field: Field, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns; rows are scored where they are."""
+    score_of = _scorer(docs.sparkSession, field)
+    return docs.where(score_of(whole_text(docs, text_col)) < threshold)
+
+
+def _scorer(spark: SparkSession, field: Field) -> Callable[[Column], Column]:
+    shared = spark.sparkContext.broadcast(field)
+
+    @F.pandas_udf("double")
+    def scorer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weight = Weights(shared.value)
+        for texts in batches:
+            scores, _, _ = _score_texts(shared.value, weight, texts.tolist())
+            yield pd.Series(scores)
+    return scorer
