@@ -79,6 +79,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kept = exact_groups(docs, id_col, text_col, keep, **options).where("kept").select(
         F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_sha", F.sha2(whole_text(docs, text_col), 256))
-    first = keyed.withColumn("_copy", F.row_number().over(W.partitionBy(id_col, "_sha").orderBy(F.lit(0)))).where("_copy = 1").drop("_copy")
-    return first.join(kept, first[id_col].eqNullSafe(kept["_id"]) & (first["_sha"] == kept["_sha"]), "left_semi").drop("_sha")
+    # Whole rows travel as one value, so that no column name of theirs can clash.
+    rows = docs.select(F.struct("*").alias("row"), docs[id_col].alias("id"), F.sha2(whole_text(docs, text_col), 256).alias("sha"))
+    first = rows.withColumn("copy", F.row_number().over(W.partitionBy("id", "sha").orderBy(F.lit(0)))).where("copy = 1")
+    return first.join(kept, F.expr("id <=> _id AND sha = _sha"), "left_semi").select("row.*")

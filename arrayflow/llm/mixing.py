@@ -40,29 +40,44 @@ def fit_targets(sizes: Sequence[int], weights: Sequence[float], total: float, mo
     return targets
 
 
-def fit_lengths(lengths: Sequence[int], counts: Sequence[int], budget: int, window: int = FIT_WINDOW) -> list[int]:
-    """How many documents of each length to take, so that their lengths sum to ``budget`` or as little below as possible."""
+def fit_lengths(lengths: Sequence[int], counts: Sequence[int], budget: int, copies: int = 1, window: int = FIT_WINDOW) -> list[int]:
+    """How many documents of each length to take, so that their lengths sum to nearly ``budget``.
+
+    Every document is taken once before any is taken again, up to ``copies`` times; that is only done to fill what single
+    documents cannot. The last document may go over the budget if that is nearer to it.
+    """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
-    if total <= budget:
-        return list(counts)
-    take = [c * budget // total if n > 0 else 0 for n, c in zip(lengths, counts, strict=True)]
+    take = [c * min(budget, total) // total if n > 0 else 0 for n, c in zip(lengths, counts, strict=True)]
+    for time in range(1, copies + 1):
+        rest = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
+        if rest > 0:
+            more = _fill(lengths, [time * c - t if n > 0 else 0 for n, c, t in zip(lengths, counts, take, strict=True)], rest, window)
+            take = [t + m for t, m in zip(take, more, strict=True)]
     rest = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
-    down = sorted((i for i, n in enumerate(lengths) if n > 0), key=lambda i: -lengths[i])
+    over = [(n, i) for i, n in enumerate(lengths) if n > rest and take[i] < copies * counts[i]]
+    if rest > 0 and over and min(over)[0] - rest < rest:
+        take[min(over)[1]] += 1
+    return take
+
+
+def _fill(lengths: Sequence[int], free: Sequence[int], rest: int, window: int) -> list[int]:
+    """Fill ``rest`` from below with at most ``free`` documents of each length."""
+    take = [0] * len(lengths)
+    down = sorted((i for i, n in enumerate(lengths) if n > 0 and free[i] > 0), key=lambda i: -lengths[i])
     for i in down:
-        more = min(counts[i] - take[i], max(0, rest - window) // lengths[i])
-        take[i] += more
-        rest -= more * lengths[i]
+        take[i] = min(free[i], max(0, rest - window) // lengths[i])
+        rest -= take[i] * lengths[i]
     # reach[k]: bit s is set if the first k choices can sum to s; a choice takes all or none of its documents.
     reach, choices, mask = [1], [], (1 << (rest + 1)) - 1
     for i in down:
-        free, size = min(counts[i] - take[i], rest // lengths[i]), 1
-        while free > 0 and not reach[-1] >> rest & 1:
-            size = min(size, free)
+        left, size = min(free[i] - take[i], rest // lengths[i]), 1
+        while left > 0 and not reach[-1] >> rest & 1:
+            size = min(size, left)
             grown = reach[-1] | (reach[-1] << size * lengths[i]) & mask
             if grown != reach[-1]:
                 reach.append(grown)
                 choices.append((i, size))
-            free, size = free - size, 2 * size
+            left, size = left - size, 2 * size
     at = reach[-1].bit_length() - 1
     for k in range(len(choices) - 1, -1, -1):
         if not reach[k] >> at & 1:
@@ -100,17 +115,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, sh
 
     def fit(batches: pd.DataFrame) -> pd.DataFrame:
         rows = batches.sort_values("size")
-        chosen = fit_lengths(rows["size"].tolist(), rows["n"].tolist(), int(rows["rest"].iloc[0]))
-        return pd.DataFrame({"source_no": rows["source_no"], "size": rows["size"], "extra": chosen})
+        chosen = fit_lengths(rows["size"].tolist(), rows["n"].tolist(), int(rows["rest"].iloc[0]), most - int(rows["whole"].iloc[0]))
+        return pd.DataFrame({"source_no": rows["source_no"], "size": rows["size"], "n": rows["n"], "extra": chosen})
 
     # One row per length: a source's group grows with its longest document, not with its number of documents.
-    quota = keyed.groupBy("source_no", "size", "rest").agg(F.count(F.lit(1)).alias("n")).groupBy("source_no").applyInPandas(
-        fit, "source_no int, size bigint, extra bigint")
+    quota = keyed.groupBy("source_no", "size", "whole", "rest").agg(F.count(F.lit(1)).alias("n")).groupBy("source_no").applyInPandas(
+        fit, "source_no int, size bigint, n bigint, extra bigint")
     draw = F.xxhash64(F.lit(seed), F.col("id"))
     parts = 4 * parallelism(spark)
     placed = ranked(keyed.withColumn("draw", draw), ["source_no", "size"], [F.col("draw"), F.col("id"), F.col("text_hash")],
                     F.pmod("draw", F.lit(parts)), "place", attach=quota)
-    times = F.col("whole") + F.when(F.col("place") < F.col("extra"), 1).otherwise(0)
+    times = F.col("whole") + F.expr("extra div n") + F.when(F.col("place") < F.col("extra") % F.col("n"), 1).otherwise(0)
     return placed.select(
         F.col("id").alias(id_col), "size", "source_size", "target", (times * F.col("size")).cast("bigint").alias("taken"),
         times.cast("int").alias("times"), "text_hash")
@@ -124,8 +139,8 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     times = mix(docs, id_col=id_col, text_col=text_col, **options).select(
         F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "times")
     times = times.withColumn("_no", F.row_number().over(W.partitionBy("_id", "_hash").orderBy(F.desc("times")))).where("times > 0")
-    rows = docs.withColumns({"_id": docs[id_col].cast("bigint"), "_hash": F.xxhash64(docs[text_col])})
-    rows = rows.withColumn("_no", F.row_number().over(W.partitionBy("_id", "_hash").orderBy(F.lit(0))))
-    joined = rows.alias("r").join(times.alias("t"), F.expr("r._id <=> t._id AND r._hash = t._hash AND r._no = t._no"))
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("t.times"))).alias("_copy")
-    return joined.select("r.*", copies).select(*docs.columns)
+    # Whole rows travel as one value, so that no column name of theirs can clash.
+    rows = docs.select(F.struct("*").alias("row"), docs[id_col].cast("bigint").alias("id"), F.xxhash64(docs[text_col]).alias("hash"))
+    rows = rows.withColumn("no", F.row_number().over(W.partitionBy("id", "hash").orderBy(F.lit(0))))
+    joined = rows.join(times, F.expr("id <=> _id AND hash = _hash AND no = _no"))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")

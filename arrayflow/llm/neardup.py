@@ -166,4 +166,5 @@ def drop_near(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id",
     """
     groups = near_groups(docs, similarity, id_col=id_col, text_col=text_col, **options)
     gone = groups.where("NOT kept").select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), docs[id_col].cast("bigint").alias("id"))
+    return rows.join(gone, F.expr("id <=> _id"), "left_anti").select("row.*")
