@@ -4,7 +4,8 @@ Equal shingle sets form one class. A class posts itself under its (coordinate, v
 under so many that two signatures with the wanted number of matches must meet in one of them (prefix filter). Collisions
 are counted on whole signatures, and pairs above the match threshold are confirmed on full sets.
 
-A list of postings is never expanded into all its pairs while its members may be linked through fewer: in each of a few
+A shingle that no other candidate has cannot be shared, so that a class whose other shingles are too few for the similarity
+goes at once, and pairs are only formed where both have enough. A list of postings is never expanded into all its pairs while its members may be linked through fewer: in each of a few
 rounds every class is compared with the best of its lists' leaders, links are contracted to components, and only pairs of
 different components that share a posting go on. What is left after the rounds is compared in full, so no link between
 components is lost.
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arrayflow.llm.common import parallelism, pinned, whole_text
@@ -25,9 +26,9 @@ from arrayflow.llm.components import connected
 from arrayflow.llm.exact import answer_runs, merge_runs
 from arrayflow.llm.shingles import WordHashes, mix, runs_of
 
-#: Coordinates of a signature, and matches that a candidate pair needs. At similarity 0.8 fewer than MATCHES of COORDINATES
-#: agree with probability 2e-7, at 0.85 with 4e-9.
-COORDINATES, MATCHES = 32, 13
+#: Coordinates of a signature. A pair at the wanted similarity misses the match threshold, which lies MARGIN standard
+#: deviations below the expected matches, with a probability of about 1e-6.
+COORDINATES, MARGIN = 64, 5
 ROUNDS, FAN = 3, 8
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -38,6 +39,17 @@ def shingle_set(hashes: WordHashes, text: str, size: int) -> np.ndarray:
     return np.unique(runs_of(words, min(size, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
+def matches_needed(similarity: float) -> int:
+    """Matches of a candidate pair's signatures."""
+    return int(COORDINATES * similarity - MARGIN * (COORDINATES * similarity * (1 - similarity)) ** 0.5)
+
+
+def signature(own: np.ndarray) -> np.ndarray:
+    """Least hash of a set under each coordinate's function."""
+    least = [(own[low:low + 4096] * _SEEDS[:, None] >> np.uint64(33)).min(1) for low in range(0, len(own), 4096)]
+    return np.min(least, axis=0).astype(np.int32)
+
+
 def sketch(docs: DataFrame, size: int) -> DataFrame:
     """``id, n_shingles, digest, signature`` of rows ``id, text``; an empty set has a null digest."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,8 +60,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                 own = shingle_set(hashes, text, size)
                 counts.append(len(own))
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                least = [int((own * seed >> np.uint64(33)).min()) for seed in _SEEDS] if len(own) else None
-                signatures.append(least)
+                signatures.append(signature(own) if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
                                               pa.array(signatures, pa.list_(pa.int32()))], ["id", "n_shingles", "digest", "signature"])
     return docs.mapInArrow(work, "id bigint, n_shingles bigint, digest binary, signature array<int>")
@@ -65,13 +76,13 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(work, "id bigint, shingles array<bigint>")
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, matches: int) -> DataFrame:
     """``posting, id``: each class under its rarest coordinate-value pairs, as far as another class may meet it there."""
     pairs = classes.select("id", F.posexplode("signature").alias("at", "value")).select(
         "id", (F.col("at").cast("bigint") * F.lit(1 << 32) + F.col("value")).alias("posting"))
     often = pairs.groupBy("posting").agg(F.count(F.lit(1)).alias("n"))
     ranked = pairs.join(often, "posting").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "posting"))).alias("own"))
-    prefix = F.slice("own", 1, COORDINATES - MATCHES + 1)
+    prefix = F.slice("own", 1, COORDINATES - matches + 1)
     return ranked.select("id", F.explode(F.filter(prefix, lambda p: p["n"] > 1)).alias("p")).select("p.posting", "id")
 
 
@@ -95,20 +106,27 @@ def near_groups(docs: DataFrame, similarity: float = 0.85, size: int = 5, id_col
     levels = merge_runs(sketches.where("digest IS NOT NULL"), ["digest"], runs, FAN, {"rep": (F.min, "id")})
     heads = levels[-1].select(F.col("rep").alias("id"), "digest")
     classes = pinned(sketches.join(heads, ["id", "digest"], "left_semi").select("id", "n_shingles", "signature").dropDuplicates(["id"]), "classes")
-    posted = pinned(postings(classes), "postings")
+    needed = matches_needed(similarity)
+    met = pinned(postings(classes, needed), "postings")
     # Only classes that share a posting can be linked; their texts are read once more for full sets.
-    shared = posted.select("id").distinct()
-    sets = pinned(sets_of(rows.join(shared, "id", "left_semi"), size).dropDuplicates(["id"]), "sets")
-    facts = classes.select("id", "n_shingles", "signature")
+    sets = pinned(sets_of(rows.join(met.select("id").distinct(), "id", "left_semi"), size).dropDuplicates(["id"]), "sets")
+    lonely = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    facts = pinned(sets.select("id", F.size("shingles").alias("n")).join(lonely, "id", "left").select(
+        "id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")).where(F.col("common") * 100 >= F.col("n") * hundred), "facts")
+    signatures = facts.join(classes.select("id", "signature"), "id")
+    posted = pinned(met.join(facts, "id"), "posted")
+
+    def enough(a: str, b: str) -> Column:
+        """Whether two classes have enough common shingles for an intersection of the wanted share."""
+        both, least = F.col(f"{a}.n") + F.col(f"{b}.n"), F.least(f"{a}.common", f"{b}.common")
+        return least * (100 + hundred) >= both * hundred
 
     def matched(pairs: DataFrame) -> DataFrame:
-        """Pairs ``a, b`` whose sizes allow the similarity and whose signatures have enough matches: ``a, b, matches``."""
-        left = facts.select(F.col("id").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
-        right = facts.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
-        both = pairs.join(left, "a").join(right, "b")
+        """Pairs ``a, b, member`` whose signatures have enough matches, with ``matches``."""
+        left, right = (signatures.select(F.col("id").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
         same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * hundred
-        return both.where(fits).select("a", "b", same.alias("matches")).where(F.col("matches") >= MATCHES)
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "member", same.alias("matches")).where(F.col("matches") >= needed)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs that are linked: intersection and union of full sets."""
@@ -120,26 +138,25 @@ def near_groups(docs: DataFrame, similarity: float = 0.85, size: int = 5, id_col
 
     links = spark.createDataFrame([], "a bigint, b bigint")
     tried = links
-    grouped = posted.select("posting", "id", F.col("id").alias("component"))
-    turn, last = 0, False
+    named, turn, last = posted.withColumn("component", F.col("id")), 0, False
     while not last:
         last = turn >= rounds
-        # Lists whose members are all in one component are done.
-        spans = grouped.groupBy("posting").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                               F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id"), F.col("component"))).alias("lead"))
-        mixed = grouped.join(spans.where("low < high"), "posting")
-        if not last:
-            pairs = mixed.where("component <> lead.component").select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
+        members = named.select("posting", F.struct("id", "n", "common", "component").alias("m"))
+        # Lists whose members are all in one component are done; a hash picks another leader in each round.
+        spans = members.groupBy("posting").agg(F.min("m.component").alias("low"), F.max("m.component").alias("high"),
+                                               F.min(F.struct(F.xxhash64(F.lit(turn), "m.id").alias("h"), F.col("m"))).alias("lead"))
+        mixed = members.join(spans.where("low < high").select("posting", F.col("lead.m").alias("lead")), "posting")
+        other = F.col("lead.component") != F.col("m.component")
+        if last:
+            left, right = mixed.select("posting", F.col("m").alias("lead")), mixed.select(F.col("posting").alias("same"), "m")
+            pairs = left.join(right, (F.col("posting") == F.col("same")) & other & (F.col("lead.id") < F.col("m.id")) & enough("lead", "m"))
         else:
-            left = mixed.select("posting", F.col("id").alias("a"), F.col("component").alias("ca"))
-            right = mixed.select("posting", F.col("id").alias("b"), F.col("component").alias("cb"))
-            pairs = left.join(right, "posting").where("a < b AND ca <> cb").select("a", "b")
-        new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        found = matched(new)
+            pairs = mixed.where(other & enough("lead", "m"))
+        new = pairs.select(F.least("lead.id", "m.id").alias("a"), F.greatest("lead.id", "m.id").alias("b"), F.col("m.id").alias("member"))
+        found = matched(new.distinct().join(tried, ["a", "b"], "left_anti"))
         if not last:
             # One leader per class and round: the one with the most matches.
-            best = F.max(F.struct("matches", F.col("a"))).alias("top")
-            found = found.groupBy("b").agg(best).select(F.col("top.a").alias("a"), "b")
+            found = found.groupBy("member").agg(F.max(F.struct("matches", "a", "b")).alias("top")).select("top.a", "top.b").distinct()
         found = pinned(found.select("a", "b"), "pairs")
         tried = tried.union(found)
         confirmed_now = pinned(confirmed(found), "confirmed")
@@ -147,8 +164,7 @@ def near_groups(docs: DataFrame, similarity: float = 0.85, size: int = 5, id_col
         # Leaders that link nothing more are not worth another round.
         turn = rounds if confirmed_now.isEmpty() else turn + 1
         labels = pinned(connected(links), "labels")
-        named = posted.join(labels, "id", "left")
-        grouped = named.select("posting", "id", F.coalesce("component", "id").alias("component"))
+        named = posted.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     answers = levels[-1].join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "run", "digest", F.coalesce("component", "rep").alias("component"))
     told = answer_runs(levels, answers, ["digest"], FAN, ["component"])
