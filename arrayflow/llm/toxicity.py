@@ -25,8 +25,10 @@ from arrayflow.llm.common import whole_text
 
 _TOKEN = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 18
+#: Tokens that a gradient is computed on at once.
+CHUNK = 250_000
 #: Labelled documents that a field is fitted on at most; which ones is decided by a hash of the id.
-FIT_ROWS = 6000
+FIT_ROWS = 4000
 #: Lengths of a word's start that are features beside the word.
 STEMS = (5, 7)
 #: A feature marks toxic tokens if it is so much likelier in labelled toxic documents, and the log-likelihood ratio is so high.
@@ -48,6 +50,16 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(part, seed) & (BUCKETS - 1) for seed, part in enumerate((word, *(word[:n] for n in STEMS)))]
 
 
+class Features(dict):
+    """Buckets of tokens, remembered; starts again when it is full."""
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= 200_000:
+            self.clear()
+        got = self[word] = features(word)
+        return got
+
+
 class Weights(dict):
     """Summed weight of a token's features, remembered per token; starts again when it is full."""
 
@@ -127,18 +139,36 @@ def summaries(field: Field, weights: np.ndarray, lengths: np.ndarray) -> tuple[n
     return out, toxic
 
 
-def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 30, step: float = 0.5) -> Field:
+def _slopes(weights: np.ndarray, target: np.ndarray, lengths: np.ndarray, moves: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the log-likelihood of the tags ``target``: its slopes by token weight and by transition, and the first tokens."""
+    odds = np.exp(np.clip(weights, -30, 30))
+    starts, ends = np.zeros(len(odds), bool), np.zeros(len(odds), bool)
+    starts[np.cumsum(lengths) - lengths] = True
+    ends[np.cumsum(lengths) - 1] = True
+    forward = _scan(odds, starts, moves, first)
+    backward = _scan(odds[::-1], ends[::-1], moves.T, 0.0)[::-1]
+    toxic = forward[:, 1] * backward[:, 1] / odds
+    toxic /= toxic + forward[:, 0] * backward[:, 0]
+    follows = np.flatnonzero(~starts)
+    pair = {(a, b): forward[follows - 1, a] * np.exp(moves[a, b]) * backward[follows, b] for a in (0, 1) for b in (0, 1)}
+    whole = sum(pair.values())
+    seen = np.bincount(2 * target[follows - 1].astype(int) + target[follows].astype(int), minlength=4).reshape(2, 2)
+    expected = np.array([[(pair[a, b] / whole).sum() for b in (0, 1)] for a in (0, 1)])
+    return target - toxic, seen - expected, starts
+
+
+def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 15, step: float = 0.5) -> Field:
     """Fit a field on labelled documents; without toxic ones every score is low."""
     labels = np.asarray(labels, np.int64)
-    known: dict[str, int] = {}
-    words = [_TOKEN.findall(t) for t in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    token = np.fromiter((known.setdefault(w, len(known)) for own in words for w in own), np.int64, int(lengths.sum()))
-    table = np.array([features(w) for w in known], np.int32).reshape(-1, 1 + len(STEMS))
-    owner = np.repeat(np.arange(len(lengths)), lengths)
+    found, parts = Features(), []
+    for text in texts:
+        parts.append(np.array([found[w] for w in _TOKEN.findall(text)], np.int32).reshape(-1, 1 + len(STEMS)))
+    lengths = np.array([len(p) for p in parts], np.int64)
     # Toxic features: by the number of documents they are in, on either side.
-    pairs = np.unique(owner * len(known) + token) if len(known) else np.zeros(0, np.int64)
-    docs_of = np.unique((pairs // max(len(known), 1))[:, None] * BUCKETS + table[pairs % max(len(known), 1)])
+    docs_of = np.concatenate([np.unique(p).astype(np.int64) + BUCKETS * i for i, p in enumerate(parts)] + [np.zeros(0, np.int64)])
+    tokens = np.concatenate([*parts, np.zeros((0, 1 + len(STEMS)), np.int32)])
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    del parts
     feature, toxic_doc = docs_of % BUCKETS, labels[docs_of // BUCKETS] == 1
     inside = np.bincount(feature[toxic_doc], minlength=BUCKETS).astype(float)
     outside = np.bincount(feature[~toxic_doc], minlength=BUCKETS).astype(float)
@@ -149,40 +179,34 @@ def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 30, step: flo
                      + np.where(outside > 0, outside * np.log(outside / ((inside + outside) * (1 - share))), 0))
     lift = ((inside + 0.1) / n_toxic) / ((outside + 0.5) / n_clean)
     marks = (lift >= LEAST_LIFT) & (ratio >= LEAST_RATIO)
-    target = marks[table].any(1)[token] & (labels[owner] == 1)
+    target = marks[tokens].any(1) & (labels[owner] == 1)
 
     # Weighted maximum likelihood of the tagged chains by gradient ascent on states, transitions and bias.
     weights, bias, moves, first = np.zeros(BUCKETS), -2.0, np.zeros((2, 2)), 0.0
     speed = np.full(BUCKETS, 1e-8)
-    n = len(token)
-    full = lengths[lengths > 0]
-    starts = np.zeros(n, bool)
-    if n:
-        starts[np.cumsum(full) - full] = True
-    follows = np.flatnonzero(~starts)
-    for _ in range(rounds if n and target.any() else 0):
-        odds = np.exp(np.clip(weights[table].sum(1)[token] + bias, -30, 30))
-        ends = np.roll(starts, -1)
-        forward = _scan(odds, starts, moves, first)
-        backward = _scan(odds[::-1], ends[::-1], moves.T, 0.0)[::-1].copy()
-        toxic = forward[:, 1] * backward[:, 1] / odds
-        toxic /= toxic + forward[:, 0] * backward[:, 0]
-        slope = target - toxic
-        by_token = np.bincount(token, slope, len(table))
-        gain = np.bincount(table.ravel(), np.repeat(by_token, table.shape[1]), BUCKETS) - 0.01 * weights
+    del docs_of, feature, toxic_doc, owner
+    ends = np.cumsum(lengths)
+    # Whole documents in chunks of bounded size; the gradients of all chunks make one step.
+    cuts = np.flatnonzero(np.diff(ends // CHUNK, append=-1)) + 1
+    chunks = [(int(ends[a - 1]) if a else 0, int(ends[b - 1]), lengths[a:b]) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+    some = max(int(target.sum()), 1)
+    for _ in range(rounds if target.any() else 0):
+        gain, push, turn, begin = -0.01 * weights, 0.0, np.zeros((2, 2)), []
+        for low, high, own in chunks:
+            if low < high:
+                slope, moved, starts = _slopes(weights[tokens[low:high]].sum(1) + bias, target[low:high], own[own > 0], moves, first)
+                for k in range(tokens.shape[1]):
+                    gain += np.bincount(tokens[low:high, k], slope, BUCKETS)
+                push, turn = push + slope.sum(), turn + moved
+                begin.append(slope[starts])
         speed += gain ** 2
         weights = weights + step * gain / np.sqrt(speed)
-        bias += step * float(np.clip(slope.sum() / max(target.sum(), 1), -1, 1))
-        # Expected transitions from the pairwise marginals.
-        pair = forward[follows - 1][:, :, None] * np.exp(moves)[None] * backward[follows][:, None, :]
-        pair /= pair.sum((1, 2), keepdims=True)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (target[follows - 1].astype(int), target[follows].astype(int)), 1.0)
-        moves = moves + step * np.clip((seen - pair.sum(0)) / max(target.sum(), 1), -1, 1) - 0.01 * moves
-        first += step * float(np.clip(slope[starts].mean(), -1, 1))
+        bias += step * float(np.clip(push / some, -1, 1))
+        moves = moves + step * np.clip(turn / some, -1, 1) - 0.01 * moves
+        first += step * float(np.clip(np.concatenate(begin).mean(), -1, 1))
     field = Field(weights, bias, moves, first, np.zeros(3))
     # Document scale: logistic regression on the summaries.
-    x, _ = summaries(field, (weights[table].sum(1) + bias)[token], lengths)
+    x = np.concatenate([np.zeros((0, 3)), *[summaries(field, weights[tokens[a:b]].sum(1) + bias, own)[0] for a, b, own in chunks]])
     scale = np.array([np.log(n_toxic / n_clean), 0.0, 0.0]) if len(labels) else np.array([-3.0, 0.0, 0.0])
     for _ in range(50 if 0 < (labels == 1).sum() < len(labels) else 0):
         p = 1 / (1 + np.exp(-x @ scale))
