@@ -11,10 +11,8 @@ from arrayflow.functions.expr import MICROS, STAGES, attach, micros, ratio, seco
 from arrayflow.functions.ordered import keep_last, last_known, neighbour, running_sum, trailing_sum
 from arrayflow.session import pinned
 
-# Gauge names, history sizes, thresholds of the reports.
+# Gauge names and other output field names below, thresholds of the reports.
 GAUGES = ("buffer_usage", "queue_size", "throughput", "compression_ratio", "write_speed")
-MAX_HISTORY = 1000
-LOG_HISTORY = 100
 LOG_SHOWN = 10
 IDLE_STATUS_PERCENT = 50
 QUEUE_CAPACITY = 100
@@ -46,12 +44,12 @@ def worker_universe(activities: DataFrame, *others: DataFrame) -> DataFrame:
     return ids.distinct()
 
 
-def recent_intervals(activities: DataFrame, max_history: int | None = MAX_HISTORY) -> DataFrame:
-    """Closed intervals, only the newest ``max_history`` of each worker."""
+def recent_intervals(activities: DataFrame, max_history: int | None = None) -> DataFrame:
+    """Closed intervals: all, or only the newest ``max_history`` of each worker."""
     return keep_last(activities.filter(is_closed()), ["worker_id"], ["end_time", "seq"], max_history)
 
 
-def worker_stats(activities: DataFrame, max_history: int | None = MAX_HISTORY) -> DataFrame:
+def worker_stats(activities: DataFrame, max_history: int | None = None) -> DataFrame:
     """Count, busy and idle seconds, idle percentage and mean usage per worker."""
     return _worker_totals(recent_intervals(activities, max_history), [])
 
@@ -74,7 +72,7 @@ def latest_gauges(gauges: DataFrame, metrics: Sequence[str] = GAUGES, by: Sequen
         F.max_by("value", F.when(F.col("metric") == m, latest)).alias(m) for m in metrics])
 
 
-def process_stats(activities: DataFrame, gauges: DataFrame, max_history: int | None = MAX_HISTORY) -> DataFrame:
+def process_stats(activities: DataFrame, gauges: DataFrame, max_history: int | None = None) -> DataFrame:
     """Worker statistics with name, stage, mean and current gauges, and status."""
     history = recent_intervals(activities, max_history)
     means = [F.avg(g).alias(f"avg_{g}") for g in GAUGES]
@@ -91,23 +89,28 @@ def process_stats(activities: DataFrame, gauges: DataFrame, max_history: int | N
 
 
 def overall_counts(tasks: DataFrame, activities: DataFrame) -> DataFrame:
-    """Task counts by status next to worker, idle and busy totals: one pass over the union of both inputs."""
-    rows = tasks.select("status").unionByName(
-        activities.select("worker_id", "idle_time", "duration_us", (~is_closed()).alias("open")), allowMissingColumns=True)
-    by_status = [F.count_if(F.col("status") == s).alias(f"{s}_tasks") for s in ("pending", "running", "completed", "failed")]
+    """Task counts by status next to worker, idle and busy totals; both inputs are summed up per key before they meet."""
+    workers = activities.groupBy("worker_id").agg(
+        F.sum("idle_time").alias("idle_time"), F.sum("duration_us").alias("duration_us"), (F.count_if(~is_closed()) > 0).alias("open"))
+    states = tasks.groupBy("status").agg(F.count("status").alias("n"))
+    rows = states.unionByName(workers, allowMissingColumns=True)
+    by_status = [F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).alias(f"{s}_tasks") for s in ("pending", "running", "completed", "failed")]
     return rows.agg(
-        F.count("status").alias("total_tasks"), *by_status,
-        F.countDistinct("worker_id").alias("total_workers"),
-        F.countDistinct(F.when(F.col("open"), F.col("worker_id"))).alias("active_workers"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_tasks"), *by_status,
+        F.count("worker_id").alias("total_workers"),
+        F.count_if(F.col("open") & F.col("worker_id").isNotNull()).alias("active_workers"),
         F.coalesce(F.sum("idle_time"), F.lit(0.0)).alias("total_idle_time"),
         F.coalesce(F.sum("duration_us") / float(MICROS), F.lit(0.0)).alias("total_busy_time"))
 
 
-def throughput_history(activities: DataFrame, max_history: int = MAX_HISTORY) -> DataFrame:
-    """At every interval end: retained intervals per retained busy second."""
+def throughput_history(activities: DataFrame, max_history: int | None = None) -> DataFrame:
+    """At every interval end: intervals so far (or the last ``max_history``) per busy second of theirs."""
     closed = activities.filter(is_closed()).select("worker_id", "end_time", "seq", "duration_us")
-    summed = trailing_sum(closed, ["worker_id"], ["end_time", "seq"], max_history,
-                          {"n": F.lit(1).cast("bigint"), "busy_us": "duration_us"})
+    sums = {"n": F.lit(1).cast("bigint"), "busy_us": F.col("duration_us")}
+    if max_history is None:
+        summed = running_sum(closed, ["worker_id"], ["end_time", "seq"], sums)
+    else:
+        summed = trailing_sum(closed, ["worker_id"], ["end_time", "seq"], max_history, sums)
     return summed.select("worker_id", F.col("end_time").alias("ts"), "seq",
                          ratio("n", F.col("busy_us") / float(MICROS)).alias("throughput"))
 
@@ -155,7 +158,7 @@ def task_lifecycle(task_events: DataFrame) -> DataFrame:
 
 # Roll-ups over process statistics ------------------------------------------------------------------------------------
 
-def worker_rollup(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def pipeline_rollup(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Worker counts, summed gauges and the mean ratio over all workers."""
     active = F.count_if(F.col("current_status") == "active")
     zero = F.lit(0.0)
@@ -222,11 +225,12 @@ def activity_heatmap(stats: DataFrame) -> DataFrame:
 def system_snapshot(gauges: DataFrame, open_intervals: DataFrame, total_buffers: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Current totals over all workers; pseudo-workers with negative ids do not count."""
     latest = latest_gauges(gauges.filter(F.col("worker_id") >= 0), by=by)
-    rows = latest.unionByName(open_intervals.select(*by, F.col("worker_id").alias("open_worker")), allowMissingColumns=True)
+    opened = open_intervals.select(*by, F.col("worker_id").alias("open_worker")).distinct()
+    rows = latest.unionByName(opened, allowMissingColumns=True)
     total = {g: F.coalesce(F.sum(g), F.lit(0.0)) for g in GAUGES}
     used = total["buffer_usage"]
     return rows.groupBy(*by).agg(
-        F.countDistinct("open_worker").alias("active_processes"),
+        F.count("open_worker").alias("active_processes"),
         total["throughput"].alias("total_throughput"),
         F.coalesce(F.avg("compression_ratio"), F.lit(0.0)).alias("avg_compression_ratio"),
         total["queue_size"].alias("queue_depth"),
@@ -245,15 +249,14 @@ def counter_rates(system_metrics: DataFrame, counters: Sequence[str], by: Sequen
 
 
 def recent_errors(log_events: DataFrame, n: int = LOG_SHOWN, level: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """The newest messages, oldest first, out of the retained log."""
-    upper = log_events.withColumn("level", F.upper("level"))
-    kept = keep_last(upper, list(by), ["ts", "seq"], LOG_HISTORY)
+    """The newest ``n`` messages, of one level if it is given, oldest first."""
+    kept = log_events.withColumn("level", F.upper("level"))
     if level is not None:
         kept = kept.filter(F.col("level") == level.upper())
     return keep_last(kept, list(by), ["ts", "seq"], n).orderBy(*by, "ts", "seq")
 
 
-def status_history(snapshots: DataFrame, n: int = LOG_HISTORY) -> DataFrame:
+def status_history(snapshots: DataFrame, n: int = 100) -> DataFrame:
     """The last ``n`` points of the status series."""
     return keep_last(snapshots, [], ["ts"], n)
 
@@ -338,7 +341,7 @@ def full_status(stats: DataFrame, log_events: DataFrame, level: str | None = Non
     errors = recent_errors(log_events, level=level).agg(
         F.sort_array(F.collect_list(F.struct("ts", "seq", "level", "message"))).alias("messages"))
     sections: Mapping[str, DataFrame] = {
-        "workers": worker_rollup(stats), "throughput": stage_throughput(stats), "queues": queue_summary(stats),
+        "workers": pipeline_rollup(stats), "throughput": stage_throughput(stats), "queues": queue_summary(stats),
         "compression": compression_summary(stats),
         "idle": idle_classes(stats).groupBy("status").agg(F.count(F.lit(1)).alias("workers"))
         .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "workers")))).alias("workers_by_status")),

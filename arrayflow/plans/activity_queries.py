@@ -24,8 +24,7 @@ iv AS (SELECT *, us AS start_us, lead(us) OVER (PARTITION BY worker_id ORDER BY
 act AS (SELECT *, end_us - start_us AS duration_us, least(value, coalesce((end_us - start_us) / 1e6, value)) AS idle_time,
   least(100, value) AS cpu_usage, seq % 100 AS memory_usage, seq % 5 AS buffer_usage, seq % 7 AS queue_size,
   value AS throughput, (seq % 10) / 10.0 AS compression_ratio, value * 2 AS write_speed FROM iv),
-recent AS (SELECT * FROM act WHERE end_us IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY worker_id ORDER BY end_us DESC, seq DESC) <= 1000)"""
+recent AS (SELECT * FROM act WHERE end_us IS NOT NULL)"""
 STATS = ACT + """,
 gauge AS (SELECT worker_id, metric, arg_max(value, us) AS value FROM ev GROUP BY 1, 2),
 cur AS (SELECT worker_id,
@@ -140,7 +139,7 @@ def overall_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {ACT}, f AS (SELECT worker_id, seq, count(*) OVER w AS n, sum(duration_us) OVER w AS busy FROM act WHERE end_us IS NOT NULL
-    WINDOW w AS (PARTITION BY worker_id ORDER BY end_us, seq ROWS 999 PRECEDING))
+    WINDOW w AS (PARTITION BY worker_id ORDER BY end_us, seq ROWS UNBOUNDED PRECEDING))
   SELECT worker_id, seq, round(CASE WHEN busy > 0 THEN n / (busy / 1e6) ELSE 0 END, 9) AS throughput FROM f""")
 def throughput_history(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(A.throughput_history(B.activities(spark, sf)).drop("ts"), "throughput", digits=9)
@@ -158,8 +157,8 @@ _SUMS = ["total_buffer_usage", "total_queue_size", "total_throughput", "avg_comp
 @query(f"""WITH {STATS} SELECT count(*) AS total_processes, count(*) FILTER (current_status = 'active') AS active_processes,
   count(*) FILTER (current_status <> 'active') AS idle_processes, round(sum(current_buffer_usage), 4) AS total_buffer_usage,
   round(sum(current_queue_size), 4) AS total_queue_size, round(sum(current_throughput), 4) AS total_throughput, round(avg(current_compression_ratio), 4) AS avg_compression_ratio FROM stats""")
-def worker_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(A.worker_rollup(stats_of(spark, sf)), *_SUMS, digits=4)
+def pipeline_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(A.pipeline_rollup(stats_of(spark, sf)), *_SUMS, digits=4)
 
 
 @query(f"""WITH {ACT} SELECT coalesce(worker_id, -1) AS worker_id, grouping(worker_id)::BIGINT AS is_total, round(sum(idle_time), 4) AS total_idle_time
@@ -169,8 +168,7 @@ def idle_totals(spark: SparkSession, sf: str) -> DataFrame:
     return totals.withColumns({"worker_id": F.coalesce("worker_id", F.lit(-1)), "is_total": F.col("is_total").cast("bigint")})
 
 
-@query(f"""WITH {EV}, kept AS (SELECT * FROM ev ORDER BY us DESC, seq DESC LIMIT 100)
-  SELECT us AS ts_us, seq, upper(event_type) AS level, message FROM kept WHERE upper(event_type) = 'ERROR' ORDER BY us DESC, seq DESC LIMIT 10""")
+@query(f"""WITH {EV} SELECT us AS ts_us, seq, upper(event_type) AS level, message FROM ev WHERE upper(event_type) = 'ERROR' ORDER BY us DESC, seq DESC LIMIT 10""")
 def recent_errors(spark: SparkSession, sf: str) -> DataFrame:
     return us(A.recent_errors(B.log_events(spark, sf), level="error").drop("worker_id"), ts_us="ts")
 

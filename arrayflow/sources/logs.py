@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayflow.operators.activity import MAX_HISTORY, recent_intervals
+from arrayflow.operators.activity import recent_intervals
 from arrayflow.operators.tensors import batched
 
 # Big-endian op, time, offset, length, meta length; then meta; then MD5.
@@ -77,8 +77,8 @@ def read_wal(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_activity_json(path: str, activities: DataFrame, tables: Mapping[str, DataFrame] | None = None,
-                         max_history: int = MAX_HISTORY) -> None:
-    """Write activity as JSON: retained intervals nested under their worker, every other table one object per row."""
+                         max_history: int | None = None) -> None:
+    """Write activity as JSON: closed intervals nested under their worker, every other table one object per row."""
     fields = [c for c in activities.columns if c != "worker_id"]
     nested = recent_intervals(activities, max_history).groupBy("worker_id").agg(
         F.sort_array(F.collect_list(F.struct("end_time", "seq", *[c for c in fields if c not in ("end_time", "seq")]))).alias("activities"))

@@ -56,7 +56,7 @@ def test_process_stats_status(frame):
     stats = {r.worker_id: r for r in A.process_stats(activities(frame, [(1, 0.0, 5.0, 1.0), (1, 6.0, None, 0.0), (2, 0.0, 1.0, 0.0), (3, 0.0, 1.0, 0.0), (3, 2.0, None, 1.0)]), gauges).collect()}
     assert [stats[w].current_status for w in (1, 2, 3)] == ["active", "unknown", "idle"]
     assert stats[1].current_queue_size == 6.0 and stats[2].current_queue_size == 0.0 and stats[1].avg_write_speed == 50.0
-    roll = A.worker_rollup(A.process_stats(activities(frame, [(1, 0.0, 5.0, 1.0)]), gauges)).first()
+    roll = A.pipeline_rollup(A.process_stats(activities(frame, [(1, 0.0, 5.0, 1.0)]), gauges)).first()
     assert (roll.total_processes, roll.active_processes, roll.idle_processes) == (1, 0, 1)
 
 
@@ -102,7 +102,18 @@ def test_task_duration_uses_the_start_before_completion(frame):
 def test_log_level_and_order(frame, rows):
     logs = frame([(float(i), i, "error" if i % 2 else "info", f"m{i}", 1) for i in range(120)], "ts timestamp, seq bigint, level string, message string, worker_id bigint", ["ts"])
     assert [r.seq for r in A.recent_errors(logs, 3, "error").collect()] == [115, 117, 119]
-    assert A.recent_errors(logs, 500).count() == 100
+    assert A.recent_errors(logs, 500).count() == 120
+    old = frame([(float(i), i, "error" if i < 20 else "info", f"m{i}", 1) for i in range(150)], "ts timestamp, seq bigint, level string, message string, worker_id bigint", ["ts"])
+    assert A.recent_errors(old, 30, "error").count() == 20
+
+
+def test_long_histories_count_in_full(spark, frame):
+    long = spark.range(5000).selectExpr("1L AS worker_id", "timestamp_seconds(id) AS start_time", "timestamp_seconds(id + 1) AS end_time", "id AS seq", "1000000L AS duration_us",
+                                        "0.5D AS idle_time", "1.0D AS cpu_usage", "2.0D AS memory_usage")
+    row = A.worker_stats(long).first()
+    assert (row.total_activities, row.total_duration, row.total_idle_time) == (5000, 5000.0, 2500.0)
+    assert A.worker_stats(long, 1000).first().total_activities == 1000
+    assert A.throughput_history(long).agg(F.max("throughput")).first()[0] == 1.0
 
 
 def test_negative_workers_never_count(frame):
