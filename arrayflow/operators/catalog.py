@@ -11,18 +11,6 @@ from pyspark.sql import functions as F
 from arrayflow.functions.expr import element_count
 from arrayflow.functions.ordered import number
 
-# Up to this many ids become an IN filter that reaches the Parquet scan; more should come as a DataFrame.
-MAX_LITERAL_IDS = 1000
-
-
-def _by_ids(df: DataFrame, ids: DataFrame | Sequence[int], how: str) -> DataFrame:
-    if isinstance(ids, DataFrame):
-        return df.join(ids.select("tensor_id").distinct(), "tensor_id", how)
-    if len(ids) <= MAX_LITERAL_IDS:
-        wanted = F.col("tensor_id").isin(list(ids))
-        return df.filter(wanted if how == "left_semi" else ~wanted)
-    return _by_ids(df, df.sparkSession.createDataFrame([(i,) for i in ids], "tensor_id bigint"), how)
-
 
 def list_tensors(catalog: DataFrame, limit: int | None = None) -> DataFrame:
     """All entries in id order; a limit of 0 or None returns all."""
@@ -30,9 +18,9 @@ def list_tensors(catalog: DataFrame, limit: int | None = None) -> DataFrame:
     return ordered.limit(limit) if limit else ordered
 
 
-def tensor_info(catalog: DataFrame, ids: DataFrame | Sequence[int]) -> DataFrame:
+def tensor_info(catalog: DataFrame, ids: DataFrame) -> DataFrame:
     """Entries of the given ids."""
-    return _by_ids(catalog, ids, "left_semi")
+    return catalog.join(ids.select("tensor_id"), "tensor_id", "left_semi")
 
 
 def unknown_ids(catalog: DataFrame, ids: DataFrame) -> DataFrame:
@@ -40,9 +28,9 @@ def unknown_ids(catalog: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("tensor_id").distinct().join(catalog.select("tensor_id"), "tensor_id", "left_anti")
 
 
-def read_many(tensors: DataFrame, ids: DataFrame | Sequence[int]) -> DataFrame:
+def read_many(tensors: DataFrame, ids: DataFrame) -> DataFrame:
     """Whole tensors (or their cells) of the given ids; ids without data are listed by :func:`unknown_ids`."""
-    return _by_ids(tensors, ids, "left_semi")
+    return tensors.join(ids.select("tensor_id"), "tensor_id", "left_semi")
 
 
 def search_tensors(catalog: DataFrame, criteria: Mapping[str, object]) -> DataFrame:

@@ -51,16 +51,16 @@ def rotate(checkpoints: DataFrame, keep: int = KEEP_VERSIONS, by: Sequence[str]
 
 
 def load_checkpoint(checkpoints: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The newest version whose checksum matches its text; no row where all are spoiled."""
-    columns = [c for c in checkpoints.columns if c not in by]
-    good = checkpoints.filter(F.sha2(F.col("payload").cast("binary"), 256) == F.col("checksum"))
-    newest = good.groupBy(*by).agg(F.max_by(F.struct(*columns), "version").alias("_row"))
-    return newest.filter(F.col("_row").isNotNull()).select(*by, "_row.*")
+    """All rows of the newest version of which every row matches its checksum; no row where all versions are spoiled."""
+    matches = F.coalesce(F.sha2(F.col("payload").cast("binary"), 256) == F.col("checksum"), F.lit(False))
+    good = checkpoints.groupBy(*by, "version").agg(F.min(matches).alias("_good")).filter("_good")
+    newest = good.groupBy(*by).agg(F.max("version").alias("version"))
+    return checkpoints.join(newest, [*by, "version"], "left_semi")
 
 
 def checkpoint_info(checkpoints: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Time and versions of the checkpoint that would be loaded."""
-    return load_checkpoint(checkpoints, by).select(*by, "version", "ts", "system_version", "schema_version")
+    return load_checkpoint(checkpoints, by).select(*by, "version", "ts", "system_version", "schema_version").distinct()
 
 
 def restore_state(loaded: DataFrame, failures: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -18,24 +18,25 @@ ADD_BELOW, REMOVE_ABOVE = 20.0, 80.0
 def rolling_mean(gauges: DataFrame, seconds: float = 10, by: Sequence[str] = ("metric",)) -> DataFrame:
     """Mean of the trailing ``seconds`` (far end included) at every instant that has samples.
 
-    Samples of one instant are summed first. A sum enters at its instant and leaves right after ``seconds``; the running
-    sum of entries and exits is the trailing sum, at the same cost for any window length. Time is cut into buckets one
-    window long: a sum enters its own bucket and the next one, where it also leaves, so each bucket stands alone.
+    Samples of one instant are summed first. Time is cut into buckets one window long, so that a window is the start of its
+    own bucket and the end of the one before: a running sum from the left plus one from the right, looked up where the
+    window begins. Nothing is subtracted, so that large, infinite or undefined values leave together with their window, and
+    the cost does not depend on its length.
     """
     by, span = list(by), int(seconds * MICROS)
     instants = (gauges.groupBy(*by, micros("ts").alias("ts_us"))
                 .agg(F.sum("value").alias("_sum"), F.count("value").alias("_n")))
-    home = floor_div(F.col("ts_us"), span)
-
-    def change(bucket: Column, at: Column, sign: int, own: bool) -> Column:
-        return F.struct(bucket.alias("_bucket"), at.alias("_at"), F.lit(0 if sign > 0 else 1).alias("_leaves"), F.lit(own).alias("_own"),
-                        (F.col("_sum") * sign).alias("_dsum"), (F.col("_n") * sign).alias("_dn"))
-    at = F.col("ts_us")
-    changes = F.explode(F.array(change(home, at, 1, True), change(home + 1, at, 1, False), change(home + 1, at + span, -1, False)))
-    spread = instants.withColumn("_change", changes).select(*by, "ts_us", "_change.*")
-    summed = running_sum(spread, [*by, "_bucket"], ["_at", "_leaves"], {"_total": F.coalesce("_dsum", F.lit(0.0)), "n_samples": "_dn"})
+    at, home = F.col("ts_us"), floor_div(F.col("ts_us"), span)
+
+    def entry(right: bool, bucket: Column, place: Column, asks: bool, adds: bool) -> Column:
+        return F.struct(F.lit(right).alias("_right"), bucket.alias("_bucket"), place.alias("_at"), F.lit(int(asks and right)).alias("_after"), F.lit(asks).alias("_asks"),
+                        (F.col("_sum") if adds else F.lit(0.0)).alias("_dsum"), (F.col("_n") if adds else F.lit(0).cast("bigint")).alias("_dn"))
+    entries = F.array(entry(False, home, at, True, True), entry(True, home, -at, False, True), entry(True, home - 1, F.lit(span) - at, True, False))
+    spread = instants.withColumn("_entry", F.explode(entries)).select(*by, "ts_us", "_entry.*")
+    summed = running_sum(spread, [*by, "_right", "_bucket"], ["_at", "_after"], {"_total": F.coalesce("_dsum", F.lit(0.0)), "n_samples": "_dn"})
+    whole = summed.filter("_asks").groupBy(*by, "ts_us").agg(F.sum("_total").alias("_total"), F.sum("n_samples").alias("n_samples"))
     mean = F.when(F.col("n_samples") > 0, F.col("_total") / F.col("n_samples")).otherwise(0.0)
-    return summed.filter("_own").select(*by, "ts_us", mean.alias("rolling_mean"), "n_samples")
+    return whole.select(*by, "ts_us", mean.alias("rolling_mean"), "n_samples")
 
 
 def rolling_idle(idle_samples: DataFrame, seconds: float = 15) -> DataFrame:

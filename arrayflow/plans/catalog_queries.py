@@ -98,22 +98,24 @@ def _updates(catalog: DataFrame) -> DataFrame:
     """Compressing the larger tensors adds a file name, one second later."""
     later = F.timestamp_micros(micros("created_at") + 1_000_000)
     changed = catalog.filter(F.col("shape")[0] > 25)
-    return changed.select("tensor_id", later.alias("created_at"), F.concat("filename", F.lit(".zst")).alias("compressed_file"))
+    return changed.select("tensor_id", later.alias("updated_at"), F.concat("filename", F.lit(".zst")).alias("compressed_file"))
 
 
-@query(f"""WITH {CAT} SELECT {ENTRY}, CASE WHEN rows > 25 THEN 't_' || tensor_id || '.bin.zst' ELSE '' END AS compressed_file FROM cat""")
+@query(f"""WITH {CAT} SELECT {ENTRY}, CASE WHEN rows > 25 THEN 't_' || tensor_id || '.bin.zst' ELSE '' END AS compressed_file,
+  1600000000 + tensor_id AS created_s FROM cat""")
 def append_catalog(spark: SparkSession, sf: str) -> DataFrame:
     path, catalog = scratch_path(spark, "catalog"), B.catalog(spark, sf)
     catalogs.append_catalog(catalog, path)
-    catalogs.append_catalog(_updates(catalog), path)
+    catalogs.append_catalog(_updates(catalog).withColumn("created_at", F.col("updated_at")), path)
     merged = catalogs.read_catalog(spark, path)
-    return flat(merged).join(merged.select("tensor_id", "compressed_file"), "tensor_id").fillna("", ["compressed_file"])
+    return merged.select("tensor_id", "name", F.col("shape")[0].alias("rows"), F.col("shape")[1].alias("cols"), "dtype",
+                         F.coalesce("compressed_file", F.lit("")).alias("compressed_file"), F.unix_seconds("created_at").alias("created_s"))
 
 
 @query(f"""WITH {CAT} SELECT {ENTRY}, CASE WHEN rows > 25 THEN 't_' || tensor_id || '.bin.zst' ELSE '' END AS compressed_file FROM cat""")
 def merge_catalog(spark: SparkSession, sf: str) -> DataFrame:
     catalog = B.catalog(spark, sf)
-    merged = C.merge_catalog(catalog, _updates(catalog))
+    merged = C.merge_catalog(catalog, _updates(catalog).drop("updated_at"))
     return flat(merged.withColumn("name", F.struct("name", "compressed_file"))).select(
         "tensor_id", "name.name", "rows", "cols", "dtype", F.coalesce("name.compressed_file", F.lit("")).alias("compressed_file"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,6 +23,7 @@ def build(app: str = "arrayflow", master: str | None = None, **conf: str) -> Spa
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -35,10 +37,12 @@ def group_rows(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named (tests on one machine)."""
+    """The cluster's checkpoint folder. Only a session on one machine may leave it unset and gets a temporary one."""
     context = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if configured is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="arrayflow-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)

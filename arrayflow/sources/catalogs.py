@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arrayflow.operators.catalog import latest_entries
@@ -37,13 +38,18 @@ def load_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
 
 
 def append_catalog(updates: DataFrame, path: str) -> None:
-    """Append new or changed entries; :func:`read_catalog` resolves them."""
-    updates.write.mode("append").parquet(path)
+    """Append new or changed entries; :func:`read_catalog` resolves them.
+
+    ``updated_at`` orders the changes of an entry; where it is missing, ``created_at`` stands in.
+    """
+    updated = F.coalesce("updated_at", "created_at") if "updated_at" in updates.columns else F.col("created_at")
+    updates.withColumn("updated_at", updated).write.mode("append").parquet(path)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """The appended catalog, per id the latest non-null values."""
-    rows = _read(spark, CATALOG, path, "parquet")
+    """The appended catalog: per id the latest non-null values, and the time it was first created."""
+    rows = _read(spark, f"{CATALOG}, updated_at timestamp", path, "parquet")
     if rows is None:
         return spark.createDataFrame([], CATALOG)
-    return latest_entries(rows, ["created_at"])
+    first = F.min("created_at").over(W.partitionBy("tensor_id"))
+    return latest_entries(rows.withColumn("created_at", first), ["updated_at"]).drop("updated_at")

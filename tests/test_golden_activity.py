@@ -127,6 +127,16 @@ def test_rolling_mean(frame, rows):
     assert rows(R.rolling_mean(gauges, 10), "metric", "rolling_mean") == [("m", 1.0), ("m", 2.0), ("m", 4.0), ("x", 7.0)]
 
 
+def test_rolling_mean_forgets(frame, rows):
+    """Large, infinite and undefined values leave with their window."""
+    data = [("m", 5.0, 1e17), ("m", 6.0, 1.0), ("m", 17.0, 1.0), ("m", 18.0, 1.0), ("i", 0.0, float("inf")), ("i", 11.0, 2.0), ("i", 12.0, 4.0), ("i", 19.0, 6.0),
+            ("n", 0.0, float("nan")), ("n", 10.5, 3.0)]
+    gauges = frame(data, "metric string, ts timestamp, value double", ["ts"])
+    got = {(m, t): v for m, t, v in rows(R.rolling_mean(gauges, 10), "metric", "ts_us", "rolling_mean")}
+    assert got[("m", 17_000_000)] == got[("m", 18_000_000)] == 1.0
+    assert [got[("i", t)] for t in (11_000_000, 12_000_000, 19_000_000)] == [2.0, 3.0, 4.0] and got[("n", 10_500_000)] == 3.0
+
+
 def test_metric_vector(frame):
     gauges = frame([("queue_depth", 5.0, 2.0), ("queue_depth", 15.0, 4.0), ("writer_rate", 4.9, 9.0)], "metric string, ts timestamp, value double", ["ts"])
     row = R.metric_vector(gauges, 15_000_000, 10).first()
