@@ -125,11 +125,11 @@ def file_parity(files: DataFrame, n: int, size: int = CHUNK_BYTES) -> DataFrame:
 
 def assemble(chunks: DataFrame) -> DataFrame:
     """Chunks back to payloads; a file with missing chunks has ``complete`` false and no payload."""
-    rows = F.sort_array(F.collect_list(F.struct("chunk_index", "chunk")))
-    joined = F.unhex(F.array_join(F.transform("_rows", lambda r: F.hex(r["chunk"])), ""))
-    grouped = chunks.groupBy("file_id").agg(F.first("n_chunks").alias("n_chunks"), rows.alias("_rows"))
-    complete = F.size("_rows") == F.col("n_chunks")
-    return grouped.select("file_id", complete.alias("complete"), F.when(complete, joined).alias("payload"))
+    grouped = chunks.groupBy("file_id").agg(
+        F.max("n_chunks").alias("n_chunks"), F.count("chunk").alias("_n"),
+        F.expr("listagg(chunk) WITHIN GROUP (ORDER BY chunk_index)").alias("_joined"))
+    complete = F.col("_n") == F.col("n_chunks")
+    return grouped.select("file_id", complete.alias("complete"), F.when(complete, F.col("_joined")).alias("payload"))
 
 
 def read_mirror(replicas: DataFrame) -> DataFrame:

@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from arrayflow.functions.expr import element_count, floor_div, ratio
 from arrayflow.functions.ordered import neighbour, running_sum, slice_rows
 
-# Bytes per element by dtype, zstd level, run-length word size, size above which path A is taken.
-DTYPE_BYTES = {"float16": 2, "float32": 4, "float64": 8, "int8": 1, "int16": 2, "int32": 4, "int64": 8,
-               "uint8": 1, "uint16": 2, "uint32": 4, "uint64": 8, "bool": 1}
+# Zstd level, run-length word size, size above which path A is taken.
 ZSTD_LEVEL = 3
 WORD = 4
 ROUTE_MB = 100
@@ -44,11 +42,17 @@ def batched(rows: Iterable[tuple], types: Mapping[str, pa.DataType], max_rows: i
 # Cells ---------------------------------------------------------------------------------------------------------------
 
 def decode_cells(tensors: DataFrame) -> DataFrame:
-    """Binary payloads to (tensor_id, pos, value); large tensors leave in batches of bounded size."""
+    """Binary payloads to (tensor_id, pos, value); large tensors leave in batches of bounded size.
+
+    Rows that :func:`undecodable` lists have no cells.
+    """
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
         for batch in batches:
             for tensor_id, dtype, payload in zip(*(batch.column(n).to_pylist() for n in ("tensor_id", "dtype", "payload"))):
-                values = np.frombuffer(payload, dtype=dtype)
+                kind = _dtype(dtype)
+                if kind is None or payload is None or len(payload) % kind.itemsize:
+                    continue
+                values = np.frombuffer(payload, dtype=kind)
                 for lo in range(0, len(values), BATCH_CELLS):
                     yield tensor_id, lo, values[lo:lo + BATCH_CELLS].astype("float64")
 
@@ -73,6 +77,34 @@ def decode_cells(tensors: DataFrame) -> DataFrame:
             .mapInArrow(decode, "tensor_id bigint, pos bigint, value double"))
 
 
+def _dtype(name: str | None) -> np.dtype | None:
+    """The number type of a name, None if there is none."""
+    try:
+        kind = np.dtype(name) if name else None
+    except TypeError:
+        return None
+    return kind if kind is not None and kind.kind in "biufc" else None
+
+
+def undecodable(tensors: DataFrame) -> DataFrame:
+    """Rows whose payload gives no cells: ``tensor_id, reason``. With a ``shape``, the size must be the shape's too."""
+    width, size = item_bytes("dtype"), F.octet_length("payload")
+    reason = (F.when(F.col("payload").isNull(), "no payload").when(width.isNull(), "unknown dtype")
+              .when(size % width != 0, "broken element"))
+    if "shape" in tensors.columns:
+        reason = reason.when(size != element_count("shape") * width, "other size than the shape's")
+    return tensors.select("tensor_id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def item_bytes(dtype: str) -> Column:
+    """Bytes per element, read off a type's name (``float32``, ``complex128``, ``bool``) or code (``<f8``, ``>i4``)."""
+    name = F.col(dtype)
+    bits = F.regexp_extract(name, "^(?:float|u?int|complex)([0-9]+)$", 1)
+    code = F.regexp_extract(name, "^[<>=|]?[biufc]([0-9]+)$", 1)
+    return (F.when(bits != "", F.try_divide(bits.cast("int"), F.lit(8)).cast("int")).when(code != "", code.cast("int"))
+            .when(name.isin("bool", "?"), 1))
+
+
 def encode_tensors(tensors: DataFrame, values: str) -> DataFrame:
     """Array column to a row-major payload in the row's dtype."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,9 +181,9 @@ def apply_tensor_udf(tensors: DataFrame, function: Callable[[np.ndarray], np.nda
 
 
 def tensor_footprint(catalog: DataFrame) -> DataFrame:
-    """Elements, bytes per element and bytes of every entry."""
-    widths = F.create_map(*[F.lit(x) for pair in DTYPE_BYTES.items() for x in pair])
-    return catalog.select("tensor_id", element_count("shape").alias("n_elements"), widths[F.col("dtype")].alias("item_size")).withColumn(
+    """Elements, bytes per element and bytes of every entry; a type of unknown width fails."""
+    unknown = F.raise_error(F.concat(F.lit("unknown dtype "), F.coalesce("dtype", F.lit("null")))).cast("int")
+    return catalog.select("tensor_id", element_count("shape").alias("n_elements"), F.coalesce(item_bytes("dtype"), unknown).alias("item_size")).withColumn(
         "n_bytes", F.col("n_elements") * F.col("item_size"))
 
 

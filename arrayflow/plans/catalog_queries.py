@@ -9,6 +9,7 @@ from arrayflow.functions.expr import micros
 from arrayflow.operators import catalog as C
 from arrayflow.plans import bindings as B
 from arrayflow.plans.registry import query
+from arrayflow.plans.tensor_queries import written_lines
 from arrayflow.session import scratch_path
 from arrayflow.sources import catalogs, containers
 
@@ -83,10 +84,11 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
     return C.index_stats(B.catalog(spark, sf))
 
 
-@query()
+@query("""SELECT (SELECT count(*) FROM part) AS total_tensors, (SELECT sum(strlen(p_name) + 1)::BIGINT FROM part) / 1048576.0::DOUBLE AS index_mb,
+  (SELECT sum(strlen(o_orderpriority) + 1)::BIGINT FROM orders) / 1048576.0::DOUBLE AS data_mb""")
 def reader_stats(spark: SparkSession, sf: str) -> DataFrame:
-    tensors, index = B.table(spark, sf, "embeddings"), B.table(spark, sf, "part")
-    return C.reader_stats(B.catalog(spark, sf), containers.dataset_size(tensors), containers.dataset_size(index))
+    data, index = (containers.dataset_size(spark, written_lines(spark, sf, *of)) for of in (("orders", "o_orderpriority"), ("part", "p_name")))
+    return C.reader_stats(B.catalog(spark, sf), data, index)
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 + 500 AS tensor_id FROM orders")

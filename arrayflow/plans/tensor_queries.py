@@ -30,12 +30,25 @@ def decode_cells(spark: SparkSession, sf: str) -> DataFrame:
     return T.decode_cells(embedding_payloads(spark, sf))
 
 
-@query(f"WITH {CELLS} SELECT tensor_id, pos, value FROM cells")
+def parsed_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tensor framed and split again; one frame in seven is cut short, has an unreadable header, or lost a byte."""
+    framed = containers.frame_containers(embedding_payloads(spark, sf), ["shape", "dtype"])
+    key, content = F.col("tensor_id"), F.col("content")
+    spoiled = (F.when(key % 21 == 3, F.substring(content, 1, 3)).when(key % 21 == 10, F.concat(F.unhex(F.lit("0000000000000004")), F.encode(F.lit("!!!!"), "UTF-8"), content))
+               .when(key % 21 == 17, F.substring(content, F.lit(1), F.octet_length(content) - 1)).otherwise(content))
+    return containers.parse_containers(framed.select(key, spoiled.alias("content")), containers.RAW_HEADER)
+
+
+@query(f"WITH {CELLS} SELECT tensor_id, pos, value FROM cells WHERE tensor_id % 7 <> 3")
 def read_containers(spark: SparkSession, sf: str) -> DataFrame:
-    """Frame every tensor, split the frames again and decode what comes out."""
-    framed = containers.frame_containers(embedding_payloads(spark, sf), ["shape", "dtype"]).select("tensor_id", "content")
-    parsed = containers.parse_containers(framed, containers.RAW_HEADER)
-    return T.decode_cells(parsed.select("tensor_id", "header.dtype", "payload"))
+    return T.decode_cells(parsed_frames(spark, sf).filter("ok").select("tensor_id", "header.dtype", "payload"))
+
+
+@query("""SELECT vec_id AS tensor_id, CASE vec_id % 21 WHEN 3 THEN 'short file' WHEN 10 THEN 'unreadable header' ELSE 'broken element' END AS reason
+  FROM embeddings WHERE vec_id % 7 = 3""")
+def rejected_containers(spark: SparkSession, sf: str) -> DataFrame:
+    parsed = parsed_frames(spark, sf)
+    return parsed.filter("NOT ok").select("tensor_id", "reason").union(T.undecodable(parsed.filter("ok").select("tensor_id", "header.dtype", "header.shape", "payload")))
 
 
 @query(DOCS)
@@ -45,9 +58,16 @@ def write_tensors(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("tensor_id", F.md5("payload").alias("digest"))
 
 
-@query()
+@query("SELECT sum(strlen(l_returnflag) + 1)::BIGINT AS total_bytes FROM lineitem")
 def dataset_size(spark: SparkSession, sf: str) -> DataFrame:
-    return containers.dataset_size(B.table(spark, sf, "lineitem"))
+    """One text column, written as uncompressed lines."""
+    return containers.dataset_size(spark, written_lines(spark, sf, "lineitem", "l_returnflag")).select("total_bytes")
+
+
+def written_lines(spark: SparkSession, sf: str, table: str, column: str) -> str:
+    path = scratch_path(spark, "lines")
+    B.table(spark, sf, table).select(column).write.option("compression", "none").text(path)
+    return path
 
 
 @query("""WITH s AS (SELECT p_partkey AS tensor_id, p_size % 8 + 1 AS n, ['random','identity','zeros'][p_partkey % 3 + 1] AS kind FROM part),

@@ -19,14 +19,26 @@ STREAM_HEADER = ("original_metadata struct<shape:array<bigint>,dtype:string,size
 
 
 def parse_containers(files: DataFrame, header_schema: str = RAW_HEADER) -> DataFrame:
-    """Split ``content`` into header fields and payload; a file too short for its header has nulls."""
+    """Split ``content`` into header fields and payload.
+
+    ``ok`` is false, and ``reason`` says why, where a file is too short for its header or the header cannot be read.
+    """
     length = F.conv(F.hex(F.substring("content", 1, PREFIX)), 16, 10).cast("bigint")
     whole = (F.octet_length("content") >= PREFIX) & (length + PREFIX <= F.octet_length("content"))
     sized = files.withColumn("_len", F.when(whole, length).cast("int"))
     text = F.decode(F.substring("content", F.lit(PREFIX + 1), F.col("_len")), "UTF-8")
     payload = F.substring("content", F.col("_len") + PREFIX + 1, F.octet_length("content"))
-    return (sized.withColumn("header", F.from_json(text, header_schema)).withColumn("payload", payload)
-            .drop("content", "_len"))
+    read = sized.withColumn("header", F.from_json(text, header_schema)).withColumn("payload", payload)
+    # A header that is no JSON object parses to nulls throughout.
+    fields = read.select("header.*").columns
+    empty = F.col("header").isNull()
+    if fields:
+        unread = F.lit(True)
+        for name in fields:
+            unread = unread & F.col(f"header.{name}").isNull()
+        empty = empty | unread
+    reason = F.when(F.col("_len").isNull(), "short file").when(empty, "unreadable header")
+    return read.withColumns({"ok": reason.isNull(), "reason": reason}).drop("content", "_len")
 
 
 def read_containers(spark: SparkSession, path: str, header_schema: str = RAW_HEADER) -> DataFrame:
@@ -56,13 +68,7 @@ def write_tensors(tensors: DataFrame, path: str, order: Sequence[str] | None = N
     tensors.write.mode("append").option("compression", "zstd").parquet(path)
 
 
-def dataset_size(df: DataFrame) -> DataFrame:
-    """Files and bytes behind a DataFrame read from files; only file metadata is aggregated."""
-    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-    return files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_bytes"))
-
-
-def directory_size(spark: SparkSession, path: str) -> DataFrame:
-    """Files and bytes of any kind below a directory; contents are not read."""
+def dataset_size(spark: SparkSession, path: str) -> DataFrame:
+    """Files and bytes of any kind below a directory, from its listing; no file is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
     return files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_bytes"))
