@@ -57,6 +57,12 @@ def zero_bytes(n: ColumnLike) -> Column:
     return F.unhex(F.repeat(F.lit("00"), col(n).cast("int") if isinstance(n, Column) else F.col(n).cast("int")))
 
 
+def moment(ts: ColumnLike = "ts", seq: ColumnLike = "seq") -> Column:
+    """(time, sequence) as one number of fixed width, so that a latest value is found by hashing and not by sorting."""
+    wide = "decimal(38,0)"
+    return (micros(ts).cast(wide) * F.lit(str(10 ** 19)).cast(wide)).cast(wide) + col(seq).cast("decimal(19,0)")
+
+
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add group-level columns to rows: an equi-join on ``by``; without ``by`` the single row becomes literals."""
     if by:

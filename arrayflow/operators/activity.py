@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayflow.functions.expr import MICROS, STAGES, attach, micros, ratio, seconds_between, stage_of
+from arrayflow.functions.expr import MICROS, STAGES, attach, micros, moment, ratio, seconds_between, stage_of
 from arrayflow.functions.ordered import keep_last, last_known, neighbour, running_sum, trailing_sum
 from arrayflow.session import pinned
 
@@ -67,7 +67,7 @@ def _worker_totals(history: DataFrame, extra: Sequence[Column]) -> DataFrame:
 
 def latest_gauges(gauges: DataFrame, metrics: Sequence[str] = GAUGES, by: Sequence[str] = ()) -> DataFrame:
     """Last value of every gauge per worker, one column per metric, in one aggregation."""
-    latest = F.struct("ts", "seq")
+    latest = moment()
     return gauges.groupBy(*by, "worker_id").agg(*[
         F.max_by("value", F.when(F.col("metric") == m, latest)).alias(m) for m in metrics])
 
@@ -284,8 +284,8 @@ def buffer_occupancy(buffer_events: DataFrame, total: int, window_seconds: float
 
 def buffer_state(buffer_events: DataFrame, total: int, by: Sequence[str] = ()) -> DataFrame:
     """Buffers in use and available now."""
-    last = buffer_events.groupBy(*by, "buffer_id").agg(F.max_by("kind", F.struct("ts", "seq")).alias("kind"))
-    used = F.count_if(F.col("kind") == "acquire")
+    last = buffer_events.groupBy(*by, "buffer_id").agg(F.max_by(F.col("kind") == "acquire", moment()).alias("held"))
+    used = F.count_if("held")
     return last.groupBy(*by).agg(used.alias("in_use"), (F.lit(total) - used).alias("available"), F.lit(total).cast("bigint").alias("total"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayflow.functions.expr import MICROS, STAGES, floor_div, micros, stage_of
+from arrayflow.functions.expr import MICROS, STAGES, floor_div, micros, moment, stage_of
 from arrayflow.functions.ordered import number, running_sum
 
 # The monitored metrics and the scaling bounds.
@@ -49,7 +49,7 @@ def latest_per_tick(gauges: DataFrame, seconds: int = 1) -> DataFrame:
     """The last value of every worker and metric within each tick."""
     tick = F.window("ts", f"{seconds} seconds")["start"].alias("tick")
     return gauges.groupBy("worker_id", "worker_name", "metric", tick).agg(
-        F.max_by("value", F.struct("ts", "seq")).alias("value"))
+        F.max_by("value", moment()).alias("value"))
 
 
 def stage_rates(gauges: DataFrame, seconds: int = 1) -> DataFrame:
