@@ -23,6 +23,8 @@ from arrayflow.llm.shingles import WordHashes, mix, runs_of
 
 #: Words of the short grams that groups are named by.
 GRAM = 10
+#: Tasks that the different stretches with one window are dealt to.
+DEALS = 32
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
@@ -160,8 +162,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         F.collect_list("no").alias("wanted"))
     sent = windows_of(rows.join(senders, ["id", "mark"]).select("text", "wanted"), window).dropDuplicates(["grp", "content", "place"])
     sent = pinned(sent.join(split.select("grp", "content", "low"), ["grp", "content"]), "windows")
-    owners = sent.groupBy("grp", "label").agg(F.min("low").alias("owner"))
-    by_window = sent.join(owners, ["grp", "label"]).groupBy("grp", "content").agg(
+    # A window that many different stretches share is dealt to several tasks, which exchange one row each.
+    sent = sent.withColumn("deal", F.pmod("content", F.lit(DEALS)))
+    dealt = sent.groupBy("grp", "label", "deal").agg(F.min("low").alias("low"))
+    owners = dealt.groupBy("grp", "label").agg(F.min("low").alias("owner"))
+    told = dealt.select("grp", "label", "deal").join(owners, ["grp", "label"])
+    by_window = sent.join(told, ["grp", "label", "deal"]).groupBy("grp", "content").agg(
         F.array_sort(F.collect_list(F.struct("place", "owner"))).alias("w"), F.min("owner").alias("first"))
     owned = repeated.where("kinds = 1").select("grp", "content", F.array("low").alias("owners"), F.col("low").alias("first")).union(
         by_window.select("grp", "content", F.col("w.owner").alias("owners"), "first"))
