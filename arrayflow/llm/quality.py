@@ -128,13 +128,12 @@ def pooled(vectors: np.ndarray, vocabulary: Vocabulary, texts: list[str]) -> np.
     at = np.cumsum(n) - n
     owner = np.repeat(np.arange(len(full)), n)
     hashes = vocabulary.hashes[tokens]
-    context = vectors[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
-    mean = np.add.reduceat(context, at, axis=0) / n[:, None]
+    mean, near = _context(vectors, (hashes % np.uint64(BUCKETS)).astype(np.int64), owner, len(full))
+    mean, near = mean / n[:, None], near / n
     places, signs = index_vectors(hashes)
     own = np.bincount((owner[:, None] * WIDTH + places).ravel(), signs.ravel(), len(full) * WIDTH).reshape(-1, WIDTH) / n[:, None]
     kinds = np.bincount(owner * SHAPES + vocabulary.shapes[tokens], minlength=len(full) * SHAPES).reshape(-1, SHAPES) / n[:, None]
     inside = owner[1:] == owner[:-1]
-    near = np.bincount(owner[1:][inside], (context[1:] * context[:-1]).sum(1)[inside], len(full)) / n
     equal = np.bincount(owner[1:][inside], (tokens[1:] == tokens[:-1])[inside], len(full)) / n
     two = owner[2:] == owner[:-2]
     again = np.bincount(owner[2:][two], (tokens[2:] == tokens[:-2])[two], len(full)) / n
@@ -145,6 +144,19 @@ def pooled(vectors: np.ndarray, vocabulary: Vocabulary, texts: list[str]) -> np.
     return out
 
 
+def _context(vectors: np.ndarray, buckets: np.ndarray, owner: np.ndarray, docs: int, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Per document the sum of its words' vectors, and of the products of neighbouring ones; a part of the tokens at a time."""
+    total, near = np.zeros((docs, WIDTH)), np.zeros(docs)
+    for low in range(0, len(buckets), step):
+        context, own = vectors[buckets[low:low + step + 1]], owner[low:low + step + 1]
+        same = own[1:] == own[:-1]
+        near += np.bincount(own[1:][same], (context[1:] * context[:-1]).sum(1)[same], docs)
+        context, own = context[:step], own[:step]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        total[own[first]] += np.add.reduceat(context, first, axis=0)
+    return total, near
+
+
 class Network(NamedTuple):
     """Input scaling, two layers, and the temperature its log-odds are divided by."""
     centre: np.ndarray
