@@ -74,42 +74,54 @@ class Weights(dict):
         return got
 
 
-def _scan(odds: np.ndarray, starts: np.ndarray, moves: np.ndarray, first: float) -> np.ndarray:
-    """Normalised forward vectors (clean, toxic) of tokens with toxic odds ``odds``; ``starts`` marks first tokens."""
+def _scan(odds: np.ndarray, starts: np.ndarray, moves: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray]:
+    """Forward probabilities (clean, toxic) of tokens with toxic odds ``odds``; ``starts`` marks first tokens."""
     n = len(odds)
     width = max(1, int(np.sqrt(n)))
     depth = -(-n // width)
     fill = width * depth - n
-    odds = np.concatenate([odds, np.ones(fill)]).reshape(width, depth).T
+    odds = np.ascontiguousarray(np.concatenate([odds, np.ones(fill)]).reshape(width, depth).T)
     fresh = np.concatenate([starts, np.ones(fill, bool)]).reshape(width, depth).T
-    stay = np.exp(moves)
-    begin = np.array([1.0, np.exp(first)])
-
-    def step(vector: np.ndarray, t: int) -> np.ndarray:
-        clean = np.where(fresh[t], begin[0], vector[..., 0] * stay[0, 0] + vector[..., 1] * stay[1, 0])
-        toxic = np.where(fresh[t], begin[1], vector[..., 0] * stay[0, 1] + vector[..., 1] * stay[1, 1]) * odds[t]
-        total = clean + toxic
-        return np.stack([clean / total, toxic / total], -1)
-
-    # Each column from either state with certainty. The maps are projective, so one weight restores how likely each is.
-    basis, weight = np.zeros((2, width, 2)), np.zeros((2, width))
-    basis[0, :, 0] = basis[1, :, 1] = 1.0
+    at, column = np.nonzero(fresh)
+    columns = np.split(column, np.searchsorted(at, np.arange(1, depth)))
+    (stay, enter), (leave, keep) = np.exp(moves)
+    begin = np.exp(first)
+
+    def step(clean: np.ndarray, toxic: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        next_clean, next_toxic = clean * stay + toxic * leave, clean * enter + toxic * keep
+        next_clean[..., columns[t]], next_toxic[..., columns[t]] = 1.0, begin
+        next_toxic *= odds[t]
+        total = next_clean + next_toxic
+        next_clean /= total
+        next_toxic /= total
+        return next_clean, next_toxic, total
+
+    # Each column from either state with certainty. Results are normalized, so a weight keeps how likely each start is.
+    clean = np.repeat([[1.0], [0.0]], width, axis=1)
+    toxic, weight, scale = 1.0 - clean, np.zeros((2, width)), np.ones((2, width))
     for t in range(depth):
-        clean = np.where(fresh[t], begin[0], basis[..., 0] * stay[0, 0] + basis[..., 1] * stay[1, 0])
-        toxic = np.where(fresh[t], begin[1], basis[..., 0] * stay[0, 1] + basis[..., 1] * stay[1, 1]) * odds[t]
-        total = clean + toxic
-        weight = np.where(fresh[t], 0.0, weight + np.log(total))
-        basis = np.stack([clean / total, toxic / total], -1)
-    entry = np.empty((width, 2))
-    entry[0] = 1.0, 0.0
+        clean, toxic, total = step(clean, toxic, t)
+        # What a column begins with does not matter behind a first token.
+        weight[:, columns[t]] = 0.0
+        total[:, columns[t]] = scale[:, columns[t]] = 1.0
+        scale *= total
+        if t % 8 == 7:
+            weight += np.log(scale)
+            scale[:] = 1.0
+    weight += np.log(scale)
+    entry = np.empty((2, width))
+    entry[:, 0] = 1.0, 0.0
+    share = np.exp(weight - weight.max(0))
     for c in range(width - 1):
-        share = entry[c] * np.exp(weight[:, c] - weight[:, c].max())
-        out = share[0] * basis[0, c] + share[1] * basis[1, c]
-        entry[c + 1] = out / out.sum()
-    result, vector = np.empty((depth, width, 2)), entry
+        part = entry[:, c] * share[:, c]
+        out = np.array([part @ clean[:, c], part @ toxic[:, c]])
+        entry[:, c + 1] = out / out.sum()
+    results = np.empty((2, depth, width))
+    clean, toxic = entry
     for t in range(depth):
-        vector = result[t] = step(vector, t)
-    return result.transpose(1, 0, 2).reshape(-1, 2)[:n]
+        clean, toxic, _ = step(clean, toxic, t)
+        results[0, t], results[1, t] = clean, toxic
+    return results[0].T.reshape(-1)[:n], results[1].T.reshape(-1)[:n]
 
 
 def marginals(field: Field, weights: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -120,9 +132,9 @@ def marginals(field: Field, weights: np.ndarray, lengths: np.ndarray) -> np.ndar
     ends[np.cumsum(lengths) - 1] = True
     forward = _scan(odds, starts, field.moves, field.first)
     # Backward: the same scan over reversed tokens and transitions; a token's own odds are divided out again.
-    backward = _scan(odds[::-1], ends[::-1], field.moves.T, 0.0)[::-1]
-    toxic = forward[:, 1] * backward[:, 1] / odds
-    return toxic / (toxic + forward[:, 0] * backward[:, 0])
+    backward = [x[::-1] for x in _scan(odds[::-1], ends[::-1], field.moves.T, 0.0)]
+    toxic = forward[1] * backward[1] / odds
+    return toxic / (toxic + forward[0] * backward[0])
 
 
 def summaries(field: Field, weights: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +158,11 @@ def _slopes(weights: np.ndarray, target: np.ndarray, lengths: np.ndarray, moves:
     starts[np.cumsum(lengths) - lengths] = True
     ends[np.cumsum(lengths) - 1] = True
     forward = _scan(odds, starts, moves, first)
-    backward = _scan(odds[::-1], ends[::-1], moves.T, 0.0)[::-1]
-    toxic = forward[:, 1] * backward[:, 1] / odds
-    toxic /= toxic + forward[:, 0] * backward[:, 0]
+    backward = [x[::-1] for x in _scan(odds[::-1], ends[::-1], moves.T, 0.0)]
+    toxic = forward[1] * backward[1] / odds
+    toxic /= toxic + forward[0] * backward[0]
     follows = np.flatnonzero(~starts)
-    pair = {(a, b): forward[follows - 1, a] * np.exp(moves[a, b]) * backward[follows, b] for a in (0, 1) for b in (0, 1)}
+    pair = {(a, b): forward[a][follows - 1] * np.exp(moves[a, b]) * backward[b][follows] for a in (0, 1) for b in (0, 1)}
     whole = sum(pair.values())
     seen = np.bincount(2 * target[follows - 1].astype(int) + target[follows].astype(int), minlength=4).reshape(2, 2)
     expected = np.array([[(pair[a, b] / whole).sum() for b in (0, 1)] for a in (0, 1)])
