@@ -77,13 +77,17 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
 
 
 def postings(classes: DataFrame, matches: int) -> DataFrame:
-    """``posting, id``: each class under its rarest coordinate-value pairs, as far as another class may meet it there."""
+    """``posting, id, own``: each class under its rarest coordinate-value pairs, as far as another class may meet it there.
+
+    ``own`` are all postings of the class.
+    """
     pairs = classes.select("id", F.posexplode("signature").alias("at", "value")).select(
         "id", (F.col("at").cast("bigint") * F.lit(1 << 32) + F.col("value")).alias("posting"))
     often = pairs.groupBy("posting").agg(F.count(F.lit(1)).alias("n"))
     ranked = pairs.join(often, "posting").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "posting"))).alias("own"))
     prefix = F.slice("own", 1, COORDINATES - matches + 1)
-    return ranked.select("id", F.explode(F.filter(prefix, lambda p: p["n"] > 1)).alias("p")).select("p.posting", "id")
+    own = F.transform(F.filter(prefix, lambda p: p["n"] > 1), lambda p: p["posting"])
+    return ranked.select("id", own.alias("own")).select(F.explode("own").alias("posting"), "id", "own")
 
 
 def near_groups(docs: DataFrame, similarity: float = 0.85, size: int = 5, id_col: str = "doc_id", text_col: str = "text",
@@ -141,7 +145,7 @@ def near_groups(docs: DataFrame, similarity: float = 0.85, size: int = 5, id_col
     named, turn, last = posted.withColumn("component", F.col("id")), 0, False
     while not last:
         last = turn >= rounds
-        members = named.select("posting", F.struct("id", "n", "common", "component").alias("m"))
+        members = named.select("posting", F.struct("id", "n", "common", "component", "own").alias("m"))
         # Lists whose members are all in one component are done; a hash picks another leader in each round.
         spans = members.groupBy("posting").agg(F.min("m.component").alias("low"), F.max("m.component").alias("high"),
                                                F.min(F.struct(F.xxhash64(F.lit(turn), "m.id").alias("h"), F.col("m"))).alias("lead"))
@@ -149,7 +153,9 @@ def near_groups(docs: DataFrame, similarity: float = 0.85, size: int = 5, id_col
         other = F.col("lead.component") != F.col("m.component")
         if last:
             left, right = mixed.select("posting", F.col("m").alias("lead")), mixed.select(F.col("posting").alias("same"), "m")
-            pairs = left.join(right, (F.col("posting") == F.col("same")) & other & (F.col("lead.id") < F.col("m.id")) & enough("lead", "m"))
+            # Of the lists that two classes share, one forms the pair.
+            once = F.array_min(F.array_intersect("lead.own", "m.own")) == F.col("posting")
+            pairs = left.join(right, (F.col("posting") == F.col("same")) & other & (F.col("lead.id") < F.col("m.id")) & enough("lead", "m") & once)
         else:
             pairs = mixed.where(other & enough("lead", "m"))
         new = pairs.select(F.least("lead.id", "m.id").alias("a"), F.greatest("lead.id", "m.id").alias("b"), F.col("m.id").alias("member"))
