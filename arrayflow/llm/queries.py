@@ -134,3 +134,25 @@ FROM w LEFT JOIN (SELECT doc_id, sum(gain) AS s FROM scored GROUP BY 1) USING (d
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lmscore.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
     return scored.withColumn("log_score", F.round("log_score", 4))
+
+
+@query(sql="""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(list_prepend(NULL, words[:-2])) AS before,
+  unnest(list_prepend(NULL, list_prepend(NULL, words[:-3]))[:len(words)]) AS earlier FROM w WHERE len(words) > 0),
+ones AS (SELECT word, count(*) AS c FROM each GROUP BY 1),
+twos AS (SELECT before, word, count(*) AS c FROM each WHERE before IS NOT NULL GROUP BY 1, 2),
+threes AS (SELECT earlier, before, word, count(*) AS c FROM each WHERE earlier IS NOT NULL GROUP BY 1, 2, 3),
+total AS (SELECT sum(c) AS n FROM ones),
+scored AS (SELECT each.doc_id, CASE WHEN r.c >= 2 THEN ln(r.c / u.c)
+    WHEN t.c >= 2 THEN ln((CASE WHEN each.earlier IS NULL THEN 1 ELSE 0.4::DOUBLE END) * t.c / v.c)
+    ELSE ln((CASE WHEN each.before IS NULL THEN 1 WHEN each.earlier IS NULL THEN 0.4::DOUBLE ELSE 0.4::DOUBLE * 0.4::DOUBLE END) * w1.c / n) END AS gain
+  FROM each CROSS JOIN total JOIN ones w1 ON w1.word = each.word LEFT JOIN ones v ON v.word = each.before
+  LEFT JOIN twos t ON t.before = each.before AND t.word = each.word
+  LEFT JOIN twos u ON u.before = each.earlier AND u.word = each.before
+  LEFT JOIN threes r ON r.earlier = each.earlier AND r.before = each.before AND r.word = each.word)
+SELECT doc_id, len(words)::BIGINT AS n_words, round(coalesce(s, 0), 4) AS log_score
+FROM w LEFT JOIN (SELECT doc_id, sum(gain) AS s FROM scored GROUP BY 1) USING (doc_id)""")
+def op3_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lmscore.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"), order=3)
+    return scored.withColumn("log_score", F.round("log_score", 4))

@@ -191,6 +191,26 @@ def test_lm_scores(corpus, empty):
     assert lmscore.score_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_lm_orders(corpus, order):
+    """Every word by its longest history that is frequent enough; hot n-grams are dealt to several salts."""
+    df, rows = corpus
+    texts = [WORD.findall(t or "") for _, t, *_ in rows]
+    counts = Counter(tuple(t[i:i + k]) for t in texts for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    total = sum(map(len, texts))
+
+    def score(t):
+        out = 0.0
+        for i in range(len(t)):
+            longest = min(i + 1, order)
+            k = next((k for k in range(longest, 1, -1) if counts[tuple(t[i + 1 - k:i + 1])] >= 2), 1)
+            before = counts[tuple(t[i + 1 - k:i])] if k > 1 else total
+            out += (longest - k) * np.log(0.4) + np.log(counts[tuple(t[i + 1 - k:i + 1])] / before)
+        return round(out, 6)
+    wanted = Counter((r[0], len(t), score(t) + 0.0) for r, t in zip(rows, texts, strict=True))
+    assert Counter((a, b, round(c, 6) + 0.0) for a, b, c in lmscore.score_documents(df, order=order).collect()) == wanted
+
+
 def ids_of(path, text):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
