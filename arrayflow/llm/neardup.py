@@ -51,19 +51,19 @@ def signature(own: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """``id, n_shingles, digest, signature`` of rows ``id, text``; an empty set has a null digest."""
+    """``id, check, n_shingles, digest, signature`` of rows ``id, check, text``; an empty set has a null digest."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             counts, digests, signatures = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 own = shingle_set(hashes, text, size)
                 counts.append(len(own))
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 signatures.append(signature(own) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
-                                              pa.array(signatures, pa.list_(pa.int32()))], ["id", "n_shingles", "digest", "signature"])
-    return docs.mapInArrow(work, "id bigint, n_shingles bigint, digest binary, signature array<int>")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
+                                              pa.array(signatures, pa.list_(pa.int32()))], ["id", "check", "n_shingles", "digest", "signature"])
+    return docs.mapInArrow(work, "id bigint, check bigint, n_shingles bigint, digest binary, signature array<int>")
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
@@ -90,30 +90,28 @@ def postings(classes: DataFrame, matches: int) -> DataFrame:
     return ranked.select("id", own.alias("own")).select(F.explode("own").alias("posting"), "id", "own")
 
 
-def near_groups(docs: DataFrame, similarity: float = 0.85, size: int = 5, id_col: str = "doc_id", text_col: str = "text",
-                rounds: int = ROUNDS) -> DataFrame:
-    """One row per input row: ``id_col, n_shingles, component_id, kept``.
-
-    Documents are linked where intersection / union of their sets of ``size``-word shingles is at least ``similarity`` (0.8 or
-    more, compared in whole hundredths). ``component_id`` is the smallest id that links lead to, the document's own included;
-    ``kept`` marks it. Null texts and texts without words have no shingles and no links. A null id is no document's
-    smallest: its row gets the group's id, and a null one where the group has no other. Repeated rows are each marked; an
-    empty table gives an empty result.
-    """
+def _grouped(docs: DataFrame, similarity: float, size: int, id_col: str, text_col: str, rounds: int) -> DataFrame:
+    """``id, check, n_shingles, component`` per input row; ``check`` is a hash of the text, so that both together name a text."""
     hundred = round(similarity * 100)
     if hundred < 80:
         raise ValueError("the match threshold is made for similarities from 0.8")
     spark = docs.sparkSession
     runs = 4 * parallelism(spark)
-    rows = docs.select(docs[id_col].cast("bigint").alias("id"), whole_text(docs, text_col).alias("text"))
-    sketches = pinned(sketch(rows, size).withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs))), "sketches")
-    levels = merge_runs(sketches.where("digest IS NOT NULL"), ["digest"], runs, FAN, {"rep": (F.min, "id")})
-    heads = levels[-1].select(F.col("rep").alias("id"), "digest")
-    classes = pinned(sketches.join(heads, ["id", "digest"], "left_semi").select("id", "n_shingles", "signature").dropDuplicates(["id"]), "classes")
+    text = whole_text(docs, text_col)
+    rows = docs.select(docs[id_col].cast("bigint").alias("id"), F.xxhash64(text).alias("check"), text.alias("text"))
+    # A class goes by the number of one of its rows: ids may be null, or repeat with different texts.
+    sketches = pinned(sketch(rows, size).withColumn("row", F.monotonically_increasing_id()).withColumn(
+        "run", F.pmod(F.xxhash64("row"), F.lit(runs))), "sketches")
+    levels = merge_runs(sketches.where("digest IS NOT NULL"), ["digest"], runs, FAN, {"rep": (F.min, "id"), "row": (F.min, "row")})
+    classes = pinned(sketches.join(levels[-1].select("row"), "row", "left_semi").select(
+        F.col("row").alias("id"), F.col("id").alias("doc"), "check", "n_shingles", "signature"), "classes")
     needed = matches_needed(similarity)
     met = pinned(postings(classes, needed), "postings")
     # Only classes that share a posting can be linked; their texts are read once more for full sets.
-    sets = pinned(sets_of(rows.join(met.select("id").distinct(), "id", "left_semi"), size).dropDuplicates(["id"]), "sets")
+    texts = classes.join(met.select("id").distinct(), "id", "left_semi").select(
+        F.col("id").alias("class"), F.col("doc").alias("_id"), F.col("check").alias("_check"))
+    chosen = rows.join(texts, F.expr("id <=> _id AND check = _check")).select(F.col("class").alias("id"), "text")
+    sets = pinned(sets_of(chosen, size).dropDuplicates(["id"]), "sets")
     lonely = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
     facts = pinned(sets.select("id", F.size("shingles").alias("n")).join(lonely, "id", "left").select(
@@ -171,22 +169,41 @@ def near_groups(docs: DataFrame, similarity: float = 0.85, size: int = 5, id_col
         turn = rounds if confirmed_now.isEmpty() else turn + 1
         labels = pinned(connected(links), "labels")
         named = posted.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    answers = levels[-1].join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "run", "digest", F.coalesce("component", "rep").alias("component"))
+    # Of a component's classes, the smallest id that is not null.
+    linked = levels[-1].join(labels.withColumnRenamed("id", "row"), "row").select("row", "rep", "component")
+    names = linked.groupBy("component").agg(F.min("rep").alias("name"))
+    named_rows = linked.join(names, "component").select("row", "name", F.lit(True).alias("linked"))
+    answers = levels[-1].join(named_rows, "row", "left").select(
+        "run", "digest", F.when(F.col("linked"), F.col("name")).otherwise(F.col("rep")).alias("component"))
     told = answer_runs(levels, answers, ["digest"], FAN, ["component"])
-    own = sketches.where("digest IS NOT NULL").join(told, ["run", "digest"]).select("id", "n_shingles", "component")
-    alone = sketches.where("digest IS NULL").select("id", "n_shingles", F.col("id").alias("component"))
-    return own.union(alone).select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"),
-                                   F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    own = sketches.where("digest IS NOT NULL").join(told, ["run", "digest"]).select("id", "check", "n_shingles", "component")
+    alone = sketches.where("digest IS NULL").select("id", "check", "n_shingles", F.col("id").alias("component"))
+    return own.union(alone)
+
+
+def near_groups(docs: DataFrame, similarity: float = 0.85, size: int = 5, id_col: str = "doc_id", text_col: str = "text",
+                rounds: int = ROUNDS) -> DataFrame:
+    """One row per input row: ``id_col, n_shingles, component_id, kept``.
+
+    Documents are linked where intersection / union of their sets of ``size``-word shingles is at least ``similarity`` (0.8 or
+    more, compared in whole hundredths). ``component_id`` is the smallest id that links lead to, the document's own included;
+    ``kept`` marks it. Null texts and texts without words have no shingles and no links. A null id is no document's
+    smallest: its row gets the group's id, and a null one where the group has no other. Repeated rows are each marked; an
+    empty table gives an empty result.
+    """
+    return _grouped(docs, similarity, size, id_col, text_col, rounds).select(
+        F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
-def drop_near(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+def drop_near(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
+              rounds: int = ROUNDS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of every group the smallest id.
 
-    Rows that share the kept id stay all; they are copies for an exact dedup to drop. Rows with a null id go only if their
-    group has an id.
+    Rows of a group that share its smallest id stay all, and so do rows with a null id whose group has no id. Where an id
+    repeats with different texts, each text stays or goes with its own group.
     """
-    groups = near_groups(docs, similarity, id_col=id_col, text_col=text_col, **options)
-    gone = groups.where("NOT kept").select(F.col(id_col).alias("_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), docs[id_col].cast("bigint").alias("id"))
-    return rows.join(gone, F.expr("id <=> _id"), "left_anti").select("row.*")
+    groups = _grouped(docs, similarity, size, id_col, text_col, rounds)
+    gone = groups.where("NOT id <=> component").select(F.col("id").alias("_id"), F.col("check").alias("_check")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), docs[id_col].cast("bigint").alias("id"), F.xxhash64(whole_text(docs, text_col)).alias("check"))
+    return rows.join(gone, F.expr("id <=> _id AND check = _check"), "left_anti").select("row.*")

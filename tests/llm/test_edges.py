@@ -131,6 +131,21 @@ def test_near_chain(spark):
     assert Counter(tuple(r)[:3] for r in got) == brute_near(rows, 85)
 
 
+def test_near_ids(spark):
+    """Null ids link like others; an id that repeats with different texts leaves each text with its own group."""
+    rng = random.Random(12)
+    text = lambda n=100: [f"v{rng.randrange(10 ** 6)}" for _ in range(n)]
+    near = lambda words, at: [*words[:at], "changed", *words[at + 1:]]
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (None, near(a, 50)), (None, b), (None, near(b, 20)), (7, near(b, 70)),
+            (3, c), (5, near(c, 30)), (5, d), (9, near(d, 60)), (5, text()), (None, text())]
+    rows = [(key, " ".join(words)) for key, words in rows]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(tuple(r)[:3] for r in neardup.near_groups(df, 0.8).collect()) == brute_near(rows, 80)
+    stay = [rows[i] for i in (0, 4, 5, 7, 9, 10)]
+    assert Counter(tuple(r) for r in neardup.drop_near(df, 0.8).collect()) == Counter(stay)
+
+
 def brute_repeats(rows, window):
     first, words = {}, [WORD.findall(t or "") for _, t, *_ in rows]
     for (key, *_), own in zip(rows, words, strict=True):
