@@ -1,6 +1,7 @@
 """Every operator and stage on nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -131,6 +132,13 @@ def test_near_chain(spark):
     assert Counter(tuple(r)[:3] for r in got) == brute_near(rows, 85)
 
 
+@pytest.mark.parametrize("hundred", [80, 85])
+def test_near_misses(hundred):
+    """A pair exactly at the similarity misses the match threshold with a probability of at most 4e-9."""
+    n, p = neardup.COORDINATES, hundred / 100
+    assert sum(math.comb(n, i) * p**i * (1 - p)**(n - i) for i in range(neardup.matches_needed(p))) <= 4e-9
+
+
 def test_near_ids(spark):
     """Null ids link like others; an id that repeats with different texts leaves each text with its own group."""
     rng = random.Random(12)
