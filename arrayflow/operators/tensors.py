@@ -241,9 +241,21 @@ def compress_tensors(tensors: DataFrame, level: int = ZSTD_LEVEL) -> DataFrame:
     return packed.withColumn("compressed_size", F.octet_length("payload"))
 
 
+def _whole_frames(payload: bytes) -> bytes:
+    """What all zstd frames of a payload hold; a cut one is an error."""
+    parts, rest = [], payload
+    while rest or not parts:
+        frame = zstandard.ZstdDecompressor().decompressobj()
+        parts.append(frame.decompress(rest))
+        if not frame.eof:
+            raise ValueError("a zstd frame is cut short")
+        rest = frame.unused_data
+    return b"".join(parts)
+
+
 def decompress_tensors(tensors: DataFrame) -> DataFrame:
-    """Inverse of :func:`compress_tensors`; a payload that is not zstd fails the job."""
-    plain = _map_payload(tensors, lambda p: zstandard.ZstdDecompressor().decompressobj().decompress(p), "payload", "binary", pa.binary())
+    """Inverse of :func:`compress_tensors`; a payload that is not zstd, or is cut short, fails the job."""
+    plain = _map_payload(tensors, _whole_frames, "payload", "binary", pa.binary())
     return plain.drop("original_size", "compressed_size")
 
 

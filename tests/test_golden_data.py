@@ -343,3 +343,16 @@ def test_recovery_timeline(frame, rows):
     log = frame([(1.0, 1, "Process 7 unresponsive", None), (2.0, 2, "Process 7 restarted", None), (3.0, 3, "Restored state", 4), (4.0, 4, "Checkpoint saved", 4), (5.0, 5, "hello", 4)],
                 "ts timestamp, seq bigint, message string, worker_id bigint", ["ts"])
     assert rows(R.recovery_events(log), "seq", "event", "worker_id") == [(1, "failure", 7), (2, "restart", 7), (3, "restore", 4), (4, "checkpoint", 4)]
+
+
+def test_zstd_frames():
+    """All frames of a payload count, and a cut frame fails."""
+    import pytest
+    import zstandard
+
+    from arrayflow.operators.tensors import _whole_frames
+    one, two = (zstandard.ZstdCompressor().compress(p) for p in (b"a" * 5000, b""))
+    assert _whole_frames(one + two + one) == b"a" * 10000 and _whole_frames(two) == b""
+    for cut in (one[:-1], one + one[:5], b""):
+        with pytest.raises(ValueError):
+            _whole_frames(cut)
