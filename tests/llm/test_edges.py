@@ -216,7 +216,7 @@ def test_lm_scores(corpus, empty):
 
 @pytest.mark.parametrize("order", [1, 3, 4])
 def test_lm_orders(corpus, order):
-    """Every word by its longest history that is frequent enough; hot n-grams are dealt to several salts."""
+    """Every word by its longest history that is frequent enough."""
     df, rows = corpus
     texts = [WORD.findall(t or "") for _, t, *_ in rows]
     counts = Counter(tuple(t[i:i + k]) for t in texts for k in range(1, order + 1) for i in range(len(t) - k + 1))
