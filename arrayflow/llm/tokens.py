@@ -2,7 +2,8 @@
 
 The pre-tokenizers of the supported files join no character to ASCII white space that follows it, and no letter to the
 plain punctuation that follows it. A text may therefore be cut at these places, and the ids of the pieces are the ids of
-the text.
+the text. A text that holds an added token's string, such as ``<|endoftext|>``, is encoded as a whole, so that the string
+becomes that token's id as the library's default has it.
 """
 
 from __future__ import annotations
@@ -28,14 +29,20 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        if any(token.normalized for token in added):
+            raise ValueError(f"{path}: added tokens that are looked for in the normalized text are not supported")
+        self._added = [token.content for token in added]
         self._cached, self._known = cached, {}
 
     def _plain(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _whole(self, text: str) -> bool:
+        return _OTHER_SPACE.search(text) is not None or any(token in text for token in self._added)
+
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
-        pieces = [None if _OTHER_SPACE.search(t) else _PIECES.findall(t) for t in texts]
+        pieces = [None if self._whole(t) else _PIECES.findall(t) for t in texts]
         known = self._known
         new = set().union(*(p for p in pieces if p)).difference(known)
         short = [p for p in new if len(p) <= _LONGEST_CACHED]

@@ -198,9 +198,9 @@ def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 15, step: flo
     speed = np.full(BUCKETS, 1e-8)
     del docs_of, feature, toxic_doc, owner
     ends = np.cumsum(lengths)
-    # Whole documents in chunks of bounded size; the gradients of all chunks make one step.
+    # Whole documents in chunks of bounded size (none without documents); the gradients of all chunks make one step.
     cuts = np.flatnonzero(np.diff(ends // CHUNK, append=-1)) + 1
-    chunks = [(int(ends[a - 1]) if a else 0, int(ends[b - 1]), lengths[a:b]) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+    chunks = [(int(ends[a - 1]) if a else 0, int(ends[b - 1]), lengths[a:b]) for a, b in zip([0, *cuts[:-1]], cuts, strict=False)]
     some = max(int(target.sum()), 1)
     for _ in range(rounds if target.any() else 0):
         gain, push, turn, begin = -0.01 * weights, 0.0, np.zeros((2, 2)), []

@@ -30,7 +30,7 @@ def make_texts(seed=1):
     near = [" ".join(w if i != k else "changed" for i, w in enumerate(base.split())) for k in (10, 60)]
     texts = [prose(rng.randint(1, 90)) for _ in range(14)]
     texts += [base, base, base.upper(), *near, f"{prose(30)} {shared} {prose(20)}", f"{prose(5)}\n{shared}\t{prose(40)}", shared]
-    texts += [None, "", " \n\t ", "one", "One", "a b c", "a b c", "word " * 130, "x" * 5000, prose(4000), "é ü 漢字 \xa0 🙂 it's  fine.", "a\x1cb\x0bc", "tie tie tie tie tie tie"]
+    texts += [None, "", " \n\t ", "one", "One", "a b c", "a b c", "word " * 130, "x" * 5000, prose(4000), "é ü 漢字 \xa0 🙂 it's  fine.", "a\x1cb\x0bc", "tie tie tie tie tie tie", "a <|endoftext|> b<|startoftext|>c <|ENDOFTEXT|>"]
     return texts
 
 
@@ -236,7 +236,6 @@ def test_lm_orders(corpus, order):
 
 def ids_of(path, text):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -455,45 +454,57 @@ def test_quality_learns(spark):
     assert sum((r["score"] >= 0.7) == bool(truth[r["doc_id"]][1]) for r in held) >= 95
 
 
-def test_classifiers_on_odd_rows(corpus, empty, labels):
+def test_toxicity_on_odd_rows(corpus, empty, labels):
     df, rows = corpus
-    no_labels = labels.limit(0)
-    for known in (labels, no_labels):
+    for known in (labels, labels.limit(0)):
         field = toxicity.fit_field(df, known)
-        for got in (toxicity.score(df, field), quality.score(df, known)):
-            found = got.collect()
-            assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in rows)
-            assert all(0 <= r["score"] <= 1 for r in found)
+        found = toxicity.score(df, field).collect()
+        assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in rows)
+        assert all(0 <= r["score"] <= 1 for r in found)
         assert toxicity.drop_toxic(df, field, 0.5).columns == df.columns
-    assert toxicity.score(empty, field).count() == 0 and quality.score(empty, labels).count() == 0
+    assert toxicity.score(empty, field).count() == 0
     assert toxicity.drop_toxic(empty, toxicity.fit_field(empty, labels), 0.3).count() == 0
 
 
+def test_toxicity_without_documents():
+    assert 0 <= 1 / (1 + np.exp(-toxicity.fit([], []).scale[0])) < 0.1
+    assert toxicity.fit(["", ""], [0, 0]).scale[0] < 0
+
+
+def test_quality_on_odd_rows(corpus, empty, labels):
+    df, rows = corpus
+    for known in (labels, labels.limit(0)):
+        found = quality.score(df, known).collect()
+        assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in rows)
+        assert all(0 <= r["score"] <= 1 for r in found)
+    assert quality.score(empty, labels).count() == 0
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_encoder(path):
     from arrayflow.llm.tokens import Encoder
     rng = random.Random(7)
-    pieces = ["abc", "Äö", "it's", ".", ",", "!?", " ", "  ", "\n", "\t\r", "\xa0", " ", "\x1c", "12", "x1", "漢字", "🙂", "é", "́", "<|endoftext|>", "$", "-", "|"]
+    pieces = ["abc", "Äö", "it's", ".", ",", "!?", " ", "  ", "\n", "\t\r", "\xa0", " ", "\x1c", "12", "x1", "漢字", "🙂", "é", "́", "<|endoftext|>", "<|startoftext|>", "<|", "$", "-", "|"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(3000)] + ["y" * 200 + " z"]
     encode = Encoder(path, cached=500)
     got = [b for i in range(0, len(texts), 100) for b in encode(texts[i:i + 100])]
     assert got == [ids_of(path, "")[:-1].tobytes() if not t else b for t, b in zip(texts, got, strict=True)]
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     assert got == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_stages_keep_columns(spark, corpus, tmp_path):
-    """Each stage alone on odd rows: all columns stay, and an empty table stays empty."""
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stage_keeps_columns(spark, corpus, tmp_path, name):
+    """A stage alone on odd rows: all columns stay, and an empty table stays empty."""
     df, rows = corpus
     spark.createDataFrame([(r[0], 0, 0) for r in rows], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, df, str(tmp_path))
-        if name == "pack":
-            assert_gapless(out.collect(), 2048)
-        else:
-            assert out.columns == df.columns and out.count() > 0
-        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, df, str(tmp_path))
+    if name == "pack":
+        assert_gapless(out.collect(), 2048)
+    else:
+        assert out.columns == df.columns and out.count() > 0
+    assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
 
 
 def test_pipeline(spark):
