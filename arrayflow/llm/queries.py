@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrayflow.llm import (
-    common, exact, fingerprints, lmscore, mixing, neardup, packing, quality, substrings, tokenfiles, toxicity)
+    common, exact, fingerprints, lmscore, manifest, mixing, neardup, packing, quality, substrings, tokenfiles, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,3 +157,57 @@ FROM w LEFT JOIN (SELECT doc_id, sum(gain) AS s FROM scored GROUP BY 1) USING (d
 def op3_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lmscore.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"), order=3)
     return scored.withColumn("log_score", F.round("log_score", 4))
+
+
+#: Unsigned crc32 of a text of ASCII digits, bit by bit: DuckDB has no such function.
+CRC32_SQL = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)))"""
+
+
+def manifest_sql(levels: int = 6, source_levels: int = 4) -> str:
+    """The contract of op12 for sources of up to 16 ** ``levels`` rows and up to 16 ** ``source_levels`` sources."""
+    def leaf(text: str) -> str:
+        parts = [f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)]
+        return f"sha256({' || '.join(parts)})"
+
+    def tree(name: str, count: int) -> str:
+        """Levels of nodes (t, i, d, n), a tree's last node staying as it is."""
+        step = """{0}{2} AS (SELECT t, i // 16 AS i, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE min(d) END AS d, (n + 15) // 16 AS n
+  FROM {0}{1} GROUP BY t, i // 16, n)"""
+        return ",\n".join(step.format(name, k, k + 1) for k in range(count))
+
+    def climb(name: str, count: int, start: str) -> str:
+        """Up from the leaves: the digests beside the own one, and the folded digest."""
+        step = """{0}c{2} AS (SELECT c.doc_id, c.t, c.i // 16 AS i, c.proof || coalesce(o.l, '') || coalesce(o.r, '') AS proof,
+  CASE WHEN o.n > 1 THEN sha256(coalesce(o.l, '') || c.f || coalesce(o.r, '')) ELSE c.f END AS f
+  FROM {0}c{1} c JOIN {0}o{1} o ON c.t = o.t AND c.i = o.i)"""
+        beside = """{0}o{1} AS (SELECT t, i, n, string_agg(d, '') OVER (PARTITION BY t, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
+  string_agg(d, '') OVER (PARTITION BY t, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM {0}{1})"""
+        return f"{name}c0 AS ({start}),\n" + ",\n".join(f"{beside.format(name, k)},\n{step.format(name, k, k + 1)}" for k in range(count))
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = CRC32_SQL.format("doc_id::VARCHAR")
+    return f"""
+WITH RECURSIVE leaves AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, {leaf('text')} AS d,
+    CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS altered FROM documents),
+a0 AS (SELECT t, i, d, n FROM leaves),
+{tree('a', levels)},
+b0 AS (SELECT 0 AS t, t AS i, d, (SELECT count(*) FROM a{levels}) AS n FROM a{levels}),
+{tree('b', source_levels)},
+{climb('a', levels, "SELECT doc_id, t, i, '' AS proof, altered AS f FROM leaves")},
+{climb('b', source_levels, f"SELECT doc_id, 0 AS t, t AS i, proof, f FROM ac{levels}")}
+SELECT doc_id, leaves.d AS leaf, a{levels}.d AS subroot, b{source_levels}.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = b{source_levels}.d AS verified
+FROM bc{source_levels} JOIN leaves USING (doc_id) JOIN a{levels} ON a{levels}.t = leaves.t CROSS JOIN b{source_levels}"""
+
+
+@query(sql=manifest_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", *manifest.FIELDS)
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    chosen = F.expr("crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0")
+    proved = manifest.proofs(docs, altered={"text": F.when(chosen, lowered).otherwise(F.col("text"))})
+    root = manifest.folded(F.col("altered_leaf"), F.col("path"))
+    return proved.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+                         root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
