@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrayflow.llm import (
-    common, exact, fingerprints, lmscore, manifest, mixing, neardup, packing, quality, substrings, tokenfiles, toxicity)
+    common, exact, fingerprints, licenses, lmscore, manifest, mixing, neardup, packing, quality, substrings, tokenfiles, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,3 +211,31 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = manifest.folded(F.col("altered_leaf"), F.col("path"))
     return proved.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"),
                          root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def licenses_sql() -> str:
+    given = [(label, text, "true") for label, text in licenses.PHRASES.items()] + [(label, text, "false") for label, text in licenses.TEMPLATES]
+    values = ", ".join(f"({i}, '{label}', '{text}', {base})" for i, (label, text, base) in enumerate(given))
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+t AS (SELECT template, label, base, string_split(phrase, ' ') AS words FROM (VALUES {values}) AS v(template, label, phrase, base)),
+known AS (SELECT template, label, base, len(words) - 1 AS n, i - 1 AS place, words[i] || ' ' || words[i + 1] AS run
+  FROM (SELECT *, unnest(generate_series(1, len(words) - 1)) AS i FROM t)),
+runs AS (SELECT doc_id, i - 1 AS pos, words[i] || ' ' || words[i + 1] AS run FROM (SELECT *, unnest(generate_series(1, len(words) - 1)) AS i FROM w)),
+votes AS (SELECT doc_id, template, label, base, n, pos - place AS diagonal, list(place) AS places, min(pos) AS first FROM runs JOIN known USING (run) GROUP BY ALL),
+merged AS (SELECT a.doc_id, a.template, a.label, a.base, a.n, a.diagonal, min(b.first) AS first, len(list_distinct(flatten(list(b.places)))) AS held
+  FROM votes a JOIN votes b ON a.doc_id = b.doc_id AND a.template = b.template
+    AND b.diagonal BETWEEN a.diagonal AND a.diagonal + CASE WHEN a.base THEN 0 ELSE {licenses.SLACK} END GROUP BY ALL),
+hits AS (SELECT * FROM merged WHERE CASE WHEN base THEN held = n ELSE held >= n * {licenses.LEAST_SHARE} END)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM w LEFT JOIN (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+    max(held::DOUBLE / n) AS score FROM hits GROUP BY 1) USING (doc_id)"""
+
+
+@query(sql=licenses_sql())
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")}).drop("spans")
