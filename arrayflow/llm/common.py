@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,6 +37,13 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pinned_with(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
+    """As :func:`pinned`, with aggregates over the rows that the write itself observes."""
+    seen = Observation()
+    out = pinned(df.observe(seen, *[c.alias(n) for n, c in facts.items()]), name)
+    return out, seen.get
+
+
 def whole_text(df: DataFrame, text: str) -> Column:
     """The text, a null one as empty."""
     return F.coalesce(df[text].cast("string"), F.lit(""))

@@ -21,15 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayflow.llm.common import parallelism, pinned, whole_text
+from arrayflow.llm.common import parallelism, pinned, pinned_with, whole_text
 from arrayflow.llm.components import connected
-from arrayflow.llm.exact import answer_runs, merge_runs
 from arrayflow.llm.shingles import WordHashes, mix, runs_of
 
 #: Coordinates of a signature. A pair at the wanted similarity misses the match threshold, which lies MARGIN standard
 #: deviations below the expected matches, with a probability of 1.5e-9 at 0.85 and 9e-10 at 0.8.
 COORDINATES, MARGIN = 64, 6.5
-ROUNDS, FAN = 3, 8
+ROUNDS = 3
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -102,8 +101,11 @@ def _grouped(docs: DataFrame, similarity: float, size: int, id_col: str, text_co
     # A class goes by the number of one of its rows: ids may be null, or repeat with different texts.
     sketches = pinned(sketch(rows, size).withColumn("row", F.monotonically_increasing_id()).withColumn(
         "run", F.pmod(F.xxhash64("row"), F.lit(runs))), "sketches")
-    levels = merge_runs(sketches.where("digest IS NOT NULL"), ["digest"], runs, FAN, {"rep": (F.min, "id"), "row": (F.min, "row")})
-    classes = pinned(sketches.join(levels[-1].select("row"), "row", "left_semi").select(
+    # Rows of a set go by their run first, so that a set which a third of all rows have is one row per run.
+    held = sketches.where("digest IS NOT NULL")
+    dealt = pinned(held.groupBy("run", "digest").agg(F.min("id").alias("rep"), F.min("row").alias("row")), "dealt")
+    heads = pinned(dealt.groupBy("digest").agg(F.min("rep").alias("rep"), F.min("row").alias("row")), "heads")
+    classes = pinned(held.join(heads.select("row"), "row", "left_semi").select(
         F.col("row").alias("id"), F.col("id").alias("doc"), "check", "n_shingles", "signature"), "classes")
     needed = matches_needed(similarity)
     met = pinned(postings(classes, needed), "postings")
@@ -125,24 +127,27 @@ def _grouped(docs: DataFrame, similarity: float, size: int, id_col: str, text_co
         return least * (100 + hundred) >= both * hundred
 
     def matched(pairs: DataFrame) -> DataFrame:
-        """Pairs ``a, b, member`` whose signatures have enough matches, with ``matches``."""
+        """The pairs whose signatures have enough matches, with ``matches``."""
         left, right = (signatures.select(F.col("id").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
         same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "member", same.alias("matches")).where(F.col("matches") >= needed)
+        return pairs.join(left, "a").join(right, "b").select(*pairs.columns, same.alias("matches")).where(F.col("matches") >= needed)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs that are linked: intersection and union of full sets."""
+        """Links ``a, b`` between the components of the pairs that are linked by intersection and union of full sets."""
         own = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         both = own.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
         common = F.size(F.array_intersect("x", "y"))
-        return both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y") - common).alias("all")).where(
-            F.col("n") * 100 >= F.col("all") * hundred).select("a", "b")
+        return both.select("ca", "cb", common.alias("n"), (F.size("x") + F.size("y") - common).alias("all")).where(
+            F.col("n") * 100 >= F.col("all") * hundred).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    tried = links
-    named, turn, last = posted.withColumn("component", F.col("id")), 0, False
+    labels: DataFrame | None = None
+    turn, last = 0, False
     while not last:
         last = turn >= rounds
+        if labels is None:
+            named = posted.withColumn("component", F.col("id"))
+        else:
+            named = posted.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         members = named.select("posting", F.struct("id", "n", "common", "component", "own").alias("m"))
         # Lists whose members are all in one component are done; a hash picks another leader in each round.
         spans = members.groupBy("posting").agg(F.min("m.component").alias("low"), F.max("m.component").alias("high"),
@@ -156,27 +161,32 @@ def _grouped(docs: DataFrame, similarity: float, size: int, id_col: str, text_co
             pairs = left.join(right, (F.col("posting") == F.col("same")) & other & (F.col("lead.id") < F.col("m.id")) & enough("lead", "m") & once)
         else:
             pairs = mixed.where(other & enough("lead", "m"))
-        new = pairs.select(F.least("lead.id", "m.id").alias("a"), F.greatest("lead.id", "m.id").alias("b"), F.col("m.id").alias("member"))
-        found = matched(new.distinct().join(tried, ["a", "b"], "left_anti"))
+        found = matched(pairs.select(F.col("lead.id").alias("a"), F.col("m.id").alias("b"), F.col("lead.component").alias("ca"),
+                                     F.col("m.component").alias("cb")).distinct())
         if not last:
             # One leader per class and round: the one with the most matches.
-            found = found.groupBy("member").agg(F.max(F.struct("matches", "a", "b")).alias("top")).select("top.a", "top.b").distinct()
-        found = pinned(found.select("a", "b"), "pairs")
-        tried = tried.union(found)
-        confirmed_now = pinned(confirmed(found), "confirmed")
-        links = links.union(confirmed_now)
+            found = found.groupBy("b").agg(F.max(F.struct("matches", "a", "ca", "cb")).alias("top")).select("top.a", "b", "top.ca", "top.cb")
+        links, seen = pinned_with(confirmed(found), "confirmed", n=F.count(F.lit(1)))
         # Leaders that link nothing more are not worth another round.
-        turn = rounds if confirmed_now.isEmpty() else turn + 1
-        labels = pinned(connected(links), "labels")
-        named = posted.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    # Of a component's classes, the smallest id that is not null.
-    linked = levels[-1].join(labels.withColumnRenamed("id", "row"), "row").select("row", "rep", "component")
-    names = linked.groupBy("component").agg(F.min("rep").alias("name"))
-    named_rows = linked.join(names, "component").select("row", "name", F.lit(True).alias("linked"))
-    answers = levels[-1].join(named_rows, "row", "left").select(
-        "run", "digest", F.when(F.col("linked"), F.col("name")).otherwise(F.col("rep")).alias("component"))
-    told = answer_runs(levels, answers, ["digest"], FAN, ["component"])
-    own = sketches.where("digest IS NOT NULL").join(told, ["run", "digest"]).select("id", "check", "n_shingles", "component")
+        turn = turn + 1 if seen["n"] else rounds
+        if seen["n"]:
+            # Only the new links are contracted, over the components they join.
+            joined = connected(links)
+            if labels is not None:
+                moved = joined.select(F.col("id").alias("component"), F.col("component").alias("to"))
+                old = labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+                joined = old.union(joined.join(labels, "id", "left_anti").select("id", "component"))
+            labels = pinned(joined, "labels")
+    if labels is None:
+        answers = heads.select("digest", F.col("rep").alias("component"))
+    else:
+        # Of a component's classes, the smallest id that is not null.
+        linked = heads.join(labels.withColumnRenamed("id", "row"), "row").select("digest", "rep", "component")
+        names = linked.groupBy("component").agg(F.min("rep").alias("name"))
+        told = linked.join(names, "component").select("digest", "name", F.lit(True).alias("linked"))
+        answers = heads.join(told, "digest", "left").select("digest", F.when(F.col("linked"), F.col("name")).otherwise(F.col("rep")).alias("component"))
+    down = dealt.select("run", "digest").join(answers, "digest")
+    own = held.join(down, ["run", "digest"]).select("id", "check", "n_shingles", "component")
     alone = sketches.where("digest IS NULL").select("id", "check", "n_shingles", F.col("id").alias("component"))
     return own.union(alone)
 
