@@ -149,9 +149,11 @@ def _grouped(docs: DataFrame, similarity: float, size: int, id_col: str, text_co
         else:
             named = posted.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         members = named.select("posting", F.struct("id", "n", "common", "component", "own").alias("m"))
-        # Lists whose members are all in one component are done; a hash picks another leader in each round.
-        spans = members.groupBy("posting").agg(F.min("m.component").alias("low"), F.max("m.component").alias("high"),
-                                               F.min(F.struct(F.xxhash64(F.lit(turn), "m.id").alias("h"), F.col("m"))).alias("lead"))
+        # Lists whose members are all in one component are done. The first leader is the member with the smallest share of
+        # shingles of its own, which is the nearest to most others; a hash picks another one in each further round.
+        central = F.col("m.common") / F.col("m.n") if turn == 0 else F.lit(0.0)
+        lead = F.struct((-central).alias("own"), F.xxhash64(F.lit(turn), "m.id").alias("h"), F.col("m"))
+        spans = members.groupBy("posting").agg(F.min("m.component").alias("low"), F.max("m.component").alias("high"), F.min(lead).alias("lead"))
         mixed = members.join(spans.where("low < high").select("posting", F.col("lead.m").alias("lead")), "posting")
         other = F.col("lead.component") != F.col("m.component")
         if last:
