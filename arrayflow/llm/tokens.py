@@ -25,7 +25,7 @@ _LONGEST_CACHED = 64
 class Encoder:
     """Encodes batches of texts; each result is the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cached: int = 1_000_000):
+    def __init__(self, path: str, cached: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)

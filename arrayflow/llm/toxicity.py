@@ -54,7 +54,7 @@ class Features(dict):
     """Buckets of tokens, remembered; starts again when it is full."""
 
     def __missing__(self, word: str) -> list[int]:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         got = self[word] = features(word)
         return got
@@ -68,7 +68,7 @@ class Weights(dict):
         self._field = field
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         got = self[word] = float(self._field.words[features(word)].sum() + self._field.bias)
         return got
