@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arrayflow.functions.expr import MICROS, STAGES, attach, micros, moment, ratio, seconds_between, stage_of
 from arrayflow.functions.ordered import keep_last, last_known, neighbour, running_sum, trailing_sum
-from arrayflow.session import pinned
 
 # Gauge names and other output field names below, thresholds of the reports.
 GAUGES = ("buffer_usage", "queue_size", "throughput", "compression_ratio", "write_speed")
@@ -158,16 +157,16 @@ def task_lifecycle(task_events: DataFrame) -> DataFrame:
 
 # Roll-ups over process statistics ------------------------------------------------------------------------------------
 
+def _rollup() -> list[Column]:
+    active, zero = F.count_if(F.col("current_status") == "active"), F.lit(0.0)
+    return [F.count(F.lit(1)).alias("total_processes"), active.alias("active_processes"), (F.count(F.lit(1)) - active).alias("idle_processes"),
+            *[F.coalesce(F.sum(f"current_{g}"), zero).alias(f"total_{g}") for g in ("buffer_usage", "queue_size", "throughput")],
+            F.coalesce(F.avg("current_compression_ratio"), zero).alias("avg_compression_ratio")]
+
+
 def pipeline_rollup(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Worker counts, summed gauges and the mean ratio over all workers."""
-    active = F.count_if(F.col("current_status") == "active")
-    zero = F.lit(0.0)
-    return stats.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total_processes"),
-        active.alias("active_processes"),
-        (F.count(F.lit(1)) - active).alias("idle_processes"),
-        *[F.coalesce(F.sum(f"current_{g}"), zero).alias(f"total_{g}") for g in ("buffer_usage", "queue_size", "throughput")],
-        F.coalesce(F.avg("current_compression_ratio"), zero).alias("avg_compression_ratio"))
+    return stats.groupBy(*by).agg(*_rollup())
 
 
 def classify_stage(df: DataFrame, name: str = "worker_name") -> DataFrame:
@@ -175,34 +174,45 @@ def classify_stage(df: DataFrame, name: str = "worker_name") -> DataFrame:
     return df.withColumn("stage", stage_of(name))
 
 
-def stage_throughput(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Activities per busy second of each stage, and the sum over the stages."""
+def _stage_rates() -> list[Column]:
     rates = []
     for stage in STAGES:
         member = stage_of("worker_name") == stage
-        rates.append(F.coalesce(ratio(F.sum(F.when(member, F.col("total_activities"))),
-                                      F.sum(F.when(member, F.col("total_duration")))), F.lit(0.0)).alias(f"{stage}_throughput"))
-    total = sum((F.col(f"{s}_throughput") for s in STAGES[1:]), F.col(f"{STAGES[0]}_throughput"))
-    return stats.groupBy(*by).agg(*rates).withColumn("total_throughput", total)
+        rates.append(F.coalesce(ratio(F.sum(F.when(member, F.col("total_activities"))), F.sum(F.when(member, F.col("total_duration")))), F.lit(0.0)))
+    return [*[r.alias(f"{stage}_throughput") for stage, r in zip(STAGES, rates, strict=True)], sum(rates[1:], rates[0]).alias("total_throughput")]
+
+
+def stage_throughput(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Activities per busy second of each stage, and the sum over the stages."""
+    return stats.groupBy(*by).agg(*_stage_rates())
+
+
+def _queues() -> list[Column]:
+    total = F.coalesce(F.sum("current_queue_size"), F.lit(0.0))
+    return [total.alias("total_queue_size"), F.coalesce(F.avg("current_queue_size"), F.lit(0.0)).alias("avg_queue_size"),
+            F.least(F.lit(100.0), total / QUEUE_CAPACITY * 100).alias("queue_utilization")]
 
 
 def queue_summary(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Total and mean queue size, and the share of the assumed capacity."""
-    total = F.coalesce(F.sum("current_queue_size"), F.lit(0.0))
-    return stats.groupBy(*by).agg(
-        total.alias("total_queue_size"),
-        F.coalesce(F.avg("current_queue_size"), F.lit(0.0)).alias("avg_queue_size"),
-        F.least(F.lit(100.0), total / QUEUE_CAPACITY * 100).alias("queue_utilization"))
+    return stats.groupBy(*by).agg(*_queues())
 
 
-def compression_summary(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Items handled by compressors, their mean ratio and the space saved in percent."""
+def _compression() -> list[Column]:
     member = stage_of("worker_name") == "compressor"
     mean = F.avg(F.when(member, F.col("avg_compression_ratio")))
-    return stats.groupBy(*by).agg(
-        F.coalesce(mean, F.lit(0.0)).alias("avg_compression_ratio"),
-        F.coalesce(F.sum(F.when(member, F.col("total_activities"))), F.lit(0)).alias("total_compressed"),
-        F.coalesce((1 - mean) * 100, F.lit(0.0)).alias("compression_efficiency"))
+    return [F.coalesce(mean, F.lit(0.0)).alias("avg_compression_ratio"),
+            F.coalesce(F.sum(F.when(member, F.col("total_activities"))), F.lit(0)).alias("total_compressed"),
+            F.coalesce((1 - mean) * 100, F.lit(0.0)).alias("compression_efficiency")]
+
+
+def compression_summary(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Items handled by compressors, their mean ratio and the space saved in percent."""
+    return stats.groupBy(*by).agg(*_compression())
+
+
+def _idle_status() -> Column:
+    return F.when(F.col("idle_percentage") > IDLE_STATUS_PERCENT, "idle").otherwise("active")
 
 
 def idle_classes(stats: DataFrame) -> DataFrame:
@@ -210,7 +220,7 @@ def idle_classes(stats: DataFrame) -> DataFrame:
     return stats.select(
         "worker_id", "idle_percentage",
         F.least(F.lit(1.0), F.col("idle_percentage") / 100).alias("idle_probability"),
-        F.when(F.col("idle_percentage") > IDLE_STATUS_PERCENT, "idle").otherwise("active").alias("status"))
+        _idle_status().alias("status"))
 
 
 def activity_heatmap(stats: DataFrame) -> DataFrame:
@@ -334,20 +344,14 @@ def queue_depths(queue_events: DataFrame) -> DataFrame:
 
 
 def full_status(stats: DataFrame, log_events: DataFrame, level: str | None = None) -> DataFrame:
-    """All roll-ups as one row: section name to JSON document. The statistics, one row per worker, are computed once."""
-    def section(name: str, df: DataFrame) -> DataFrame:
-        return df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns)).alias("body"))
-    stats = pinned(stats)
+    """All roll-ups as one row: section name to JSON document. The statistics are read in one aggregation."""
+    counted = [F.struct(F.lit(name).alias("key"), F.count_if(_idle_status() == name).alias("value")) for name in ("active", "idle")]
+    present = F.filter(F.array(*counted), lambda c: c["value"] > 0)
+    sections = {"workers": _rollup(), "throughput": _stage_rates(), "queues": _queues(), "compression": _compression(),
+                "idle": [F.map_from_entries(present).alias("workers_by_status")]}
+    bodies = stats.agg(*[F.struct(*columns).alias(name) for name, columns in sections.items()])
     errors = recent_errors(log_events, level=level).agg(
-        F.sort_array(F.collect_list(F.struct("ts", "seq", "level", "message"))).alias("messages"))
-    sections: Mapping[str, DataFrame] = {
-        "workers": pipeline_rollup(stats), "throughput": stage_throughput(stats), "queues": queue_summary(stats),
-        "compression": compression_summary(stats),
-        "idle": idle_classes(stats).groupBy("status").agg(F.count(F.lit(1)).alias("workers"))
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "workers")))).alias("workers_by_status")),
-        "errors": errors}
-    rows = [section(name, df) for name, df in sections.items()]
-    union = rows[0]
-    for row in rows[1:]:
-        union = union.union(row)
-    return union.groupBy().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "body")))).alias("status"))
+        F.struct(F.sort_array(F.collect_list(F.struct("ts", "seq", "level", "message"))).alias("messages")).alias("errors"))
+    # Two tables of one row each.
+    names = (*sections, "errors")
+    return bodies.crossJoin(errors).select(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.to_json, names))).alias("status"))

@@ -47,9 +47,11 @@ def with_gauges(intervals: DataFrame) -> DataFrame:
         "throughput": value, "compression_ratio": (seq % 10) / 10.0, "write_speed": value * 2}).drop("value")
 
 
-def gauges(spark: SparkSession, sf: str) -> DataFrame:
+def gauges(spark: SparkSession, sf: str, source: DataFrame | None = None) -> DataFrame:
+    """Gauges of the events, or of ``source``, a stream of events."""
     metric = F.create_map(*[F.lit(x) for pair in GAUGE_OF.items() for x in pair])[F.col("event_type")]
-    return events(spark, sf).select(
+    rows = events(spark, sf) if source is None else source
+    return rows.select(
         F.col("user_id").alias("worker_id"), worker_name().alias("worker_name"), metric.alias("metric"), "ts", F.col("event_id").alias("seq"), "value")
 
 
@@ -57,13 +59,15 @@ def heartbeats(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select(F.col("user_id").alias("worker_id"), "ts")
 
 
-def log_events(spark: SparkSession, sf: str) -> DataFrame:
+def log_events(spark: SparkSession, sf: str, source: DataFrame | None = None) -> DataFrame:
+    """Messages of the events, or of ``source``, a stream of events."""
     user = F.col("user_id")
     message = (F.when(F.col("event_type") == "error", F.concat(F.lit("Process "), user, F.lit(" unresponsive")))
                .when(F.col("event_type") == "signup", F.concat(F.lit("Process "), user, F.lit(" restarted")))
                .when(F.col("event_type") == "purchase", F.lit("Checkpoint saved"))
                .when(F.col("event_type") == "view", F.lit("Restored system state")).otherwise(F.col("props")))
-    return events(spark, sf).select("ts", F.col("event_id").alias("seq"), F.col("event_type").alias("level"), message.alias("message"), user.alias("worker_id"))
+    rows = events(spark, sf) if source is None else source
+    return rows.select("ts", F.col("event_id").alias("seq"), F.col("event_type").alias("level"), message.alias("message"), user.alias("worker_id"))
 
 
 def task_events(spark: SparkSession, sf: str) -> DataFrame:
