@@ -64,9 +64,7 @@ def moment(ts: ColumnLike = "ts", seq: ColumnLike = "seq") -> Column:
 
 
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Add group-level columns to rows: an equi-join on ``by``; without ``by`` the single row becomes literals."""
+    """Add group-level columns to rows: an equi-join on ``by``; without ``by`` the single row of ``stats`` joins all."""
     if by:
         return df.join(stats, list(by), "left")
-    row = stats.first()
-    return df.select("*", *[
-        F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in stats.schema.fields])
+    return df.join(F.broadcast(stats), F.lit(True), "left")

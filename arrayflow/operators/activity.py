@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arrayflow.functions.expr import MICROS, STAGES, attach, micros, moment, ratio, seconds_between, stage_of
-from arrayflow.functions.ordered import keep_last, last_known, neighbour, running_sum, trailing_sum
+from arrayflow.functions.ordered import SLICE, keep_last, last_known, neighbour, running_sum, slice_rows, trailing_sum
 
 # Gauge names and other output field names below, thresholds of the reports.
 GAUGES = ("buffer_usage", "queue_size", "throughput", "compression_ratio", "write_speed")
@@ -115,13 +116,21 @@ def throughput_history(activities: DataFrame, max_history: int | None = None) ->
 
 
 def peak_concurrency(intervals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Most intervals open at once; starts and ends of one instant are netted before the sweep."""
+    """Most intervals open at once; starts and ends of one instant are netted before the sweep.
+
+    Each slice of a group is summed up by its change and its highest level from 0. These two merge: a group's peak is the
+    highest of its slices' levels, each on top of the changes before it.
+    """
     by = list(by)
     change = F.explode(F.array(F.struct(F.col("start_time").alias("ts"), F.lit(1).alias("step")),
                                F.struct(F.col("end_time").alias("ts"), F.lit(-1).alias("step")))).alias("c")
     steps = (intervals.select(*by, change).select(*by, "c.ts", "c.step").filter(F.col("ts").isNotNull())
              .groupBy(*by, "ts").agg(F.sum("step").alias("step")))
-    return running_sum(steps, by, ["ts"], {"open": "step"}).groupBy(*by).agg(F.max("open").alias("peak"))
+    part = [*by, SLICE]
+    level = F.sum("step").over(W.partitionBy(*part).orderBy("ts").rowsBetween(W.unboundedPreceding, 0))
+    parts = slice_rows(steps, by, ["ts"]).withColumn("_level", level).groupBy(*part).agg(F.max("_level").alias("_top"), F.sum("step").alias("_change"))
+    before = F.coalesce(F.sum("_change").over(W.partitionBy(*by).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return parts.select(*by, (F.col("_top") + before).alias("_peak")).groupBy(*by).agg(F.max("_peak").alias("peak"))
 
 
 def idle_totals(idle_events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -320,9 +329,9 @@ def stage_counters(stage_events: DataFrame) -> DataFrame:
 def staleness(counters: DataFrame, now: DataFrame | Column) -> DataFrame:
     """Seconds since the last activity, as a probability of being idle after ten seconds."""
     if isinstance(now, DataFrame):
-        now = F.lit(now.first()[0])
+        counters, now = attach(counters, now.toDF("_now"), []), F.col("_now")
     return counters.select("*", seconds_between("last_activity", now).alias("idle_time")).withColumn(
-        "idle_probability", F.least(F.lit(1.0), F.col("idle_time") / IDLE_AFTER_SECONDS))
+        "idle_probability", F.least(F.lit(1.0), F.col("idle_time") / IDLE_AFTER_SECONDS)).drop("_now")
 
 
 def status_summary(counters: DataFrame, by: Sequence[str] = ()) -> DataFrame:

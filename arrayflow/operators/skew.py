@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arrayflow.functions.expr import attach, floor_div
-from arrayflow.functions.ordered import keep_last, last_known, number, slice_rows, trailing_sum
+from arrayflow.functions.ordered import keep_last, last_known, number, running_sum, slice_rows, trailing_sum
+from arrayflow.session import pinned
 
 # Overload marks, gate, move estimate, score weights, learning rule.
 QUEUE_MARK, CPU_MARK, LOAD_MARK, IDLE_MARK, MARKS_NEEDED = 5, 90.0, 0.8, 0.1, 2
@@ -22,8 +24,6 @@ RAISE_BELOW, LOWER_ABOVE, RATE, LOWEST, HIGHEST = 0.5, 0.8, 0.05, 0.1, 0.8
 LOAD_SAMPLES = 50
 UNKNOWN_IDLE = 100.0
 
-# Resolution of the move join: 2^JOIN_BITS levels over the value range.
-JOIN_BITS = 12
 # Most rows of one fold of the adaptive threshold.
 STRETCH = 256
 
@@ -63,42 +63,40 @@ def move_improvement(pairs: DataFrame) -> DataFrame:
 
 
 def move_candidates(workers: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
-    """Moves from overloaded to underused workers whose gain exceeds ``threshold``, where the gate is open.
+    """Per overloaded worker that can be relieved, where the gate is open: ``source_id, target_id, improvement, n_targets``.
 
-    "gain > threshold" is "relief of the source > bar of the target", an inequality between two numbers. Both are cut
-    to integer levels. Level a is above level b exactly when they share all bits over some bit that is set in a and clear
-    in b, so one equi-join on (group, bit, shared prefix) finds each pair above once, and equal levels join on the level
-    itself. No pair is formed that misses the threshold by more than a level, and hot groups split by prefix.
+    "gain > threshold" is "relief of the source > bar of the target". Reliefs and bars are put in one order, in which the
+    bars counted so far are a source's ``n_targets``: no pair is formed. The target with the highest gain (of equal ones, the
+    lowest id) has the lowest load of those with the idle bonus or of those without it, so that the two lowest of both kinds,
+    one of which may be the source itself, decide for a whole group.
     """
     by = list(by)
     flagged = attach(overload_flags(workers), imbalance_gate(workers, by).select(*by, "gate"), by).filter("gate")
+    bonus = F.col("idle_probability") > IDLE_BONUS_ABOVE
     relief = F.col("current_load") * SOURCE_RELIEF
-    bonus = F.when(F.col("idle_probability") > IDLE_BONUS_ABOVE, IDLE_BONUS).otherwise(1.0)
-    bar = F.col("current_load") * TARGET_COST + threshold / bonus
-    top = 1 << JOIN_BITS
-
-    def level(value: Column, slack: float) -> Column:
-        # Reliefs of loads in [0, 1] fill the levels; values outside share the end levels and meet the exact test.
-        scaled = F.floor((value + slack) / SOURCE_RELIEF * (top - 1))
-        return F.least(F.lit(top - 1), F.greatest(F.lit(0), scaled)).cast("bigint")
-
-    def keys(lv: Column, bit_set: bool) -> Column:
-        at_bit = [F.struct(F.lit(b).alias("bit"), F.shiftright(lv, b + 1).alias("prefix"),
-                           (F.shiftright(lv, b).bitwiseAND(F.lit(1)) == (1 if bit_set else 0)).alias("_on")) for b in range(JOIN_BITS)]
-        level_itself = F.struct(F.lit(-1).alias("bit"), lv.alias("prefix"), F.lit(True).alias("_on"))
-        return F.explode(F.filter(F.array(level_itself, *at_bit), lambda k: k["_on"]))
-
-    sources = (flagged.filter("is_overloaded")
-               .select(*by, F.col("worker_id").alias("source_id"), F.col("current_load").alias("source_load"),
-                       keys(level(relief, 0.0), True).alias("k")))
-    targets = (underused(flagged)
-               .select(*by, F.col("worker_id").alias("target_id"), F.col("current_load").alias("target_load"),
-                       F.col("idle_probability").alias("target_idle"), keys(level(bar, -1e-9), False).alias("k")))
-    sources = sources.select("*", "k.bit", "k.prefix").drop("k")
-    targets = targets.select("*", "k.bit", "k.prefix").drop("k")
-    pairs = move_improvement(sources.join(targets, [*by, "bit", "prefix"]))
-    return (pairs.filter((F.col("source_id") != F.col("target_id")) & (F.col("improvement") > threshold))
-            .select(*by, "source_id", "target_id", "improvement"))
+    bar = F.col("current_load") * TARGET_COST + F.lit(float(threshold)) / F.when(bonus, IDLE_BONUS).otherwise(1.0)
+    takes = (F.col("idle_probability") > UNDERUSED_IDLE) & (F.col("queue_size") < UNDERUSED_QUEUE)
+    none = F.lit(False)
+    sides = F.array(F.when(F.coalesce("is_overloaded", none), F.struct(relief.alias("value"), F.lit(0).alias("bars"))),
+                    F.when(F.coalesce(takes, none), F.struct(bar.alias("value"), F.lit(1).alias("bars"))))
+    own = F.when(F.coalesce(takes & (bar < relief), none), 1).otherwise(0)
+    entries = flagged.select(*by, "worker_id", "current_load", own.alias("_own"), F.explode(F.filter(sides, lambda s: s.isNotNull())).alias("s")).select(
+        *by, "worker_id", "current_load", "_own", "s.value", "s.bars")
+    # A whole number that rises with the value leads the order, so that large groups can be cut. Equal bars are not below.
+    placed = entries.withColumn("_level", F.floor(F.col("value") * float(1 << 40)))
+    counted = running_sum(placed, by, ["_level", "value", "bars", "worker_id"], {"_below": "bars"})
+    sources = counted.filter("bars = 0").select(*by, F.col("worker_id").alias("source_id"), F.col("current_load").alias("source_load"),
+                                                (F.col("_below") - F.col("_own")).alias("n_targets")).filter("n_targets > 0")
+
+    lowest = W.partitionBy(*by, "bonus").orderBy("current_load", "worker_id")
+    few = underused(flagged).select(*by, bonus.alias("bonus"), "worker_id", "current_load", "idle_probability").withColumn(
+        "_rank", F.row_number().over(lowest)).filter("_rank <= 2")
+    known = few.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("worker_id", "current_load", "idle_probability"))).alias("_few"))
+    joined = attach(sources, known, by)
+    others = F.filter("_few", lambda t: t["worker_id"] != F.col("source_id"))
+    gains = F.transform(others, lambda t: F.struct(improvement(F.col("source_load"), t["current_load"], t["idle_probability"]).alias("improvement"), (-t["worker_id"]).alias("low_id_first")))
+    best = F.array_max(gains)
+    return joined.withColumn("_best", best).select(*by, "source_id", (-F.col("_best.low_id_first")).alias("target_id"), F.col("_best.improvement").alias("improvement"), "n_targets")
 
 
 def project_moves(workers: DataFrame, moves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -222,9 +220,10 @@ def adaptive_threshold(moves: DataFrame, start: float, by: Sequence[str] = ()) -
     the stretches are replayed, again in parallel.
     """
     by = list(by)
-    rows, sizes = slice_rows(moves.select(*by, "seq", "success"), by, ["seq"])
-    numbered = number(rows, by, ["seq"], "_rn", sizes)
-    rated = trailing_sum(numbered, by, ["seq"], RECENT_MOVES, {"_good": F.col("success").cast("bigint")}, sizes)
+    # Written once: the steps below read their input many times.
+    rows = slice_rows(pinned(moves.select(*by, "seq", "success")), by, ["seq"])
+    numbered = number(rows, by, ["seq"], "_pos")
+    rated = trailing_sum(numbered, by, ["seq"], RECENT_MOVES, {"_good": F.col("success").cast("bigint")}).withColumnRenamed("_pos", "_rn")
     rate = F.col("_good") / float(RECENT_MOVES)
     factor = F.when(rate > LOWER_ABOVE, 1 - RATE).when(rate < RAISE_BELOW, 1 + RATE).otherwise(1.0)
     counted = F.col("_rn") >= RECENT_MOVES

@@ -44,17 +44,15 @@ def batched(rows: Iterable[tuple], types: Mapping[str, pa.DataType], max_rows: i
 def decode_cells(tensors: DataFrame) -> DataFrame:
     """Binary payloads to (tensor_id, pos, value); large tensors leave in batches of bounded size.
 
-    Rows that :func:`undecodable` lists have no cells.
+    Rows that :func:`undecodable` lists have no cells. Where there is a column ``first_pos``, a payload begins at that position.
     """
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
         for batch in batches:
-            for tensor_id, dtype, payload in zip(*(batch.column(n).to_pylist() for n in ("tensor_id", "dtype", "payload"))):
-                kind = _dtype(dtype)
-                if kind is None or payload is None or len(payload) % kind.itemsize:
-                    continue
-                values = np.frombuffer(payload, dtype=kind)
+            columns = (batch.column(n).to_pylist() for n in ("tensor_id", "dtype", "first_pos", "payload"))
+            for tensor_id, dtype, first, payload in zip(*columns):
+                values = np.frombuffer(payload, dtype=dtype)
                 for lo in range(0, len(values), BATCH_CELLS):
-                    yield tensor_id, lo, values[lo:lo + BATCH_CELLS].astype("float64")
+                    yield tensor_id, first + lo, values[lo:lo + BATCH_CELLS].astype("float64")
 
     def flush(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         counts = [len(v) for _, _, v in held]
@@ -73,36 +71,32 @@ def decode_cells(tensors: DataFrame) -> DataFrame:
                 held, n = [], 0
         if n:
             yield flush(held)
-    return (tensors.select("tensor_id", "dtype", "payload")
-            .mapInArrow(decode, "tensor_id bigint, pos bigint, value double"))
+    first = F.col("first_pos") if "first_pos" in tensors.columns else F.lit(0).cast("bigint").alias("first_pos")
+    return tensors.filter(_reject(tensors).isNull()).select("tensor_id", "dtype", first, "payload").mapInArrow(decode, "tensor_id bigint, pos bigint, value double")
 
 
-def _dtype(name: str | None) -> np.dtype | None:
-    """The number type of a name, None if there is none."""
-    try:
-        kind = np.dtype(name) if name else None
-    except TypeError:
-        return None
-    return kind if kind is not None and kind.kind in "biufc" else None
-
-
-def undecodable(tensors: DataFrame) -> DataFrame:
-    """Rows whose payload gives no cells: ``tensor_id, reason``. With a ``shape``, the size must be the shape's too."""
+def _reject(tensors: DataFrame) -> Column:
+    """Why a row's payload gives no cells, null if it does. With a ``shape``, the size must be the shape's too."""
     width, size = item_bytes("dtype"), F.octet_length("payload")
     reason = (F.when(F.col("payload").isNull(), "no payload").when(width.isNull(), "unknown dtype")
-              .when(size % width != 0, "broken element"))
+              .when(F.col("dtype").rlike("^(complex|[<>=|]?c)"), "complex numbers").when(size % width != 0, "broken element"))
     if "shape" in tensors.columns:
-        reason = reason.when(size != element_count("shape") * width, "other size than the shape's")
-    return tensors.select("tensor_id", reason.alias("reason")).filter("reason IS NOT NULL")
+        reason = reason.when(F.coalesce(size != element_count("shape") * width, F.lit(True)), "other size than the shape's")
+    return reason
+
+
+def undecodable(tensors: DataFrame) -> DataFrame:
+    """Rows whose payload gives no cells: ``tensor_id, reason``."""
+    return tensors.select("tensor_id", _reject(tensors).alias("reason")).filter("reason IS NOT NULL")
 
 
 def item_bytes(dtype: str) -> Column:
-    """Bytes per element, read off a type's name (``float32``, ``complex128``, ``bool``) or code (``<f8``, ``>i4``)."""
+    """Bytes per element of the number types, by name (``float32``, ``double``, ``complex128``, ``bool``) or code (``<f8``, ``>i4``)."""
     name = F.col(dtype)
-    bits = F.regexp_extract(name, "^(?:float|u?int|complex)([0-9]+)$", 1)
-    code = F.regexp_extract(name, "^[<>=|]?[biufc]([0-9]+)$", 1)
+    bits = F.regexp_extract(name, "^(?:float(?=16$|32$|64$)|u?int(?=8$|16$|32$|64$)|complex(?=64$|128$))([0-9]+)$", 1)
+    code = F.regexp_extract(name, "^[<>=|]?(?:f(?=[248]$)|[iu](?=[1248]$)|c(?=8$|16$)|b(?=1$))([0-9]+)$", 1)
     return (F.when(bits != "", F.try_divide(bits.cast("int"), F.lit(8)).cast("int")).when(code != "", code.cast("int"))
-            .when(name.isin("bool", "?"), 1))
+            .when(name.isin("bool", "?"), 1).when(name == "half", 2).when(name == "single", 4).when(name == "double", 8))
 
 
 def encode_tensors(tensors: DataFrame, values: str) -> DataFrame:
@@ -135,25 +129,64 @@ def generate_tensors(specs: DataFrame, seed: int = 0, default_size: int = 100) -
     return cells.select("tensor_id", "kind", pos.alias("pos"), value.alias("value"))
 
 
-def slice_tensor(cells: DataFrame, shape: Sequence[int], slices: Sequence[slice]) -> DataFrame:
-    """Box slice with steps; dimensions without a slice stay whole. A stop of 0 or None means the end."""
-    axes, stride = [], 1
-    for dim in reversed(shape):
-        axes.insert(0, (stride, dim))
-        stride *= dim
-    keep, new_pos, spans = F.lit(True), F.lit(0).cast("bigint"), []
-    for axis, (stride, dim) in enumerate(axes):
-        part = slices[axis] if axis < len(slices) else slice(None)
-        start, stop, step = part.start or 0, part.stop or dim, part.step or 1
-        if start < 0 or stop < 0 or step < 1:
+def _floor_by(value: Column, by: Column) -> Column:
+    return F.call_function("div", value - F.pmod(value, by), by)
+
+
+def _box(slices: Sequence[slice], shape: Column) -> Column:
+    """Per axis of ``shape``: stride, start, stop, step and length of the slice, in the order of the axes."""
+    for part in slices:
+        if (part.start or 0) < 0 or (part.stop or 0) < 0 or (part.step if part.step is not None else 1) < 1:
             raise ValueError("slices need start, stop >= 0 and step >= 1")
-        stop = min(stop, dim)
-        spans.append((stride, dim, start, stop, step, max(0, -(-(stop - start) // step))))
-    for stride, dim, start, stop, step, length in spans:
-        index = floor_div(F.col("pos"), stride) % dim
-        keep = keep & (index >= start) & (index < stop) & ((index - start) % step == 0)
-        new_pos = new_pos * length + floor_div(index - start, step)
-    return cells.filter(keep).withColumn("pos", new_pos)
+    one = F.lit(1).cast("bigint")
+    given = F.array(*[F.struct(F.lit(p.start or 0).cast("bigint").alias("start"), F.lit(p.stop or None).cast("bigint").alias("stop"),
+                               F.lit(p.step or 1).cast("bigint").alias("step")) for p in (*slices, slice(None))])
+
+    def axis(dim: Column, at: Column) -> Column:
+        own = F.get(given, F.least(at, F.lit(len(slices))))
+        stop = F.least(F.coalesce(own["stop"], dim), dim)
+        length = F.greatest(F.lit(0).cast("bigint"), floor_div(stop - own["start"] + own["step"] - 1, own["step"]))
+        stride = F.aggregate(F.slice(shape, at + 2, F.size(shape)), one, lambda n, d: n * d)
+        return F.struct(stride.alias("stride"), dim.alias("dim"), own["start"].alias("start"), stop.alias("stop"), own["step"].alias("step"), length.alias("length"))
+    return F.transform(shape, axis)
+
+
+def slice_tensor(cells: DataFrame, shapes: DataFrame | Sequence[int], slices: Sequence[slice]) -> DataFrame:
+    """Box slice with steps of every tensor. A stop of 0 or None means the end, axes beyond ``slices`` stay whole.
+
+    ``shapes`` has each tensor's ``tensor_id, shape``, of any sizes and numbers of axes, or is one shape for all. A tensor
+    with fewer axes than ``slices`` has no cells, nor has one without a shape.
+    """
+    if isinstance(shapes, DataFrame):
+        boxes = shapes.filter(F.size("shape") >= len(slices)).select("tensor_id", _box(slices, F.col("shape")).alias("_box"))
+        boxed = cells.join(boxes, "tensor_id")
+    else:
+        boxed = cells.withColumn("_box", _box(slices, F.array(*[F.lit(d).cast("bigint") for d in shapes])))
+
+    def index(axis: Column) -> Column:
+        return F.pmod(_floor_by(F.col("pos"), axis["stride"]), axis["dim"])
+    inside = F.forall("_box", lambda a: (index(a) >= a["start"]) & (index(a) < a["stop"]) & (F.pmod(index(a) - a["start"], a["step"]) == 0))
+    new_pos = F.aggregate("_box", F.lit(0).cast("bigint"), lambda n, a: n * a["length"] + _floor_by(index(a) - a["start"], a["step"]))
+    return boxed.filter(inside).withColumn("pos", new_pos).select(*cells.columns)
+
+
+def slice_stored(tensors: DataFrame, slices: Sequence[slice], chunk: int = BATCH_CELLS) -> DataFrame:
+    """As :func:`slice_tensor` over stored payloads (``tensor_id, shape, dtype, payload``), decoding only what the box touches.
+
+    The slice of the first axis bounds the row-major positions that can be inside. Only the bytes of these positions reach the
+    decoder, in pieces of ``chunk`` elements that are decoded in parallel. Rows that :func:`undecodable` lists have no cells.
+    """
+    given = tensors.select("tensor_id", "shape", "dtype", "payload")
+    whole = given.filter(_reject(given).isNull() & (F.size("shape") >= len(slices)))
+    first, width = F.get(_box(slices, F.col("shape")), F.lit(0)), item_bytes("dtype")
+    # A tensor without axes is one cell.
+    low, high = F.coalesce(first["start"] * first["stride"], F.lit(0)), F.coalesce(first["stop"] * first["stride"], F.lit(1))
+    touched = whole.select("*", low.cast("bigint").alias("_low"), high.cast("bigint").alias("_high")).filter("_low < _high")
+    pieces = touched.select("*", F.explode(F.sequence(F.col("_low"), F.col("_high") - 1, F.lit(chunk).cast("bigint"))).alias("first_pos"))
+    size = F.least(F.lit(chunk).cast("bigint"), F.col("_high") - F.col("first_pos"))
+    cut = F.substring(F.col("payload"), (F.col("first_pos") * width + 1).cast("int"), (size * width).cast("int"))
+    cells = decode_cells(pieces.select("tensor_id", "dtype", "first_pos", cut.alias("payload")))
+    return slice_tensor(cells, given.select("tensor_id", "shape"), slices)
 
 
 def apply_transforms(cells: DataFrame, transforms: Sequence[Callable[[Column], Column]]) -> DataFrame:
@@ -197,10 +230,10 @@ def content_id(tensors: DataFrame, payload: str = "payload", name: str = "name")
 
 def rle_encode(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Runs of equal neighbouring values per group, numbered from 1."""
-    rows, sizes = slice_rows(df.select(*keys, *order, value), keys, order)
-    before = neighbour(rows.withColumn("_has", F.lit(True)), keys, order, {"_before": value, "_before_has": "_has"}, step=-1, sizes=sizes)
+    rows = slice_rows(df.select(*keys, *order, value), keys, order)
+    before = neighbour(rows.withColumn("_has", F.lit(True)), keys, order, {"_before": value, "_before_has": "_has"}, step=-1)
     same = F.coalesce("_before_has", F.lit(False)) & F.col(value).eqNullSafe(F.col("_before"))
-    runs = running_sum(before, keys, order, {"run": F.when(same, 0).otherwise(1)}, sizes)
+    runs = running_sum(before, keys, order, {"run": F.when(same, 0).otherwise(1)})
     return runs.groupBy(*keys, "run", value).agg(F.count(F.lit(1)).alias("length"))
 
 

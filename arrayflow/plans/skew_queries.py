@@ -22,10 +22,13 @@ ov AS (SELECT *, marks >= 2 AS over FROM fl),
 gate AS (SELECT cluster, var_samp(ld) AS variance, avg(ld) AS mean, coalesce(var_samp(ld) > 0.1 AND avg(ld) > 0.3, false) AS gate FROM wk GROUP BY 1)"""
 MOVES = WK + f""",
 pairs AS (SELECT s.cluster, s.worker_id AS source_id, t.worker_id AS target_id,
-  greatest(0, CASE WHEN t.idle > 0.7 THEN (s.ld * 0.2::DOUBLE - t.ld * 0.3::DOUBLE) * 1.5::DOUBLE ELSE s.ld * 0.2::DOUBLE - t.ld * 0.3::DOUBLE END) AS improvement
+  greatest(0, CASE WHEN t.idle > 0.7 THEN (s.ld * 0.2::DOUBLE - t.ld * 0.3::DOUBLE) * 1.5::DOUBLE ELSE s.ld * 0.2::DOUBLE - t.ld * 0.3::DOUBLE END) AS improvement,
+  s.ld * 0.2::DOUBLE > t.ld * 0.3::DOUBLE + {THRESHOLD}::DOUBLE / CASE WHEN t.idle > 0.7 THEN 1.5::DOUBLE ELSE 1::DOUBLE END AS enough
   FROM ov s JOIN ov t ON s.cluster = t.cluster AND s.worker_id <> t.worker_id JOIN gate g ON g.cluster = s.cluster
   WHERE s.over AND t.idle > 0.5 AND t.q < 2 AND g.gate),
-mv AS (SELECT *, source_id * 1000000 + target_id AS seq, (source_id + target_id) % 5 <> 0 AS success FROM pairs WHERE improvement > {THRESHOLD}::DOUBLE)"""
+best AS (SELECT *, count(*) FILTER (enough) OVER (PARTITION BY source_id) AS n_targets FROM pairs
+  QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY improvement DESC, target_id) = 1),
+mv AS (SELECT *, source_id * 1000000 + target_id AS seq, (source_id + target_id) % 5 <> 0 AS success FROM best WHERE n_targets > 0)"""
 SCORE = "idle * 10 - q * 2 - cpu / 100 * 5 + (1 - mem / 100) * 2 - CASE WHEN over THEN 10 ELSE 0 END"
 
 
@@ -50,7 +53,7 @@ def underused(spark: SparkSession, sf: str) -> DataFrame:
     return S.underused(B.workers(spark, sf)).select("cluster", "worker_id")
 
 
-@query(f"WITH {MOVES} SELECT cluster, source_id, target_id, round(improvement, 9) AS improvement FROM mv")
+@query(f"WITH {MOVES} SELECT cluster, source_id, target_id, round(improvement, 9) AS improvement, n_targets FROM mv")
 def move_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.move_candidates(B.workers(spark, sf), THRESHOLD, BY), "improvement", digits=9)
 

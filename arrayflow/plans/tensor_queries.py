@@ -100,10 +100,26 @@ def task_stream(spark: SparkSession, sf: str) -> DataFrame:
     return T.task_stream(B.table(spark, sf, "events").select(F.col("event_id").alias("value")), _grid(spark, sf))
 
 
-@query(f"""WITH {CELLS}, p AS (SELECT *, pos // {SIDE} AS i, pos % {SIDE} AS j FROM cells)
-  SELECT tensor_id, i * 4 + (j - 1) // 2 AS pos, value FROM p WHERE i < 4 AND j >= 1 AND (j - 1) % 2 = 0 AND i < {SIDE}""")
+# Every other tensor lies in one axis, the others in rows of SIDE.
+SHAPES = "CASE WHEN tensor_id % 2 = 0 THEN array(n) ELSE array(n div {side}, {side}L) END"
+
+
+@query(f"""WITH {CELLS}, n AS (SELECT vec_id AS tensor_id, len(embedding) AS n FROM embeddings), p AS (SELECT cells.*, n, pos // {SIDE} AS i, pos % {SIDE} AS j FROM cells JOIN n USING (tensor_id))
+  SELECT tensor_id, pos // 2 AS pos, value FROM p WHERE tensor_id % 2 = 0 AND pos < 4 AND pos % 2 = 0
+  UNION ALL SELECT tensor_id, i // 2 * {SIDE} + j, value FROM p WHERE tensor_id % 2 = 1 AND i < 4 AND i % 2 = 0""")
 def slice_tensor(spark: SparkSession, sf: str) -> DataFrame:
-    return T.slice_tensor(B.cells(spark, sf), [SIDE, SIDE], [slice(0, 4), slice(1, 8, 2)])
+    """A slice of the first axis of every tensor, by its own shape; the stored payloads give the same cells."""
+    shapes = B.embedding_tensors(spark, sf).withColumn("n", F.size("embedding").cast("bigint")).select("tensor_id", F.expr(SHAPES.format(side=SIDE)).alias("shape"))
+    return T.slice_tensor(B.cells(spark, sf), shapes, [slice(0, 4, 2)])
+
+
+@query(f"""WITH {CELLS}, n AS (SELECT vec_id AS tensor_id, len(embedding) AS n FROM embeddings), p AS (SELECT cells.*, n, pos // {SIDE} AS i, pos % {SIDE} AS j FROM cells JOIN n USING (tensor_id))
+  SELECT tensor_id, pos // 2 AS pos, value FROM p WHERE tensor_id % 2 = 0 AND pos < 4 AND pos % 2 = 0
+  UNION ALL SELECT tensor_id, i // 2 * {SIDE} + j, value FROM p WHERE tensor_id % 2 = 1 AND i < 4 AND i % 2 = 0""")
+def slice_stored(spark: SparkSession, sf: str) -> DataFrame:
+    stored = embedding_payloads(spark, sf).drop("shape")
+    shapes = B.embedding_tensors(spark, sf).withColumn("n", F.size("embedding").cast("bigint")).select("tensor_id", F.expr(SHAPES.format(side=SIDE)).alias("shape"))
+    return T.slice_stored(stored.join(shapes, "tensor_id"), [slice(0, 4, 2)])
 
 
 @query(f"WITH {CELLS} SELECT 'transformed_' || tensor_id AS name, tensor_id, pos, round((value * 2 + 1) * (value * 2 + 1), 9) AS value FROM cells")

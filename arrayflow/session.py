@@ -8,8 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-GROUP_ROWS = "spark.arrayflow.groupRows"
-DEFAULT_GROUP_ROWS = 4_000_000
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -31,11 +29,6 @@ def build(app: str = "arrayflow", master: str | None = None, **conf: str) -> Spa
     return builder.getOrCreate()
 
 
-def group_rows(spark: SparkSession) -> int:
-    """Most rows of one ordered group that a single task may hold."""
-    return int(spark.conf.get(GROUP_ROWS, str(DEFAULT_GROUP_ROWS)))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder. Only a session on one machine may leave it unset and gets a temporary one."""
     context = spark.sparkContext

@@ -20,12 +20,10 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture
-def small_groups(spark):
-    """Every ordered group beyond 20 rows is worked through in slices."""
-    from arrayflow.session import GROUP_ROWS
-    spark.conf.set(GROUP_ROWS, "20")
-    yield
-    spark.conf.unset(GROUP_ROWS)
+def small_groups(monkeypatch):
+    """Every ordered group beyond 20 rows is cut into slices."""
+    from arrayflow.functions import ordered
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 20)
 
 
 @pytest.fixture

@@ -192,8 +192,8 @@ def test_gate_and_balance(workers, frame):
 
 
 def test_moves(workers, rows):
-    found = [(s, t, round(i, 6)) for s, t, i in rows(S.move_candidates(workers, 0.15), "source_id", "target_id", "improvement")]
-    assert found == [(0, 1, 0.24), (0, 3, 0.175), (2, 1, 0.225), (2, 3, 0.165)]
+    found = [(s, t, round(i, 6), n) for s, t, i, n in rows(S.move_candidates(workers, 0.15), "source_id", "target_id", "improvement", "n_targets")]
+    assert found == [(0, 1, 0.24, 2), (2, 1, 0.225, 2)]
     assert S.move_candidates(workers, 0.3).count() == 0
 
 
@@ -204,15 +204,20 @@ def test_moves_equal_all_pairs(spark, rows, threshold):
         "cast(pmod(hash(id, 6), 8) AS int) AS queue_size", "pmod(hash(id, 7), 120) * 1.0D AS cpu_usage", "1.0D AS memory_usage")
     loads = [r.asDict() for r in S.overload_flags(made).collect()]
     gates = {r.g: r.gate for r in S.imbalance_gate(made, ["g"]).collect()}
-    wanted = []
+    wanted = {}
     for s in loads:
         for t in loads:
             if s["g"] == t["g"] and gates[s["g"]] and s["is_overloaded"] and t["idle_probability"] > .5 and t["queue_size"] < 2 and s["worker_id"] != t["worker_id"]:
                 gain = s["current_load"] * .2 - t["current_load"] * .3
                 gain = max(0.0, gain * 1.5 if t["idle_probability"] > .7 else gain)
                 if gain > threshold:
-                    wanted.append((s["g"], s["worker_id"], t["worker_id"], gain))
-    assert rows(S.move_candidates(made, threshold, ["g"])) == sorted(wanted, key=repr)
+                    wanted.setdefault((s["g"], s["worker_id"]), []).append((gain, -t["worker_id"]))
+    best = [(*source, -max(pairs)[1], max(pairs)[0], len(pairs)) for source, pairs in wanted.items()]
+    assert rows(S.move_candidates(made, threshold, ["g"])) == sorted(best, key=repr)
+
+
+def test_moves_in_slices(spark, rows, small_groups):
+    test_moves_equal_all_pairs(spark, rows, 0.02)
 
 
 def test_projection(workers, frame):

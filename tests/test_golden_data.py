@@ -112,7 +112,7 @@ def test_undecodable_rows(frame, rows):
     data = [(1, "<f4", [2], bytearray(8)), (2, "float32", [3], bytearray(8)), (3, "float64", [1], bytearray(7)), (4, "nonsense", [1], bytearray(8)), (5, None, [1], bytearray(8)),
             (6, "int8", [1], None), (7, "complex128", [1], bytearray(16)), (8, "bool", [2], bytearray(2))]
     tensors = frame(data, "tensor_id bigint, dtype string, shape array<bigint>, payload binary")
-    assert rows(T.undecodable(tensors)) == [(2, "other size than the shape's"), (3, "broken element"), (4, "unknown dtype"), (5, "unknown dtype"), (6, "no payload")]
+    assert rows(T.undecodable(tensors)) == [(2, "other size than the shape's"), (3, "broken element"), (4, "unknown dtype"), (5, "unknown dtype"), (6, "no payload"), (7, "complex numbers")]
     assert rows(T.decode_cells(tensors.filter("tensor_id <> 7")).groupBy("tensor_id").count()) == [(1, 2), (2, 2), (8, 2)]
 
 
@@ -153,6 +153,45 @@ def test_slice_equals_numpy(spark, shape, cut):
     assert [r.value for r in got] == list(wanted) and [r.pos for r in got] == list(range(len(wanted)))
 
 
+BOXES = [(slice(1, 3),), (slice(0, 2), slice(1, None, 2)), (slice(2, 0),), (slice(3, 1),), ()]
+
+
+@pytest.mark.parametrize("cut", BOXES, ids=str)
+def test_slices_follow_each_shape(frame, rows, cut):
+    """One call over tensors of several shapes and numbers of axes, as cells and as stored payloads."""
+    shapes = {1: (3, 4), 2: (24,), 3: (2, 3, 4), 4: (5, 1), 5: (0, 7), 6: (1, 1, 1, 2), 7: ()}
+    arrays = {k: (np.arange(int(np.prod(shape))) * 10.0 + k).reshape(shape) for k, shape in shapes.items()}
+    wanted = []
+    for k, a in arrays.items():
+        if len(cut) <= a.ndim:
+            part = a[tuple(slice(c.start, c.stop or None, c.step) for c in cut)]
+            wanted += [(k, pos, float(v)) for pos, v in enumerate(part.ravel())]
+    tensors = frame([(k, list(shapes[k]), "float64", a.tobytes()) for k, a in arrays.items()] + [(8, [2], "float64", b"123"), (9, None, "float64", b"12345678")],
+                    "tensor_id bigint, shape array<bigint>, dtype string, payload binary")
+    assert rows(T.slice_tensor(T.decode_cells(tensors), tensors.select("tensor_id", "shape"), cut)) == sorted(wanted, key=repr)
+    assert rows(T.slice_stored(tensors, cut, chunk=5)) == sorted(wanted, key=repr)
+
+
+def test_slices_decode_only_the_box(frame, monkeypatch):
+    """Bytes outside the pieces a box touches are never seen: the decoder is given them in full."""
+    seen = []
+    monkeypatch.setattr(T, "decode_cells", lambda df: seen.append(df) or df.selectExpr("tensor_id", "first_pos AS pos", "0.0D AS value"))
+    tensors = frame([(1, [1000, 10], "float64", bytes(80_000)), (2, [10], "float64", bytes(80))], "tensor_id bigint, shape array<bigint>, dtype string, payload binary")
+    T.slice_stored(tensors, [slice(500, 505)], chunk=20)
+    got = seen[0].selectExpr("first_pos", "octet_length(payload) AS n").orderBy("first_pos").collect()
+    assert [tuple(r) for r in got] == [(5000, 160), (5020, 160), (5040, 80)]
+
+
+def test_one_rule_for_rejects(frame, rows):
+    four, odd = np.arange(4, dtype="float32").tobytes(), b"\x00" * 7
+    data = [(1, "float32", [2, 3], four), (2, "double", [2], four), (3, "complex64", [2], four), (4, "int", [4], four), (5, "float32", [4], None), (6, "float32", [4], odd),
+            (7, None, [4], four), (8, "float32", None, four), (9, "half", [8], four), (10, "float24", [4], four), (11, "<c8", [2], four), (12, "float32", [4], four)]
+    tensors = frame([(k, d, s, p) for k, d, s, p in data], "tensor_id bigint, dtype string, shape array<bigint>, payload binary")
+    rejects = {r.tensor_id for r in T.undecodable(tensors).collect()}
+    assert rejects == {1, 3, 4, 5, 6, 7, 8, 10, 11}
+    assert {r.tensor_id for r in T.decode_cells(tensors).select("tensor_id").distinct().collect()} == {2, 9, 12}
+
+
 def test_run_lengths(frame, rows):
     sequence = frame([("k", i, v) for i, v in enumerate("AAABBA")] + [("n", i, None) for i in range(2)], "k string, i int, v string")
     runs = T.rle_encode(sequence, ["k"], ["i"], "v")
