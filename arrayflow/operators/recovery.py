@@ -63,7 +63,7 @@ def checkpoint_info(checkpoints: DataFrame, by: Sequence[str] = ()) -> DataFrame
     return load_checkpoint(checkpoints, by).select(*by, "version", "ts", "system_version", "schema_version").distinct()
 
 
-def restore_state(loaded: DataFrame, failures: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def restore_health(loaded: DataFrame, failures: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Worker health after a restore: the saved health or, without a save, none; failed workers are ``restarted``.
 
     ``loaded`` holds worker health (worker, health) of the loaded checkpoint, ``failures`` the failed workers.
@@ -74,6 +74,28 @@ def restore_state(loaded: DataFrame, failures: DataFrame, by: Sequence[str] = ()
         *keys, F.when(F.col("_failed"), "restarted").otherwise(F.col("health")).alias("health"))
 
 
+def restore_state(checkpoints: DataFrame, failures: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The whole state after a restore, one row per entry: ``by, part, entry, value``.
+
+    The newest version without a spoiled row is read: ``active_tasks`` (task, its place), ``buffer_usage`` (worker, buffers) and
+    ``process_health`` (worker, health); failed workers (``by, worker_id``) are ``restarted``. Without such a version the state is
+    empty but for them. A part that is missing in a payload, or has another type, gives no entries; payloads that are no JSON
+    give none at all. Parts of several payloads add up.
+    """
+    by = list(by)
+    state = load_checkpoint(checkpoints, by).select(*by, F.try_parse_json("payload").alias("_state"))
+
+    def part(path: str, kind: str) -> Column:
+        return F.try_variant_get("_state", f"$.{path}", kind)
+    tasks = state.select(*by, F.posexplode(part("active_tasks", "array<string>")).alias("value", "entry")).select(
+        *by, F.lit("active_tasks").alias("part"), "entry", F.col("value").cast("string").alias("value"))
+    buffers = state.select(*by, F.lit("buffer_usage").alias("part"), F.explode(part("buffer_usage", "map<string,bigint>")).alias("entry", "value"))
+    saved = state.select(*by, F.explode(part("process_health", "map<string,string>")).alias("worker_id", "health"))
+    failed = failures.select(*by, F.col("worker_id").cast("string").alias("worker_id"))
+    health = restore_health(saved, failed, by).select(*by, F.lit("process_health").alias("part"), F.col("worker_id").alias("entry"), F.col("health").alias("value"))
+    return tasks.unionByName(buffers.withColumn("value", F.col("value").cast("string"))).unionByName(health)
+
+
 def recovery_events(log_events: DataFrame) -> DataFrame:
     """Failure, restart, restore and checkpoint messages as a timeline."""
     text = F.lower("message")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from arrayflow.operators import layout as L
 from arrayflow.plans import bindings as B
 from arrayflow.plans.registry import query, rounded, wide
+from arrayflow.session import scratch_path
+from arrayflow.sources import containers
 
 K = B.SHARDS - 1
 # The shard whose loss the recovery queries repair.
@@ -221,3 +223,15 @@ def reassemble_segments(spark: SparkSession, sf: str) -> DataFrame:
 def write_totals(spark: SparkSession, sf: str) -> DataFrame:
     writes = B.payloads(spark, sf).select(F.col("name").alias("source"), F.octet_length("payload").alias("n_bytes"), (F.col("n_chars") <= 5000).alias("ok"))
     return L.write_totals(writes, ["source"])
+
+
+@query("""SELECT count(*) FILTER (n_chars <= 5000) AS total_writes, coalesce(sum(strlen(text)) FILTER (n_chars <= 5000), 0)::BIGINT AS total_bytes_written,
+  count(*) FILTER (n_chars > 5000) AS failed_writes, count(*) FILTER (n_chars <= 5000) AS rows_stored, coalesce(sum(strlen(text)) FILTER (n_chars <= 5000), 0)::BIGINT AS bytes_stored
+  FROM documents""")
+def write_observed(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals observed while the documents are written, next to what is then stored."""
+    path = scratch_path(spark, "observed")
+    writes = B.payloads(spark, sf).select("file_id", "payload", (F.col("n_chars") <= 5000).alias("ok"))
+    totals = containers.write_observed(writes, path)
+    stored = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_stored"), F.sum(F.octet_length("payload").cast("bigint")).alias("bytes_stored"))
+    return stored.select(*[F.lit(n).cast("bigint").alias(c) for c, n in totals.items()], "rows_stored", "bytes_stored")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrayflow.functions.expr import micros
 from arrayflow.operators import activity as A
 from arrayflow.operators import recovery as R
 from arrayflow.plans import bindings as B
-from arrayflow.plans.activity_queries import EV, STATS
+from arrayflow.plans.activity_queries import EV, STATS, TASKS
 from arrayflow.plans.registry import query
 from arrayflow.session import scratch_path
 from arrayflow.sources import logs
@@ -81,11 +83,33 @@ def save_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {CKPT}, failed AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error')
   SELECT coalesce(store, user_id) AS worker_id, CASE WHEN user_id IS NOT NULL THEN 'restarted' ELSE payload[-3:-3] END AS health FROM ld FULL JOIN failed ON store = user_id""")
-def restore_state(spark: SparkSession, sf: str) -> DataFrame:
+def restore_health(spark: SparkSession, sf: str) -> DataFrame:
     loaded = R.load_checkpoint(B.checkpoints(spark, sf), ["store"])
     health = loaded.select(F.col("store").alias("worker_id"), F.get_json_object("payload", "$.total").alias("health"))
     failures = B.events(spark, sf).filter(F.col("event_type") == "error").select(F.col("user_id").alias("worker_id"))
-    return R.restore_state(health, failures)
+    return R.restore_health(health, failures)
+
+
+@query("""WITH good AS (SELECT * FROM orders WHERE o_orderkey % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
+  failed AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'),
+  health AS (SELECT o_custkey AS store, unnest([o_custkey, o_custkey + 1]) AS worker, o_orderstatus AS health FROM good)
+  SELECT o_custkey AS store, 'active_tasks' AS part, 't' || o_orderkey AS entry, '0' AS value FROM good
+  UNION ALL SELECT o_custkey, 'active_tasks', 'p' || o_orderpriority, '1' FROM good
+  UNION ALL SELECT o_custkey, 'buffer_usage', o_custkey::VARCHAR, (o_orderkey % 5)::VARCHAR FROM good
+  UNION ALL SELECT coalesce(store, user_id), 'process_health', coalesce(worker, user_id)::VARCHAR, CASE WHEN user_id IS NOT NULL THEN 'restarted' ELSE health END
+    FROM health FULL JOIN failed ON store = user_id AND worker = user_id""")
+def restore_state(spark: SparkSession, sf: str) -> DataFrame:
+    """A store per customer, every seventh version spoiled; a failed worker belongs to the store of its number."""
+    key, worker = F.col("o_orderkey"), F.col("o_custkey")
+    payload = F.to_json(F.struct(
+        F.array(F.concat(F.lit("t"), key), F.concat(F.lit("p"), F.col("o_orderpriority"))).alias("active_tasks"),
+        F.create_map(worker.cast("string"), key % 5).alias("buffer_usage"),
+        F.create_map(worker.cast("string"), F.col("o_orderstatus"), (worker + 1).cast("string"), F.col("o_orderstatus")).alias("process_health")))
+    saved = B.table(spark, sf, "orders").select(worker.alias("store"), key.alias("version"), payload.alias("payload"))
+    good = F.sha2(F.col("payload").cast("binary"), 256)
+    saved = saved.withColumn("checksum", F.when(F.col("version") % 7 == 0, F.reverse(good)).otherwise(good))
+    failures = B.events(spark, sf).filter(F.col("event_type") == "error").select(F.col("user_id").alias("store"), F.col("user_id").alias("worker_id"))
+    return R.restore_state(saved, failures, ["store"])
 
 
 @query(f"""WITH {EV} SELECT us AS ts_us, seq, CASE event_type WHEN 'error' THEN 'failure' WHEN 'signup' THEN 'restart' WHEN 'view' THEN 'restore' ELSE 'checkpoint' END AS event, worker_id, message
@@ -94,10 +118,27 @@ def recovery_events(spark: SparkSession, sf: str) -> DataFrame:
     return R.recovery_events(B.log_events(spark, sf)).withColumn("ts_us", micros("ts")).drop("ts")
 
 
-@query(f"WITH {STATS} SELECT worker_id, total_activities AS n, round(total_idle_time, 4) AS idle FROM stats")
+@query(f"""WITH {STATS}, {TASKS}, c AS (SELECT sum(round(value * 100)::BIGINT) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS n FROM events)
+  SELECT 'activities' AS part, worker_id, total_activities AS n, round(total_idle_time, 4) AS total FROM stats
+  UNION ALL SELECT 'gauges', worker_id, count(*), round(sum(value), 4) FROM ev GROUP BY 2
+  UNION ALL SELECT 'tasks', -1, count(*), round(sum(duration), 4) FROM tasks
+  UNION ALL SELECT 'error_logs', worker_id, count(*), sum(length(message))::DOUBLE FROM ev GROUP BY 2
+  UNION ALL SELECT 'system_metrics', -1, count(*), sum(n)::DOUBLE FROM c""")
 def export_activity_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part of the export, read back from its files."""
     path = scratch_path(spark, "export")
-    logs.export_activity_json(path, B.activities(spark, sf), {"gauges": B.gauges(spark, sf), "tasks": A.task_lifecycle(B.task_events(spark, sf))})
-    nested = spark.read.schema("worker_id bigint, activities array<struct<idle_time:double>>").json(f"{path}/activities")
-    total = F.aggregate("activities", F.lit(0.0), lambda acc, a: acc + a["idle_time"])
-    return nested.select("worker_id", F.size("activities").cast("bigint").alias("n"), F.round(total, 4).alias("idle"))
+    logs.export_activity_json(path, B.activities(spark, sf), {
+        "gauges": B.gauges(spark, sf), "tasks": A.task_lifecycle(B.task_events(spark, sf)), "error_logs": B.log_events(spark, sf),
+        "system_metrics": B.system_metrics(spark, sf)}, piece=100)
+
+    def part(name: str, schema: str, n: Column, total: Column, worker: str = "worker_id") -> DataFrame:
+        rows = spark.read.schema(schema).json(f"{path}/{name}")
+        return rows.groupBy(F.expr(worker).cast("bigint").alias("worker_id")).agg(n.cast("bigint").alias("n"), F.round(total, 4).alias("total")).select(
+            F.lit(name).alias("part"), "worker_id", "n", "total")
+    idle, rows = F.aggregate("activities", F.lit(0.0), lambda acc, a: acc + a["idle_time"]), F.count(F.lit(1))
+    parts = [part("activities", "worker_id bigint, activities array<struct<idle_time:double>>", F.sum(F.size("activities")), F.sum(idle)),
+             part("gauges", "worker_id bigint, value double", rows, F.sum("value")),
+             part("tasks", "duration double", rows, F.sum("duration"), "-1"),
+             part("error_logs", "worker_id bigint, message string", rows, F.sum(F.length("message")).cast("double")),
+             part("system_metrics", "disk_read_bytes bigint", rows, F.sum("disk_read_bytes").cast("double"), "-1")]
+    return reduce(DataFrame.union, parts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from arrayflow.operators.catalog import assign_ids
@@ -68,6 +68,16 @@ def write_tensors(tensors: DataFrame, path: str, order: Sequence[str] | None = N
     tensors.write.mode("append").option("compression", "zstd").parquet(path)
 
 
+def write_observed(writes: DataFrame, path: str) -> dict[str, int]:
+    """Append the rows that are ``ok`` and return the totals that the write itself has seen: no second pass reads anything."""
+    seen, ok = Observation(), F.coalesce("ok", F.lit(False))
+    size = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("bigint")
+    observed = writes.observe(seen, F.count_if(ok).alias("total_writes"), F.coalesce(F.sum(F.when(ok, size)), F.lit(0)).alias("total_bytes_written"),
+                              F.count_if(~ok).alias("failed_writes"))
+    observed.filter(ok).drop("ok").write.mode("append").option("compression", "zstd").parquet(path)
+    return dict(seen.get)
+
+
 def dataset_size(spark: SparkSession, path: str) -> DataFrame:
     """Files and bytes of any kind below a directory, from its listing; no file is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")

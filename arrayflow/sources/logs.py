@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arrayflow.functions.ordered import number
 from arrayflow.operators.activity import recent_intervals
 from arrayflow.operators.tensors import batched
 
 # Big-endian op, time, offset, length, meta length; then meta; then MD5.
 WAL_HEADER = ">BdqqI"
 DIGEST_BYTES = 16
+#: Intervals in one object of an export.
+EXPORT_PIECE = 10_000
 WAL_SCHEMA = ("path string, seq bigint, op tinyint, ts double, offset bigint, length bigint, meta string, "
               "header binary, checksum binary, checksum_ok boolean, bytes_left bigint")
 
@@ -77,11 +80,15 @@ def read_wal(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_activity_json(path: str, activities: DataFrame, tables: Mapping[str, DataFrame] | None = None,
-                         max_history: int | None = None) -> None:
-    """Write activity as JSON: closed intervals nested under their worker, every other table one object per row."""
-    fields = [c for c in activities.columns if c != "worker_id"]
-    nested = recent_intervals(activities, max_history).groupBy("worker_id").agg(
-        F.sort_array(F.collect_list(F.struct("end_time", "seq", *[c for c in fields if c not in ("end_time", "seq")]))).alias("activities"))
+                         max_history: int | None = None, piece: int = EXPORT_PIECE) -> None:
+    """Write activity as JSON: closed intervals nested under their worker, every other table one object per row.
+
+    A worker's intervals are nested in order, ``piece`` to an object, so that no object grows with its worker's history.
+    """
+    history = number(recent_intervals(activities, max_history), ["worker_id"], ["end_time", "seq"], "_rn")
+    fields = [c for c in activities.columns if c not in ("worker_id", "end_time", "seq")]
+    nested = history.groupBy("worker_id", F.floor((F.col("_rn") - 1) / piece).alias("piece")).agg(
+        F.sort_array(F.collect_list(F.struct("end_time", "seq", *fields))).alias("activities"))
     nested.write.mode("overwrite").json(f"{path}/activities")
     for name, table in (tables or {}).items():
         table.write.mode("overwrite").json(f"{path}/{name}")
