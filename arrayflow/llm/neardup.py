@@ -8,7 +8,8 @@ A shingle that no other candidate has cannot be shared, so that a class whose ot
 goes at once, and pairs are only formed where both have enough. A list of postings is never expanded into all its pairs while its members may be linked through fewer: in each of a few
 rounds every class is compared with the best of its lists' leaders, links are contracted to components, and only pairs of
 different components that share a posting go on. What is left after the rounds is compared in full, so no link between
-components is lost.
+components is lost: a list is dealt to blocks of bounded size, each task counts the common shingles of all members of two
+blocks at once, and hands on one link per component it has joined, not the pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ from arrayflow.llm.shingles import WordHashes, mix, runs_of
 #: deviations below the expected matches, with a probability of 1.5e-9 at 0.85 and 9e-10 at 0.8.
 COORDINATES, MARGIN = 64, 6.5
 ROUNDS = 3
+#: Members and shingles that a block of a list should hold.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 21
+#: Shingles that are counted at once.
+_WIDTH = 4096
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -76,17 +81,80 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
 
 
 def postings(classes: DataFrame, matches: int) -> DataFrame:
-    """``posting, id, own``: each class under its rarest coordinate-value pairs, as far as another class may meet it there.
-
-    ``own`` are all postings of the class.
-    """
+    """``posting, id``: each class under its rarest coordinate-value pairs, as far as another class may meet it there."""
     pairs = classes.select("id", F.posexplode("signature").alias("at", "value")).select(
         "id", (F.col("at").cast("bigint") * F.lit(1 << 32) + F.col("value")).alias("posting"))
     often = pairs.groupBy("posting").agg(F.count(F.lit(1)).alias("n"))
     ranked = pairs.join(often, "posting").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "posting"))).alias("own"))
     prefix = F.slice("own", 1, COORDINATES - matches + 1)
     own = F.transform(F.filter(prefix, lambda p: p["n"] > 1), lambda p: p["posting"])
-    return ranked.select("id", own.alias("own")).select(F.explode("own").alias("posting"), "id", "own")
+    return ranked.select(F.explode(own).alias("posting"), "id")
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of different sets."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # A shingle of one set only is in no intersection.
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    kept = shared[place]
+    owner, column = owner[kept], number[place[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((n, n))
+    for low in range(0, int(shared.sum()), _WIDTH):
+        a, b = np.searchsorted(column, [low, low + _WIDTH])
+        held = np.zeros((n, min(_WIDTH, int(shared.sum()) - low)), np.float32)
+        held[owner[a:b], column[a:b] - low] = 1
+        # Exact: a float32 holds whole numbers up to 2 ** 24, and a chunk adds 4096 at most.
+        out += held @ held.T
+    return out.astype(np.int64)
+
+
+def block_links(components: np.ndarray, sets: list[np.ndarray], hundred: int) -> list[tuple[int, int]]:
+    """``(root, component)`` for every component that links join to another one within the block."""
+    if len(sets) < 2 or (components == components[0]).all():
+        return []
+    sizes, common = np.array([len(x) for x in sets]), common_counts(sets)
+    linked = common * 100 >= (sizes[:, None] + sizes - common) * hundred
+    linked |= components[:, None] == components
+    root = np.full(len(sets), -1)
+    for start in range(len(sets)):
+        front = np.array([start]) if root[start] < 0 else np.zeros(0, int)
+        while len(front):
+            root[front] = start
+            front = np.flatnonzero(linked[front].any(0) & (root < 0))
+    return sorted({(int(components[r]), int(c)) for r, c in zip(root.tolist(), components.tolist(), strict=True) if components[r] != c})
+
+
+def listed_links(members: DataFrame, sets: DataFrame, hundred: int) -> DataFrame:
+    """Links ``a, b`` between components, from all pairs in the lists of rows ``posting, id, n, component``."""
+    sizes = members.groupBy("posting").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = members.join(sizes, "posting").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    # Two blocks meet in one task, a block alone in its own.
+    placed = dealt.select("posting", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "component")
+    group = ["posting", "low", "high"]
+    together = placed.join(sets, "id").select(*group, "component", "shingles").repartition(parallelism(members.sparkSession), *group).sortWithinPartitions(*group)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, components, own = None, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = block_links(np.array(components), own, hundred) if len(own) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+        for batch in batches:
+            for *at, component, shingles in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if at != key:
+                    yield from flush()
+                    key, components, own = at, [], []
+                components.append(component)
+                own.append(shingles.values.to_numpy())
+        yield from flush()
+    return together.mapInArrow(work, "a bigint, b bigint").distinct()
 
 
 def _grouped(docs: DataFrame, similarity: float, size: int, id_col: str, text_col: str, rounds: int) -> DataFrame:
@@ -148,7 +216,7 @@ def _grouped(docs: DataFrame, similarity: float, size: int, id_col: str, text_co
             named = posted.withColumn("component", F.col("id"))
         else:
             named = posted.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        members = named.select("posting", F.struct("id", "n", "common", "component", "own").alias("m"))
+        members = named.select("posting", F.struct("id", "n", "common", "component").alias("m"))
         # Lists whose members are all in one component are done. The first leader is the member with the smallest share of
         # shingles of its own, which is the nearest to most others; a hash picks another one in each further round.
         central = F.col("m.common") / F.col("m.n") if turn == 0 else F.lit(0.0)
@@ -157,18 +225,15 @@ def _grouped(docs: DataFrame, similarity: float, size: int, id_col: str, text_co
         mixed = members.join(spans.where("low < high").select("posting", F.col("lead.m").alias("lead")), "posting")
         other = F.col("lead.component") != F.col("m.component")
         if last:
-            left, right = mixed.select("posting", F.col("m").alias("lead")), mixed.select(F.col("posting").alias("same"), "m")
-            # Of the lists that two classes share, one forms the pair.
-            once = F.array_min(F.array_intersect("lead.own", "m.own")) == F.col("posting")
-            pairs = left.join(right, (F.col("posting") == F.col("same")) & other & (F.col("lead.id") < F.col("m.id")) & enough("lead", "m") & once)
+            found = listed_links(mixed.select("posting", "m.id", "m.n", "m.component"), sets, hundred)
         else:
             pairs = mixed.where(other & enough("lead", "m"))
-        found = matched(pairs.select(F.col("lead.id").alias("a"), F.col("m.id").alias("b"), F.col("lead.component").alias("ca"),
-                                     F.col("m.component").alias("cb")).distinct())
-        if not last:
+            close = matched(pairs.select(F.col("lead.id").alias("a"), F.col("m.id").alias("b"), F.col("lead.component").alias("ca"),
+                                         F.col("m.component").alias("cb")).distinct())
             # One leader per class and round: the one with the most matches.
-            found = found.groupBy("b").agg(F.max(F.struct("matches", "a", "ca", "cb")).alias("top")).select("top.a", "b", "top.ca", "top.cb")
-        links, seen = pinned_with(confirmed(found), "confirmed", n=F.count(F.lit(1)))
+            best = close.groupBy("b").agg(F.max(F.struct("matches", "a", "ca", "cb")).alias("top")).select("top.a", "b", "top.ca", "top.cb")
+            found = confirmed(best)
+        links, seen = pinned_with(found, "confirmed", n=F.count(F.lit(1)))
         # Leaders that link nothing more are not worth another round.
         turn = turn + 1 if seen["n"] else rounds
         if seen["n"]:
