@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Sequence
 from itertools import islice
 
@@ -20,12 +21,16 @@ _PIECES = re.compile(rf"[{_SPACE}]*[{_LETTER}]+(?=[{_SPACE}.,;:!?|]|\Z)|[{_SPACE
 # Other white space may be joined to ASCII white space; such a text is encoded as a whole.
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LONGEST_CACHED = 64
+#: Characters whose pieces are held at once.
+_AT_ONCE = 1 << 20
+_PIECES_AT_ONCE = 512
+_LITTLE = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 class Encoder:
     """Encodes batches of texts; each result is the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
@@ -33,18 +38,36 @@ class Encoder:
         if any(token.normalized for token in added):
             raise ValueError(f"{path}: added tokens that are looked for in the normalized text are not supported")
         self._added = [token.content for token in added]
-        self._cached, self._known = cached, {}
+        # Ids of pieces, and the pieces that more than one group of texts had since the cache was last full.
+        self._cached, self._known, self._again = cached, {}, set()
 
     def _plain(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        # Few encodings at once: they are read while they are in the processor's cache.
+        for low in range(0, len(texts), _PIECES_AT_ONCE):
+            encoded = self._tokenizer.encode_batch_fast(texts[low:low + _PIECES_AT_ONCE], add_special_tokens=False)
+            out += [_LITTLE[n](*ids) if (n := len(ids := e.ids)) < len(_LITTLE) else np.array(ids, "<u4").tobytes() for e in encoded]
+        return out
 
     def _whole(self, text: str) -> bool:
         return _OTHER_SPACE.search(text) is not None or any(token in text for token in self._added)
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= _AT_ONCE:
+                out += self._group(held)
+                held, size = [], 0
+        return out + self._group(held)
+
+    def _group(self, texts: Sequence[str]) -> list[bytes]:
         pieces = [None if self._whole(t) else _PIECES.findall(t) for t in texts]
         known = self._known
-        new = set().union(*(p for p in pieces if p)).difference(known)
+        used = set().union(*(p for p in pieces if p))
+        new = used.difference(known)
+        self._again.update(used - new)
         short = [p for p in new if len(p) <= _LONGEST_CACHED]
         once = [p for p in new if len(p) > _LONGEST_CACHED]
         known.update(zip(short + once, self._plain(short + once), strict=True))
@@ -53,10 +76,15 @@ class Encoder:
         for piece in once:
             del known[piece]
         if len(known) > self._cached:
-            for oldest in list(islice(known, len(known) // 2)):
-                del known[oldest]
+            self._forget()
         return out
 
+    def _forget(self) -> None:
+        """Keep the pieces that were used again, at most half of the cache, so that rare ones make room for new ones."""
+        again = [p for p in self._again if p in self._known]
+        self._known = {p: self._known[p] for p in islice(again, self._cached // 2)}
+        self._again = set()
+
 
 _encoders: dict[str, Encoder] = {}
 
