@@ -51,17 +51,25 @@ def recent_intervals(activities: DataFrame, max_history: int | None = None) -> D
 
 def worker_stats(activities: DataFrame, max_history: int | None = None) -> DataFrame:
     """Count, busy and idle seconds, idle percentage and mean usage per worker."""
-    return _worker_totals(recent_intervals(activities, max_history), [])
+    return _worker_totals(recent_intervals(activities, max_history))
 
 
-def _worker_totals(history: DataFrame, extra: Sequence[Column]) -> DataFrame:
-    stats = history.groupBy("worker_id").agg(
-        F.count(F.lit(1)).alias("total_activities"),
-        (F.sum("duration_us") / float(MICROS)).alias("total_duration"),
-        F.sum("idle_time").alias("total_idle_time"),
-        F.avg("cpu_usage").alias("avg_cpu_usage"),
-        F.avg("memory_usage").alias("avg_memory_usage"),
-        *extra)
+def _worker_totals(history: DataFrame, means: Sequence[str] = ("cpu_usage", "memory_usage"), named: bool = False) -> DataFrame:
+    """Totals and means per worker; ``named`` adds the name of its first interval (at one instant: no sequence first).
+
+    Sums per worker and name hash, as the first time does; only these few rows per worker are then sorted for the name.
+    """
+    sums = {"total_activities": F.count(F.lit(1)), "_busy_us": F.sum("duration_us"), "total_idle_time": F.sum("idle_time")}
+    sums |= {f"_sum_{m}": F.sum(m) for m in means} | {f"_n_{m}": F.count(m) for m in means}
+    if named:
+        first = F.min(moment("end_time", F.coalesce("seq", F.lit(-1))))
+        parts = history.groupBy("worker_id", "worker_name").agg(*[c.alias(n) for n, c in sums.items()], first.alias("_first"))
+        stats = parts.groupBy("worker_id").agg(*[F.sum(n).alias(n) for n in sums], F.min_by("worker_name", "_first").alias("worker_name"))
+    else:
+        stats = history.groupBy("worker_id").agg(*[c.alias(n) for n, c in sums.items()])
+    totals = ["worker_id", "total_activities", (F.col("_busy_us") / float(MICROS)).alias("total_duration"), "total_idle_time"]
+    averages = [F.try_divide(F.col(f"_sum_{m}").cast("double"), f"_n_{m}").alias(f"avg_{m}") for m in means]
+    stats = stats.select(*totals, *averages, *(["worker_name"] if named else []))
     return stats.withColumn("idle_percentage", ratio(F.col("total_idle_time") * 100, "total_duration"))
 
 
@@ -75,9 +83,7 @@ def latest_gauges(gauges: DataFrame, metrics: Sequence[str] = GAUGES, by: Sequen
 def process_stats(activities: DataFrame, gauges: DataFrame, max_history: int | None = None) -> DataFrame:
     """Worker statistics with name, stage, mean and current gauges, and status."""
     history = recent_intervals(activities, max_history)
-    means = [F.avg(g).alias(f"avg_{g}") for g in GAUGES]
-    first_name = F.min_by("worker_name", F.struct("end_time", "seq")).alias("worker_name")
-    stats = _worker_totals(history, [first_name, *means])
+    stats = _worker_totals(history, ["cpu_usage", "memory_usage", *GAUGES], named=True)
     status = (activities.filter(~is_closed()).groupBy("worker_id")
               .agg(F.max(F.when(F.col("idle_time") > 0, "idle").otherwise("active")).alias("open_status")))
     current = latest_gauges(gauges)

@@ -111,11 +111,11 @@ def assign_ids(df: DataFrame, order: Sequence[str], start: int = 0, out: str = "
     return number(df, [], order, "_rn").withColumn(out, F.col("_rn") - 1 + start).drop("_rn")
 
 
-def latest_entries(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """One row per id out of additions and updates: every column's latest non-null value."""
-    columns = [c for c in rows.columns if c not in ("tensor_id", *order)]
+def latest_entries(rows: DataFrame, order: Sequence[str], earliest: Sequence[str] = ()) -> DataFrame:
+    """One row per id out of additions and updates: every column's latest non-null value, the smallest one of ``earliest``."""
+    columns = [c for c in rows.columns if c not in ("tensor_id", *order, *earliest)]
     newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in columns]
-    merged = rows.groupBy("tensor_id").agg(*[F.max(c).alias(c) for c in order], *newest)
+    merged = rows.groupBy("tensor_id").agg(*[F.max(c).alias(c) for c in order], *[F.min(c).alias(c) for c in earliest], *newest)
     return merged.select(*rows.columns)
 
 

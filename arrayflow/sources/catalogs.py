@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arrayflow.operators.catalog import latest_entries
@@ -51,5 +50,4 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     rows = _read(spark, f"{CATALOG}, updated_at timestamp", path, "parquet")
     if rows is None:
         return spark.createDataFrame([], CATALOG)
-    first = F.min("created_at").over(W.partitionBy("tensor_id"))
-    return latest_entries(rows.withColumn("created_at", first), ["updated_at"]).drop("updated_at")
+    return latest_entries(rows, ["updated_at"], earliest=["created_at"]).drop("updated_at")

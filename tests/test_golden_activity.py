@@ -31,6 +31,20 @@ def test_worker_stats(frame):
     assert A.worker_stats(activities(frame, [(1, 0.0, 0.0, 1.0)])).first().idle_percentage == 0.0
 
 
+def test_first_name(frame):
+    """The name of the first interval stays, at one instant the one without a sequence; sums cover all names."""
+    acts = activities(frame, [(1, 5.0, 9.0, 1.0), (1, 0.0, 5.0, 1.0), (1, 9.0, 10.0, 1.0), (2, 0.0, 1.0, 0.0), (2, 0.0, 1.0, 0.0)])
+    names = F.concat(F.lit("Writer-"), F.col("seq"))
+    acts = acts.withColumns({"worker_name": F.when(F.col("seq") == 2, F.lit(None)).otherwise(names),
+                             "seq": F.when(F.col("seq") != 4, F.col("seq"))})
+    gauges = frame([(1, "throughput", 0.0, 1, 1.0)], GAUGE, ["ts"])
+    stats = {r.worker_id: r for r in A.process_stats(acts, gauges).collect()}
+    assert (stats[1].worker_name, stats[1].total_activities, stats[1].total_duration, stats[1].avg_queue_size) == ("Writer-1", 3, 10.0, 10.0)
+    assert (stats[2].worker_name, stats[2].stage) == ("Writer-4", "writer")
+    none = A.worker_stats(acts.withColumn("cpu_usage", F.lit(None).cast("double"))).first()
+    assert none.avg_cpu_usage is None and none.avg_memory_usage == 2.0
+
+
 def test_history_is_bounded(frame):
     data = [(1, float(i), float(i) + 1, 0.0) for i in range(6)]
     assert A.worker_stats(activities(frame, data), max_history=4).first().total_activities == 4

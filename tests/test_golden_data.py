@@ -58,6 +58,19 @@ def test_catalog_file(spark, tmp_path, rows):
     assert rows(catalogs.load_catalog(spark, str(path)), "tensor_id", "name", "shape", "compressed_file") == [(0, "a", [2, 3], None), (7, "b", [1], "g.zst")]
 
 
+def test_appended_catalog_keeps_first_time(spark, tmp_path):
+    """The earliest creation and the latest non-null fields, in one aggregation without a window."""
+    path = str(tmp_path / "catalog")
+    entry = "tensor_id bigint, name string, filename string, shape array<bigint>, dtype string, created_at timestamp, compressed_file string"
+    for name, second in (("a", 10), ("b", 30), (None, 40)):
+        made = spark.createDataFrame([(1, name, "f", [2], "int8", None, None)], entry)
+        catalogs.append_catalog(made.withColumn("created_at", F.timestamp_seconds(F.lit(second))), path)
+    found = catalogs.read_catalog(spark, path)
+    row = found.select("name", F.unix_micros("created_at").alias("t"), "compressed_file").first()
+    assert tuple(row) == ("b", 10_000_000, None)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_missing_appended_catalog_is_empty(spark, tmp_path):
     assert catalogs.read_catalog(spark, str(tmp_path / "none")).count() == 0
 
