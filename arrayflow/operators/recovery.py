@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arrayflow.functions.ordered import keep_last
@@ -27,22 +27,36 @@ def valid_entries(wal: DataFrame) -> DataFrame:
     return wal.filter(F.unhex(F.md5(F.concat(F.col("header"), F.col("meta").cast("binary")))) == F.col("checksum"))
 
 
-def _without(wal: DataFrame, resolving: Sequence[int], by: Sequence[str]) -> DataFrame:
-    """Intents no entry of the ``resolving`` kinds names. The resolving side is made distinct before the join."""
-    keys = [*by, "offset", "length", "_meta"]
-    keyed = wal.withColumn("_meta", canonical_json("meta"))
-    resolved = keyed.filter(F.col("op").isin(list(resolving))).select(*keys).distinct()
-    return keyed.filter(F.col("op") == INTENT).join(resolved, keys, "left_anti").select(*wal.columns)
-
+def _without(wal: DataFrame, resolving: Sequence[int], by: Sequence[str], split: int) -> DataFrame:
+    """Intents no entry of the ``resolving`` kinds names: the log is read once, every meta parsed once, one exchange by key.
 
-def uncommitted(wal: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Write intents without a commit anywhere in the log; duplicates stay or go together."""
-    return _without(wal, [COMMIT], by)
+    A key is (``by``, offset, length, SHA-256 of the canonical meta); one with a null in it names nothing. Resolving entries
+    travel as keys alone, once for each of the ``split`` parts that a key's intents are dealt to.
+    """
+    keys = [*by, "offset", "length", "_meta"]
+    intent = F.col("op") == INTENT
+    deal = F.when(intent, F.array(F.pmod(F.xxhash64(*wal.columns), F.lit(split)))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.lit(split - 1).cast("bigint")))
+    entries = wal.filter(F.col("op").isin(INTENT, *resolving)).select(
+        *by, "offset", "length", F.unhex(F.sha2(canonical_json("meta").cast("binary"), 256)).alias("_meta"), (~intent).alias("_resolves"),
+        F.when(intent, F.struct(*wal.columns)).alias("_entry"), *([F.explode(deal).alias("_part")] if split > 1 else []))
+    named = F.max("_resolves").over(Window.partitionBy(*keys, *(["_part"] if split > 1 else [])))
+    whole = F.lit(True)
+    for key in keys:
+        whole = whole & F.col(key).isNotNull()
+    return entries.withColumn("_named", named & whole).filter("NOT _resolves AND NOT _named").select("_entry.*")
+
+
+def uncommitted(wal: DataFrame, by: Sequence[str] = (), split: int = 1) -> DataFrame:
+    """Write intents without a commit anywhere in the log; duplicates stay or go together.
+
+    Where one intent is repeated so often that a task should not hold all of it, ``split`` deals each key to so many tasks.
+    """
+    return _without(wal, [COMMIT], by, split)
 
 
-def unresolved(wal: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Write intents with neither commit nor rollback."""
-    return _without(wal, [COMMIT, ROLLBACK], by)
+def unresolved(wal: DataFrame, by: Sequence[str] = (), split: int = 1) -> DataFrame:
+    """Write intents with neither commit nor rollback; ``split`` as in :func:`uncommitted`."""
+    return _without(wal, [COMMIT, ROLLBACK], by, split)
 
 
 def rotate(checkpoints: DataFrame, keep: int = KEEP_VERSIONS, by: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrayflow.operators import tensors as T
+from arrayflow.operators.layout import assemble
 from arrayflow.plans import bindings as B
 from arrayflow.plans.registry import query, rounded
 from arrayflow.session import scratch_path
@@ -51,6 +52,37 @@ def rejected_containers(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.filter("NOT ok").select("tensor_id", "reason").union(T.undecodable(parsed.filter("ok").select("tensor_id", "header.dtype", "header.shape", "payload")))
 
 
+def customer_files(spark: SparkSession, sf: str) -> str:
+    """One framed file per fifty customers: their names in order, ended by the line end that the writer adds."""
+    customers = B.table(spark, sf, "customer").groupBy(F.expr("c_custkey div 50").alias("file")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))).alias("rows"))
+    tensors = customers.select("file", F.array(F.size("rows").cast("bigint")).alias("shape"), F.lit("str").alias("dtype"),
+                               F.encode(F.array_join(F.col("rows.c_name"), ","), "UTF-8").alias("payload"))
+    path = scratch_path(spark, "framed")
+    framed = containers.frame_containers(tensors, ["shape", "dtype"])
+    framed.select("file", F.col("content").cast("string")).write.option("compression", "none").partitionBy("file").text(path)
+    return path
+
+
+NAMES = """names AS (SELECT c_custkey // 50 AS file, count(*) AS n, string_agg(c_name, ',' ORDER BY c_custkey) || chr(10) AS payload FROM customer GROUP BY 1)"""
+FILE_NO = r"/file=(\d+)/"
+
+
+@query(f"WITH {NAMES} SELECT file::BIGINT AS file, n, 'str' AS dtype, strlen(payload)::BIGINT AS payload_bytes, true AS ok FROM names")
+def read_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Shapes and payload sizes of files of which only the headers are read."""
+    read = containers.read_headers(spark, customer_files(spark, sf))
+    return read.select(F.regexp_extract("path", FILE_NO, 1).cast("bigint").alias("file"), F.col("header.shape")[0].alias("n"), F.col("header.dtype").alias("dtype"), "payload_bytes", "ok")
+
+
+@query(f"WITH {NAMES} SELECT file::BIGINT AS file, ceil(strlen(payload) / 256)::BIGINT AS n_ranges, true AS complete, md5(payload) AS digest FROM names")
+def read_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads read in ranges of 256 bytes and put together again."""
+    ranges = containers.payload_ranges(containers.read_headers(spark, customer_files(spark, sf)), 256)
+    chunks = containers.read_ranges(ranges)
+    counts = ranges.filter("chunk_index = 0").select("file_id", F.col("n_chunks").alias("n_ranges"))
+    return assemble(chunks).join(counts, "file_id").select(F.regexp_extract("file_id", FILE_NO, 1).cast("bigint").alias("file"), "n_ranges", "complete", F.md5("payload").alias("digest"))
+
+
 @query(DOCS)
 def write_tensors(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "tensors")

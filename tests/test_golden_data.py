@@ -94,6 +94,57 @@ def test_container_files(spark, tmp_path, rows):
     assert rows(T.decode_cells(whole)) == [(5, i, float(i)) for i in range(6)]
 
 
+def test_headers_without_payloads(spark, tmp_path):
+    """A payload of 3 GB is listed from a few hundred bytes of its file, and its last range is read alone."""
+    huge = tmp_path / "huge file%20.bin"
+    huge.write_bytes(framed({"shape": [3 << 30], "dtype": "int8"}, b""))
+    begin = huge.stat().st_size
+    with open(huge, "r+b") as file:
+        file.truncate(begin + (3 << 30))
+        file.seek(-2, os.SEEK_END)
+        file.write(b"xy")
+    (tmp_path / "torn.bin").write_bytes(b"\0\0\1")
+    (tmp_path / "claim.bin").write_bytes((99).to_bytes(8, "big") + b"{}")
+    (tmp_path / "text.bin").write_bytes((4).to_bytes(8, "big") + b"!!!!data")
+    (tmp_path / "none.bin").write_bytes(framed({"shape": [0], "dtype": "int8"}, b""))
+
+    def read_so_far():
+        with open("/proc/self/io") as counts:
+            return int(counts.readline().split()[1])
+    before = read_so_far()
+    assert containers.head(f"file:{huge}", huge.stat().st_size)[1] == begin
+    assert read_so_far() - before < 10_000
+
+    headers = containers.read_headers(spark, str(tmp_path))
+    got = {os.path.basename(r.path): r for r in headers.collect()}
+    assert {n: r.reason for n, r in got.items() if not r.ok} == {"torn.bin": "short file", "claim.bin": "short file", "text.bin": "unreadable header"}
+    assert got[huge.name].header.shape == [3 << 30] and (got[huge.name].payload_at, got[huge.name].payload_bytes) == (begin, 3 << 30)
+
+    ranges = containers.payload_ranges(headers.filter("payload_bytes > 0"), 1 << 20)
+    assert ranges.count() == 3 << 10
+    last = containers.read_ranges(ranges.filter("chunk_index = n_chunks - 1")).select(F.octet_length("chunk").alias("n"), F.expr("substring(chunk, -2)").alias("end")).first()
+    assert (last.n, bytes(last.end)) == (1 << 20, b"xy")
+
+
+def test_long_header_is_rejected(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(containers, "HEADER_LIMIT", 10)
+    (tmp_path / "a.bin").write_bytes(framed({"shape": [1], "dtype": "int8"}, b"1"))
+    assert containers.head(str(tmp_path / "a.bin"), 100) == (None, None, "long header")
+
+
+def test_ranges_put_together(spark, tmp_path):
+    """Ranges give the payload that the whole file gives; a file cut after its listing is an error."""
+    payload = bytes(range(256)) * 5
+    (tmp_path / "a.bin").write_bytes(framed({"shape": [1280], "dtype": "uint8"}, payload))
+    (tmp_path / "none.bin").write_bytes(framed({"shape": [0], "dtype": "uint8"}, b""))
+    headers = containers.read_headers(spark, str(tmp_path))
+    chunks = containers.read_ranges(containers.payload_ranges(headers, 300))
+    assert {os.path.basename(r.file_id): bytes(r.payload) for r in L.assemble(chunks).collect()} == {"a.bin": payload, "none.bin": b""}
+    ranges = containers.payload_ranges(headers.withColumn("payload_bytes", F.col("payload_bytes") + 1), 300)
+    with pytest.raises(Exception, match="ends before byte"):
+        containers.read_ranges(ranges).count()
+
+
 def test_compressed_container_and_headerless_file(spark, tmp_path, frame):
     data = np.zeros(100, dtype="float64").tobytes()
     frame_bytes = zstandard.ZstdCompressor(level=3).compress(data)
@@ -340,6 +391,19 @@ def test_wal_resolution(frame, rows):
     assert rows(R.unresolved(wal), "offset") == [(10,)]
 
 
+@pytest.mark.parametrize("split", [1, 3])
+def test_wal_in_one_pass(frame, rows, split):
+    """One scan, one exchange; a key with a null in it is resolved by nothing; a hot key in parts loses and keeps the same rows."""
+    hot = [(1, 7, 7, '{"a": [1, {"y": 1, "x": 2}]}', i) for i in range(200)] + [(2, 7, 7, '{"a":[1.0,{"x":2,"y":1}]}', 0)]
+    odd = [(1, 1, 1, None, 1), (2, 1, 1, None, 1), (1, None, 1, "{}", 2), (2, None, 1, "{}", 2), (1, 3, 1, "no json", 3), (2, 3, 1, "no json", 3), (9, 4, 1, "{}", 4), (1, 4, 1, "{}", 5), (3, 4, 1, "{}", 5)]
+    wal = frame(hot + odd, "op int, offset bigint, length bigint, meta string, n int")
+    left = R.uncommitted(wal, split=split)
+    assert left.columns == wal.columns and rows(left.select("n"), "n") == [(1,), (2,), (5,)]
+    assert rows(R.unresolved(wal, split=split).select("n"), "n") == [(1,), (2,)]
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan") == 1 and "Join" not in plan
+
+
 def test_duplicates_go_together(frame):
     wal = frame([(2, 1, 1, "{}"), (1, 1, 1, "{}"), (1, 1, 1, "{}"), (1, 2, 1, "{}"), (1, 2, 1, "{}")], "op int, offset bigint, length bigint, meta string")
     assert R.uncommitted(wal).count() == 2
