@@ -38,3 +38,7 @@ def test_move_pairs_without_groups(frame, rows):
 
 def test_best_moves_keep_their_sql(spark):
     assert compare(of(spark, "best_moves"), connect(SF), entry.oracle_sql()["best_moves"]) is None
+
+
+def test_project_moves(spark, counted):
+    assert rows_per_cluster(spark, "project_moves") == counted
