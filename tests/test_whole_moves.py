@@ -42,3 +42,7 @@ def test_best_moves_keep_their_sql(spark):
 
 def test_project_moves(spark, counted):
     assert rows_per_cluster(spark, "project_moves") == counted
+
+
+def test_move_effect(spark, counted):
+    assert {r.cluster: r.total for r in of(spark, "move_effect").collect()} == counted
