@@ -46,3 +46,7 @@ def test_project_moves(spark, counted):
 
 def test_move_effect(spark, counted):
     assert {r.cluster: r.total for r in of(spark, "move_effect").collect()} == counted
+
+
+def test_adaptive_threshold(spark, counted):
+    assert rows_per_cluster(spark, "adaptive_threshold") == counted
