@@ -50,3 +50,7 @@ def test_move_effect(spark, counted):
 
 def test_adaptive_threshold(spark, counted):
     assert rows_per_cluster(spark, "adaptive_threshold") == counted
+
+
+def test_recent_success(spark, counted):
+    assert {r.cluster: r.n for r in of(spark, "recent_success").collect()} == {c: min(n, 20) for c, n in counted.items()}
