@@ -111,5 +111,6 @@ def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
     """All versions of which every row is there."""
     rows = spark.read.parquet(path).withColumn("version", F.col("version").cast("bigint"))
     whole = rows.groupBy("version").agg((F.count(F.lit(1)) == F.max("n_rows")).alias("whole")).filter("whole")
-    return rows.join(whole.select("version"), "version", "left_semi").drop("n_rows")
+    # One row per version, each a folder that the driver has listed. A shuffle by version would put all its rows into one task.
+    return rows.join(F.broadcast(whole.select("version")), "version", "left_semi").drop("n_rows")
 
