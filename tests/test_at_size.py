@@ -21,3 +21,26 @@ def test_no_task_holds_a_whole_version(spark, tmp_path):
         assert {v: n for v, n in read.groupBy("version").count().collect()} == {1: 1000, 2: 1000}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_logs_are_read_in_batches(spark, rows, monkeypatch):
+    """Entries of many files are taken apart together; a file may be longer than a piece and be cut between batches."""
+    entries = spark.range(3000).selectExpr(
+        "concat('f', if(id < 900, 0, id % 400)) AS path", "id AS seq", "cast(id % 3 + 1 AS tinyint) AS op", "id / 8.0D AS ts", "-id AS offset", "id * 3 AS length",
+        "if(id % 50 = 0, '', concat('{\"n\": \"', if(id % 7 = 0, 'é', 'e'), id, '\"}')) AS meta", "id % 11 = 0 AS spoiled")
+    wanted = rows(entries.selectExpr("path", "op", "ts", "offset", "length", "meta", "NOT spoiled"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        for n in (10_000, 7):
+            monkeypatch.setattr(logs, "WAL_ROWS", n)
+            files = logs.wal_files(entries)
+            assert "ObjectHashAggregate" not in plan(files)
+            assert rows(files.groupBy().count()) == [(400,)]
+            parsed = logs.parse_wal(files).persist()
+            assert rows(parsed, "path", "op", "ts", "offset", "length", "meta", "checksum_ok") == wanted
+            first = parsed.filter("path = 'f0'").orderBy("seq").select("seq", "offset", "bytes_left").collect()
+            assert [r.seq for r in first] == list(range(len(first))) and [r.offset for r in first] == sorted((r.offset for r in first), reverse=True)
+            assert first[-1].bytes_left == 0 and all(a.bytes_left > b.bytes_left for a, b in zip(first, first[1:]))
+            parsed.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
