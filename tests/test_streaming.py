@@ -95,3 +95,17 @@ def test_rate_tasks_cycle(spark, frame):
         query.stop()
     made = spark.table("rate_tasks").collect()
     assert {r.kind for r in made} == {"random", "identity", "zeros"} and all(r.task_no == r.value % 6 for r in made)
+
+
+def test_intervals_keep_one_state_per_bucket(spark, frame, rows, tmp_path):
+    """Many workers share a state: its rows follow the buckets and batches, not the workers."""
+    data = [(w, float(100 + 7 * i + w % 5), 100 * w + i, "end" if (i + w) % 4 == 3 else "start", f"t{w}-{i}") for w in range(90) for i in range(12)]
+    events, path, out = frame(data, EVENTS, ["ts"]), str(tmp_path / "in"), str(tmp_path / "out")
+    feed_files(events, path, [f"seq % 100 % 3 = {p}" for p in range(3)])
+    feed_files(frame([(-1, 1e6, 0, "tick", None)], EVENTS, ["ts"]), path, ["true"])
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = (intervals.stream_intervals(stream, "200 seconds", buckets=3).writeStream.format("parquet").option("path", f"{out}/data")
+             .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert 0 < max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) < 90
+    assert rows(spark.read.parquet(f"{out}/data")) == rows(closed_of(events))
