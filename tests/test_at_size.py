@@ -1,5 +1,10 @@
 """What keeps a task's share bounded when its table grows."""
 
+import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from arrayflow.functions import ordered
 from arrayflow.sources import logs
 
 
@@ -44,3 +49,16 @@ def test_logs_are_read_in_batches(spark, rows, monkeypatch):
             parsed.unpersist()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("hashes", [1, 3, 1 << 16])
+def test_large_groups_among_crowded_hashes(spark, rows, small_groups, monkeypatch, hashes):
+    """Only rows of crowded hashes are counted by group; what is cut does not depend on how groups share hashes."""
+    monkeypatch.setattr(ordered, "KEY_HASHES", hashes)
+    df = spark.range(2000).selectExpr("if(id % 4 = 0, null, if(id % 4 = 1, -1, id div 8)) AS g", "id AS v", "cast(hash(id) % 10 AS bigint) AS n")
+    sliced = ordered.slice_rows(df, ["g"], ["v"])
+    assert "LeftSemi" in plan(sliced)
+    assert rows(sliced.filter(ordered.CUT).select("g").distinct()) == [(-1,), (None,)]
+    got = ordered.running_sum(df, ["g"], ["v"], {"total": "n"})
+    window = df.withColumn("total", F.sum("n").over(W.partitionBy("g").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+    assert rows(got) == rows(window)
