@@ -62,3 +62,20 @@ def test_large_groups_among_crowded_hashes(spark, rows, small_groups, monkeypatc
     got = ordered.running_sum(df, ["g"], ["v"], {"total": "n"})
     window = df.withColumn("total", F.sum("n").over(W.partitionBy("g").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
     assert rows(got) == rows(window)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_times_without_zone_are_cut(spark, rows, small_groups, zone):
+    """Also where a zone's clocks are changed: 2024-03-10 and 2024-11-03 in New York, and before 1970."""
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql("""SELECT id, timestampadd(MILLISECOND, (id div 3) * 700003, start) AS t FROM range(60)
+          JOIN (VALUES (TIMESTAMP_NTZ'2024-03-10 00:00:00.000001'), (TIMESTAMP_NTZ'2024-11-03 00:00:00'), (TIMESTAMP_NTZ'1969-12-31 22:00:00.5')) v(start)""")
+        df = df.withColumn("id", F.row_number().over(W.orderBy(F.col("t"), F.xxhash64("id", "t"))))
+        assert dict(df.dtypes)["t"] == "timestamp_ntz"
+        slices = ordered.slice_rows(df, [], ["t", "id"]).groupBy(ordered.SLICE).agg(F.count("t").alias("n"), F.min("t"), F.max("t")).orderBy(ordered.SLICE).collect()
+        assert len(slices) > 4 and max(s.n for s in slices) < 40
+        assert all(a[3] < b[2] for a, b in zip(slices, slices[1:]))
+        assert rows(ordered.number(df, [], ["t", "id"]).filter("rn <> id")) == []
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
