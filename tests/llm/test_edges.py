@@ -530,3 +530,22 @@ def test_pipeline(spark):
         for piece, at in enumerate(range(0, len(ids), 2048)):
             wanted[(r["doc_id"], piece, at, len(ids[at:at + 2048]), zlib.crc32(ids[at:at + 2048].tobytes()))] += r["times"]
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == +wanted
+
+
+def test_hash_is_sparks(spark):
+    from pyspark.sql import functions as F
+
+    from arrayflow.llm.shingles import xx_long
+    rng = random.Random(5)
+    pairs = [(rng.randrange(-1 << 63, 1 << 63), rng.randrange(-1 << 63, 1 << 63)) for _ in range(500)]
+    wanted = [r[0] for r in spark.createDataFrame(pairs, "a bigint, b bigint").select(F.xxhash64("a", "b")).collect()]
+    a, b = np.array(pairs, np.int64).T.copy().view(np.uint64)
+    assert xx_long(b, xx_long(a, np.uint64(42))).view(np.int64).tolist() == wanted
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_passes(corpus, order):
+    """Slices of n-grams leave the scores as they are."""
+    df, _ = corpus
+    whole, sliced = (Counter((a, b, round(c, 6)) for a, b, c in lmscore.score_documents(df, order=order, passes=p).collect()) for p in (1, 4))
+    assert whole == sliced
