@@ -2,7 +2,8 @@
 
 The pre-tokenizers of the supported files join no character to ASCII white space that follows it, and no letter to the
 plain punctuation that follows it. A text may therefore be cut at these places, and the ids of the pieces are the ids of
-the text. A text that holds an added token's string, such as ``<|endoftext|>``, is encoded as a whole, so that the string
+the text. New pieces are encoded many at a time, as one string: letters after a space one after the other, where the lengths of
+the tokens tell the pieces apart, and other pieces between added tokens. A text that holds an added token's string, such as ``<|endoftext|>``, is encoded as a whole, so that the string
 becomes that token's id as the library's default has it.
 """
 
@@ -20,10 +21,11 @@ _SPACE, _LETTER = r"\x20\x09-\x0D", "A-Za-zÀ-ÖØ-öø-ÿ"
 _PIECES = re.compile(rf"[{_SPACE}]*[{_LETTER}]+(?=[{_SPACE}.,;:!?|]|\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 # Other white space may be joined to ASCII white space; such a text is encoded as a whole.
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACED = re.compile(rf" [{_LETTER}]+").fullmatch
 _LONGEST_CACHED = 64
 #: Characters whose pieces are held at once.
 _AT_ONCE = 1 << 20
-_PIECES_AT_ONCE = 512
+_PIECES_AT_ONCE, _JOINED = 512, 64
 _LITTLE = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
@@ -38,6 +40,14 @@ class Encoder:
         if any(token.normalized for token in added):
             raise ValueError(f"{path}: added tokens that are looked for in the normalized text are not supported")
         self._added = [token.content for token in added]
+        # Bytes that a token stands for, with its white space if the pre-tokenizer keeps that.
+        suffix, vocabulary = getattr(self._tokenizer.model, "end_of_word_suffix", None) or "", self._tokenizer.get_vocab()
+        self._bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self._bytes[list(vocabulary.values())] = [len(token.removesuffix(suffix)) for token in vocabulary]
+        self._space = int(self._bytes[self._tokenizer.encode(" a", add_special_tokens=False).ids].sum()) - 1
+        alone = [t.content for t in added if not (t.lstrip or t.rstrip or t.single_word)]
+        self._separator = alone[0] if alone else None
+        self._separator_id = self._tokenizer.token_to_id(alone[0]) if alone else -1
         # Ids of pieces, and the pieces that more than one group of texts had since the cache was last full.
         self._cached, self._known, self._again = cached, {}, set()
 
@@ -49,6 +59,31 @@ class Encoder:
             out += [_LITTLE[n](*ids) if (n := len(ids := e.ids)) < len(_LITTLE) else np.array(ids, "<u4").tobytes() for e in encoded]
         return out
 
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that hold no added token: all letters after a space, or none such."""
+        letters, out = bool(pieces) and _SPACED(pieces[0]) is not None, []
+        if not letters and self._separator is None:
+            return self._plain(pieces)
+        between = "" if letters else self._separator
+        runs = [pieces[low:low + _JOINED] for low in range(0, len(pieces), _JOINED)]
+        for low in range(0, len(runs), _PIECES_AT_ONCE // _JOINED):
+            some = runs[low:low + _PIECES_AT_ONCE // _JOINED]
+            for run, encoded in zip(some, self._tokenizer.encode_batch_fast([between.join(r) for r in some], add_special_tokens=False), strict=True):
+                ids = np.array(encoded.ids, "<u4")
+                if letters:
+                    ends = np.cumsum(self._bytes[ids])
+                    wanted = np.cumsum([len(p.encode()) - 1 + self._space for p in run])
+                    cuts = np.searchsorted(ends, wanted) + 1
+                    told = cuts[-1] == len(ids) and (ends[cuts - 1] == wanted).all()
+                    firsts, cuts = [0, *cuts[:-1].tolist()], cuts.tolist()
+                else:
+                    cuts = np.flatnonzero(ids == self._separator_id).tolist()
+                    told = len(cuts) == len(run) - 1
+                    firsts, cuts = [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]
+                data = ids.tobytes()
+                out += [data[4 * a:4 * b] for a, b in zip(firsts, cuts, strict=True)] if told else self._plain(run)
+        return out
+
     def _whole(self, text: str) -> bool:
         return _OTHER_SPACE.search(text) is not None or any(token in text for token in self._added)
 
@@ -68,9 +103,10 @@ class Encoder:
         used = set().union(*(p for p in pieces if p))
         new = used.difference(known)
         self._again.update(used - new)
-        short = [p for p in new if len(p) <= _LONGEST_CACHED]
         once = [p for p in new if len(p) > _LONGEST_CACHED]
-        known.update(zip(short + once, self._plain(short + once), strict=True))
+        letters = [p for p in new if _SPACED(p)]
+        for some in (letters, list(new.difference(letters))):
+            known.update(zip(some, self._together(some), strict=True))
         whole = iter(self._plain([t for t, p in zip(texts, pieces, strict=True) if p is None]))
         out = [next(whole) if p is None else b"".join(map(known.__getitem__, p)) for p in pieces]
         for piece in once:

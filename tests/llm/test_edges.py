@@ -549,3 +549,24 @@ def test_lm_passes(corpus, order):
     df, _ = corpus
     whole, sliced = (Counter((a, b, round(c, 6)) for a, b, c in lmscore.score_documents(df, order=order, passes=p).collect()) for p in (1, 4))
     assert whole == sliced
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoder_joins_pieces(path):
+    """New pieces of all kinds go to the tokenizer many at a time and get the ids of the whole text."""
+    from arrayflow.llm.tokens import Encoder
+    rng = random.Random(11)
+    parts = ["ab", "Zé", "ÿß", "Äö", "it's", ".", ",", "!?", "\n", "\t", "12", "漢字", "🙂", "é", "<|", "|>", "µ", "İ", "|"]
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(40)) for _ in range(100)]
+    encode, tokenizer = Encoder(path), Tokenizer.from_file(path)
+
+    class Counted:
+        strings = 0
+
+        def encode_batch_fast(self, some, **options):
+            self.strings += len(some)
+            return tokenizer.encode_batch_fast(some, **options)
+
+    encode._tokenizer = counted = Counted()
+    assert encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counted.strings < len(encode._known) / 10
