@@ -81,12 +81,12 @@ def encode_blocks(ids: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray
     """``ids`` of shape (blocks, steps, LANES): final states, words of all blocks one after the other, words per block."""
     blocks, steps, _ = ids.shape
     state = np.full((blocks, LANES), _LOW, np.uint64)
-    words, owners = [], []
+    words, owners, numbers = [], [], np.arange(blocks, dtype=np.min_scalar_type(blocks))  # small numbers sort by their digits
     for step in range(steps - 1, -1, -1):
         freq, start = table.freq[ids[:, step]], table.start[ids[:, step]]
         over = state >= freq << np.uint64(63 - SCALE)
         words.append((state[over] & np.uint64(0xFFFFFFFF)).astype("<u4"))
-        owners.append(np.repeat(np.arange(blocks, dtype=np.int32), over.sum(1)))
+        owners.append(np.repeat(numbers, over.sum(1)))
         state = np.where(over, state >> _WORD, state)
         whole = state // freq
         state = (whole << np.uint64(SCALE)) + (state - whole * freq) + start
