@@ -570,3 +570,50 @@ def test_encoder_joins_pieces(path):
     encode._tokenizer = counted = Counted()
     assert encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert counted.strings < len(encode._known) / 10
+
+
+def test_lm_reads_once(spark):
+    """Texts are read once, also where they fill several chunks, and an n-gram sends a row per chunk at most."""
+    from functools import partial
+
+    from pyspark.sql import functions as F
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(6))) for _ in range(2500)]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        read.add(1)
+        return text
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    table = lmscore.chunks(rows.select("doc_id", "text"), words=1).withColumn("chunk", F.monotonically_increasing_id())
+    sent = lmscore.chunk_ngrams(table, 2)
+    assert table.count() == 3
+    assert max(r["count"] for r in sent.groupBy("gram").count().collect()) == 3
+    twos = Counter(p for t in texts for p in zip(t.split(), t.split()[1:]))
+    ones = Counter(w for t in texts for w in t.split())
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(lmscore, "chunks", partial(lmscore.chunks, words=1))
+        got = lmscore.score_documents(rows.withColumn("text", told("text"))).collect()
+    assert read.value == len(texts)
+
+    def score(words):
+        return sum(np.log(ones[w] / sum(ones.values())) if not i else np.log(twos[words[i - 1], w] / ones[words[i - 1]]) for i, w in enumerate(words))
+    assert min(twos.values()) >= 2
+    assert sorted((a, b, round(c, 6) + 0.0) for a, b, c in got) == [(i, len(t.split()), round(score(t.split()), 6) + 0.0) for i, t in enumerate(texts)]
+
+
+def test_hashed_words():
+    """Words of all lengths, next to each other in neighbouring texts, in slices and large strings."""
+    import pyarrow as pa
+
+    from arrayflow.llm.shingles import hashed_words
+    long = "x" * 63
+    texts = ["", "ab", "abc de", "ab\x00", "ab", " \t", "漢字 ab\x0bc", *(f"{long[:n]}y {long[:n]}" for n in range(64)), long * 3, long * 3 + "y", "\x00", "\x00\x00", "\x1c a\x85"]
+    wanted = [t.encode().split() for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        for low, high in ((0, len(texts)), (2, 9), (5, 6), (3, 3)):
+            hashes, counts = hashed_words(pa.array(texts, kind)[low:high])
+            words = [w for t in wanted[low:high] for w in t]
+            assert counts.tolist() == [len(t) for t in wanted[low:high]]
+            assert len(set(words)) == len(set(hashes.tolist())) == len(set(zip(words, hashes.tolist())))
