@@ -617,3 +617,33 @@ def test_hashed_words():
             words = [w for t in wanted[low:high] for w in t]
             assert counts.tolist() == [len(t) for t in wanted[low:high]]
             assert len(set(words)) == len(set(hashes.tolist())) == len(set(zip(words, hashes.tolist())))
+
+
+def test_pieces_are_found_together(monkeypatch):
+    """Pieces of many texts are cut and told apart as the pattern cuts one text, also where two share a hash; none is looked up twice in a group."""
+    from arrayflow.llm import tokens
+    space, letter = r"\x20\x09-\x0D", "A-Za-zÀ-ÖØ-öø-ÿ"
+    pattern = re.compile(rf"[{space}]*[{letter}]+(?=[{space}.,;:!?|]|\Z)|[{space}]*[^{space}]+|[{space}]+")
+    rng = random.Random(3)
+    parts = ["ab", "Zé", "ÿ", "×", "÷", "Ö", "Ø", "it's", ".", ",", "!", "|", " ", "  ", "\n", "\t", "\x0b\x0c\r", "1", "漢", "🙂", "\x00", "Ã", "x" * 9, "à" * 9]
+    groups = [["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(rng.randrange(6))] for _ in range(500)]
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(tokens, "xx_long", lambda values, seed: np.zeros(len(values), np.uint64))
+        for texts in groups:
+            pieces, numbers, counts = tokens._distinct([t.encode() for t in texts])
+            wanted = [pattern.findall(t) for t in texts]
+            assert [pieces[i].decode() for i in numbers] == [p for w in wanted for p in w]
+            assert counts.tolist() == list(map(len, wanted))
+            assert len(set(pieces)) == len(pieces)
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, key):
+            Counted.looked += 1
+            return super().get(key)
+    encode = tokens.Encoder(WORDS)
+    encode._known = Counted()
+    encode(["to be or not to be"] * 100)
+    assert Counted.looked == 5
