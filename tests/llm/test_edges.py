@@ -647,3 +647,22 @@ def test_pieces_are_found_together(monkeypatch):
     encode._known = Counted()
     encode(["to be or not to be"] * 100)
     assert Counted.looked == 5
+
+
+def test_substrings_leave_no_shuffles(spark, corpus):
+    """The steps before the result leave no shuffle files on disk."""
+    import time
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+    df = corpus[0].select("doc_id", "text")
+    df.count()
+    before = shuffles()
+    result = substrings.remove_repeats(df, 50)
+    for _ in range(20):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.25)
+    assert not left
+    assert result.count() == df.count()
