@@ -171,19 +171,26 @@ def _slopes(weights: np.ndarray, target: np.ndarray, lengths: np.ndarray, moves:
 
 def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 15, step: float = 0.5) -> Field:
     """Fit a field on labelled documents; without toxic ones every score is low."""
+    found = Features()
+    return fit_tokens([token_features(found, text) for text in texts], labels, rounds, step)
+
+
+def token_features(found: Features, text: str) -> np.ndarray:
+    """The features of a text's tokens, a row per token."""
+    return np.array([found[w] for w in _TOKEN.findall(text)], np.int32).reshape(-1, 1 + len(STEMS))
+
+
+def fit_tokens(parts: list[np.ndarray], labels: Sequence[int], rounds: int = 15, step: float = 0.5) -> Field:
+    """As :func:`fit`, on the documents' token features; ``parts`` is emptied, so that they are not held twice."""
     labels = np.asarray(labels, np.int64)
-    found, parts = Features(), []
-    for text in texts:
-        parts.append(np.array([found[w] for w in _TOKEN.findall(text)], np.int32).reshape(-1, 1 + len(STEMS)))
     lengths = np.array([len(p) for p in parts], np.int64)
     # Toxic features: by the number of documents they are in, on either side.
-    docs_of = np.concatenate([np.unique(p).astype(np.int64) + BUCKETS * i for i, p in enumerate(parts)] + [np.zeros(0, np.int64)])
+    inside, outside = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for part, label in zip(parts, labels.tolist(), strict=True):
+        (inside if label == 1 else outside)[np.unique(part)] += 1
     tokens = np.concatenate([*parts, np.zeros((0, 1 + len(STEMS)), np.int32)])
+    parts.clear()
     owner = np.repeat(np.arange(len(lengths)), lengths)
-    del parts
-    feature, toxic_doc = docs_of % BUCKETS, labels[docs_of // BUCKETS] == 1
-    inside = np.bincount(feature[toxic_doc], minlength=BUCKETS).astype(float)
-    outside = np.bincount(feature[~toxic_doc], minlength=BUCKETS).astype(float)
     n_toxic, n_clean = max(int((labels == 1).sum()), 1), max(int((labels == 0).sum()), 1)
     share = n_toxic / (n_toxic + n_clean)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -196,7 +203,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 15, step: flo
     # Weighted maximum likelihood of the tagged chains by gradient ascent on states, transitions and bias.
     weights, bias, moves, first = np.zeros(BUCKETS), -2.0, np.zeros((2, 2)), 0.0
     speed = np.full(BUCKETS, 1e-8)
-    del docs_of, feature, toxic_doc, owner
+    del owner
     ends = np.cumsum(lengths)
     # Whole documents in chunks of bounded size (none without documents); the gradients of all chunks make one step.
     cuts = np.flatnonzero(np.diff(ends // CHUNK, append=-1)) + 1
@@ -229,13 +236,30 @@ def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 15, step: flo
 
 def fit_field(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
               most: int = FIT_ROWS) -> Field:
-    """Fit on at most ``most`` labelled documents, chosen by a hash of their id; rows with null labels or ids are left out."""
+    """Fit on at most ``most`` labelled documents, chosen by a hash of their id; rows with null labels or ids are left out.
+
+    One task fits on them, whatever the tables hold; the driver gets the weights alone.
+    """
     chosen = labels.select(labels[id_col].alias("_id"), labels[label_col].cast("int").alias("_label")).dropna().orderBy(
         F.xxhash64("_id"), "_label").limit(most)
     # Bounded by ``most`` rows of two integers, whatever the tables hold.
     rows = docs.select(docs[id_col].alias("_doc"), whole_text(docs, text_col).alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    sample = rows.select("_id", "text", "_label").toPandas().sort_values(["_id", "text"])
-    return fit(sample["text"].tolist(), sample["_label"].tolist())
+    sample = rows.select("_id", "text", "_label").repartition(1).sortWithinPartitions("_id", "text", "_label").select("text", "_label")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, parts, known = Features(), [], []
+        for batch in batches:
+            parts += [token_features(found, text) for text in batch.column(0).to_pylist()]
+            known += batch.column(1).to_pylist()
+        field = fit_tokens(parts, known)
+        yield pa.RecordBatch.from_pydict({k: [np.asarray(v, np.float64).tobytes()] for k, v in field._asdict().items()})
+
+    fitted = sample.mapInArrow(work, ", ".join(f"{k} binary" for k in Field._fields)).first()
+    # No task runs where no row is left.
+    if fitted is None:
+        return fit([], [])
+    words, bias, moves, first, scale = (np.frombuffer(v, np.float64) for v in fitted)
+    return Field(words, float(bias[0]), moves.reshape(2, 2), float(first[0]), scale)
 
 
 def _score_texts(field: Field, weight: Weights, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
